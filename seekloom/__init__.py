@@ -1 +1,9 @@
 """Hybrid text retrieval as Spark jobs: keyword, vector, fusion, rerank and ingest."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need not have
+# this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

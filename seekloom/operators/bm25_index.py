@@ -17,6 +17,8 @@ from seekloom.plans.scratch import scratch_path
 from seekloom.plans.sizing import lane
 from seekloom.schemas import BUCKETED_POSTINGS, DOC_FREQUENCY, DOC_STATS, META, POSTINGS
 
+BUCKETED = ["chunk_bucket", "chunk_id"]
+
 
 @dataclass(frozen=True)
 class KeywordIndex:
@@ -39,6 +41,13 @@ class KeywordIndex:
         ]
 
 
+def bucketed_ids(ids: DataFrame, chunk_buckets: int) -> tuple[DataFrame, list[str]]:
+    """Chunk ids with the join columns that prune chunk buckets, if there are any."""
+    if not chunk_buckets:
+        return ids.select("chunk_id"), ["chunk_id"]
+    return ids.select(lane("chunk_id", chunk_buckets).alias("chunk_bucket"), "chunk_id"), BUCKETED
+
+
 def postings(chunks: DataFrame, lower_first: bool = True) -> DataFrame:
     """One row per (term, chunk): ``term, chunk_id, tf, doc_len``. Ids must be unique."""
     return term_counts(chunks, lower_first)

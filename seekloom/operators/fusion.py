@@ -11,7 +11,9 @@ from seekloom.functions.text import clean_text
 from seekloom.operators.bm25_index import KeywordIndex
 from seekloom.operators.keyword import attach_text, keyword_ranking
 from seekloom.operators.lexicon import Lexicon
+from seekloom.operators.terms import select_terms
 from seekloom.operators.vectors import vector_topk
+from seekloom.plans.scratch import written
 from seekloom.plans.sizing import QuerySize, measure_queries
 from seekloom.plans.topk import top_k
 
@@ -82,9 +84,13 @@ def hybrid_search(
     size = size or measure_queries(queries)
     by_vector = vector_topk(queries, corpus, fusion.top_each, size)
     settings = KeywordConfig(**{**keyword.__dict__, "k": fusion.top_each})
-    by_keyword = keyword_ranking(queries, index, chunks, lexicon, settings, size)
+    kept = select_terms(queries, index, lexicon, settings, size)
+    by_keyword = keyword_ranking(kept, index, chunks, settings, size)
     fused = rrf_fuse(by_vector, by_keyword, fusion)
     if not with_text:
         return fused
-    found = attach_text(fused, chunks, size.results_fit(fusion.top_n))
+    # Used by the text lookup and the join back; stored so that the search runs once.
+    found = attach_text(
+        written(fused, "fused"), chunks, size.results_fit(fusion.top_n), index.chunk_buckets
+    )
     return found.withColumn("text_clean", clean_text("text")) if with_clean_text else found

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from seekloom.config import KeywordConfig
 from seekloom.functions.scoring import bm25_term
 from seekloom.functions.text import english_ratio
-from seekloom.operators.bm25_index import KeywordIndex
+from seekloom.operators.bm25_index import BUCKETED, KeywordIndex, bucketed_ids
 from seekloom.operators.lexicon import Lexicon
 from seekloom.operators.terms import select_terms
 from seekloom.plans.joins import join_query_side
-from seekloom.plans.sizing import QuerySize, hinted, lane, measure_queries
+from seekloom.plans.scratch import written
+from seekloom.plans.sizing import QuerySize, hinted, measure_queries
 from seekloom.plans.topk import by_score, top_k
 from seekloom.schemas import TEXT_COLUMNS
 
@@ -60,23 +61,38 @@ def attach_text(
     hits: DataFrame,
     chunks: DataFrame,
     fits: bool,
-    keep_missing: bool = True,
-    columns: list[str] | None = None,
+    chunk_buckets: int = 0,
 ) -> DataFrame:
     """Add text columns to a small set of hits without moving the chunk table.
 
-    When the hits fit a broadcast, the chunk table is filtered down to them where it
-    lies. An outer join cannot broadcast its preserved side, so to keep hits that have
-    no chunk the table is first cut by a semi join and the rest joined back.
+    When the hits fit a broadcast, the chunk table is cut down to them where it lies,
+    reading only their buckets if it is bucketed, and what is left is joined to the
+    hits. Hits without a chunk keep null text.
     """
-    wanted = chunks.select("chunk_id", *(columns or TEXT_COLUMNS))
-    if not keep_missing:
-        return wanted.join(hinted(hits, fits), "chunk_id", "inner")
+    wanted, keys = chunks.select("chunk_id", *TEXT_COLUMNS), ["chunk_id"]
+    if chunk_buckets and "chunk_bucket" in chunks.columns:
+        wanted, keys = chunks.select("chunk_bucket", "chunk_id", *TEXT_COLUMNS), BUCKETED
     if fits:
-        wanted = wanted.join(
-            F.broadcast(hits.select("chunk_id").distinct()), "chunk_id", "left_semi"
-        )
-    return hits.join(wanted, "chunk_id", "left")
+        ids, _ = bucketed_ids(hits.select("chunk_id").distinct(), chunk_buckets)
+        wanted = wanted.join(F.broadcast(ids.select(*keys)), keys, "left_semi")
+    return hits.join(wanted.select("chunk_id", *TEXT_COLUMNS), "chunk_id", "left")
+
+
+def language_filter(
+    hits: DataFrame, chunks: DataFrame, minimum: float, fits: bool
+) -> DataFrame:
+    """Keep hits whose chunk has enough ASCII letters; hits without a chunk go.
+
+    A stored chunk table carries the ratio, so two narrow columns are read and no text.
+    Otherwise it is computed from the text; testing it together with a column of the
+    hits keeps Spark from computing it for every chunk below the join.
+    """
+    if "english_ratio" in chunks.columns:
+        passing = chunks.filter(F.col("english_ratio") >= minimum).select("chunk_id")
+        return passing.join(hinted(hits, fits), "chunk_id")
+    joined = chunks.select("chunk_id", "text").join(hinted(hits, fits), "chunk_id")
+    ratio = F.when(F.col("score").isNotNull(), english_ratio("text"))
+    return joined.filter(ratio >= minimum).drop("text")
 
 
 def matched_terms(
@@ -94,11 +110,7 @@ def matched_terms(
     """
     pairs = hits.select("query_id", "chunk_id")
     fits = size.results_fit(per_query)
-    ids = pairs.select("chunk_id").distinct()
-    keys = ["chunk_id"]
-    if index.chunk_buckets:
-        ids = ids.withColumn("chunk_bucket", lane("chunk_id", index.chunk_buckets))
-        keys = ["chunk_bucket", "chunk_id"]
+    ids, keys = bucketed_ids(pairs.select("chunk_id").distinct(), index.chunk_buckets)
     hit_postings = index.postings.join(hinted(ids, fits), keys, "left_semi")
     narrowed = KeywordIndex(
         hit_postings, index.doc_stats, index.df, index.meta, 0, index.term_buckets
@@ -130,16 +142,9 @@ def matched_terms(
 
 
 def candidates(
-    queries: DataFrame,
-    index: KeywordIndex,
-    lexicon: Lexicon,
-    k: int,
-    config: KeywordConfig = KeywordConfig(),
-    size: QuerySize | None = None,
+    kept: DataFrame, index: KeywordIndex, k: int, config: KeywordConfig, size: QuerySize
 ) -> DataFrame:
     """The best ``k`` chunks per query by score: ``query_id, chunk_id, score, hit_terms, rank``."""
-    size = size or measure_queries(queries)
-    kept = select_terms(queries, index, lexicon, config, size)
     scored = term_scores(kept, index, config, size.terms_fit())
     return top_k(
         chunk_scores(scored, config.min_terms),
@@ -151,28 +156,22 @@ def candidates(
 
 
 def keyword_ranking(
-    queries: DataFrame,
+    kept: DataFrame,
     index: KeywordIndex,
     chunks: DataFrame,
-    lexicon: Lexicon,
-    config: KeywordConfig = KeywordConfig(),
-    size: QuerySize | None = None,
+    config: KeywordConfig,
+    size: QuerySize,
 ) -> DataFrame:
-    """Ranked hits with text: candidates, language filter, final cut.
+    """``query_id, chunk_id, score, rank``: candidates, language filter, final cut.
 
     The candidate cut comes before the language filter, so fewer than ``k`` rows may
     remain; ``oversample`` sets how many candidates are looked at.
     """
-    size = size or measure_queries(queries)
+    if config.english_ratio_min is None:
+        return candidates(kept, index, config.k, config, size).drop("hit_terms")
     pool = config.k * config.oversample
-    found = attach_text(
-        candidates(queries, index, lexicon, pool, config, size).drop("rank", "hit_terms"),
-        chunks,
-        size.results_fit(pool),
-        keep_missing=config.english_ratio_min is None,
-    )
-    if config.english_ratio_min is not None:
-        found = found.filter(english_ratio("text") >= config.english_ratio_min)
+    found = candidates(kept, index, pool, config, size).drop("hit_terms", "rank")
+    found = language_filter(found, chunks, config.english_ratio_min, size.results_fit(pool))
     return top_k(found, ["query_id"], by_score("score"), config.k, spread_by="chunk_id", lanes=1)
 
 
@@ -187,12 +186,16 @@ def keyword_search(
     """Full keyword search result for ``queries(query_id, query_text)``.
 
     ``query_id, rank, chunk_id, matched_terms, text, source_file, chunk_index_in_file,
-    score``. Queries without any token simply have no rows.
+    score``. Queries without any token simply have no rows. The selected terms and the
+    ranking feed several lookups, so each is stored and computed once.
     """
     size = size or measure_queries(queries)
-    ranked = keyword_ranking(queries, index, chunks, lexicon, config, size)
-    kept = select_terms(queries, index, lexicon, config, size)
+    kept = written(select_terms(queries, index, lexicon, config, size), "kept-terms")
+    ranked = written(keyword_ranking(kept, index, chunks, config, size), "ranked")
     terms = matched_terms(ranked, kept, index, config, size, config.k)
-    return ranked.join(terms, ["query_id", "chunk_id"], "left").select(
-        "query_id", "rank", "chunk_id", "matched_terms", *TEXT_COLUMNS, "score"
+    fits = size.results_fit(config.k)
+    return (
+        attach_text(ranked, chunks, fits, index.chunk_buckets)
+        .join(terms, ["query_id", "chunk_id"], "left")
+        .select("query_id", "rank", "chunk_id", "matched_terms", *TEXT_COLUMNS, "score")
     )

@@ -9,7 +9,7 @@ from seekloom.config import KeywordConfig
 from seekloom.functions.analyzer import query_tokens
 from seekloom.functions.scoring import idf
 from seekloom.operators.bm25_index import KeywordIndex
-from seekloom.operators.lexicon import DEFAULT_WEIGHT, Lexicon, boost
+from seekloom.operators.lexicon import DEFAULT_WEIGHT, Lexicon, boost, fired_factors
 from seekloom.plans.joins import join_query_side
 from seekloom.plans.sizing import QuerySize, hinted, measure_queries
 
@@ -24,20 +24,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def weighted_terms(queries: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``(query_id, term, whitelisted, static_weight, boost, term_weight)`` per query term.
 
-    The boost depends on the other terms of the same query only, so it is computed
-    on the query row before its terms are exploded.
+    Whether a rule fires depends on the other terms of the same query only, so that is
+    settled on the query row before its terms are exploded.
     """
     tokens = queries.select("query_id", query_tokens("query_text").alias("tokens"))
-    boosted = F.transform(
-        "tokens",
-        lambda term: F.struct(
-            term.alias("term"), boost(F.col("tokens"), term, lexicon.rules).alias("boost")
-        ),
-    )
+    exploded = tokens.select(
+        "query_id", *fired_factors(F.col("tokens"), lexicon.rules), F.explode("tokens").alias("term")
+    ).select("query_id", "term", boost(F.col("term"), lexicon.rules).alias("boost"))
     static = F.coalesce(F.col("weight"), F.lit(DEFAULT_WEIGHT))
     return (
-        tokens.select("query_id", F.inline(boosted))
-        .join(hinted(lexicon.terms, lexicon.fits), "term", "left")
+        exploded.join(hinted(lexicon.terms, lexicon.fits), "term", "left")
         .select(
             "query_id",
             "term",

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from seekloom.config import DEFAULT_BUDGET, Budget
 from seekloom.operators.keyword import attach_text
+from seekloom.plans.scratch import written
 from seekloom.plans.sizing import QuerySize, lane, measure_queries
 from seekloom.plans.topk import by_score, top_k
 
@@ -219,7 +220,7 @@ def vector_search(
             raise ValueError("queries need query_vector, or query_text and an embed function")
         queries = embed(queries)
     size = measure_queries(queries)
-    hits = vector_topk(queries, corpus, k, size)
+    hits = written(vector_topk(queries, corpus, k, size), "nearest")
     return attach_text(hits, chunks, size.results_fit(k))
 
 

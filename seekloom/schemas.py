@@ -13,6 +13,9 @@ CHUNK = T.StructType(
     ]
 )
 
+# The stored chunk table: the language ratio is computed once, when a chunk is written.
+STORED_CHUNK = T.StructType(CHUNK.fields + [T.StructField("english_ratio", T.DoubleType())])
+
 EMBEDDING = T.StructType(
     [
         T.StructField("chunk_id", T.StringType(), False),

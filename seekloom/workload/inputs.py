@@ -18,6 +18,7 @@ from seekloom.operators.vectors import assign_cells, fit_cells
 from seekloom.plans.ingest import ingest
 from seekloom.plans.scratch import scratch_path, written
 from seekloom.plans.sizing import keys_fit
+from seekloom.sources.chunks import spread_scan, stored_chunks
 from seekloom.sources.snapshots import Snapshot, current
 
 MODEL = "fixture-model"
@@ -48,7 +49,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one chunk; a hundred documents share a file."""
-    return table(spark, sf_dir, "documents").select(
+    documents = spread_scan(table(spark, sf_dir, "documents").drop("lang", "n_chars"))
+    return documents.select(
         F.col("doc_id").cast("string").alias("chunk_id"),
         F.concat(
             F.lit("/lake/"),
@@ -69,16 +71,32 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored chunk table, as ingest writes it."""
+    return once(
+        spark,
+        sf_dir,
+        "chunks",
+        lambda: written(stored_chunks(chunks(spark, sf_dir)), "chunks"),
+    )
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark passages as queries, with the vector of the same number."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")
-    )
-    return (
-        table(spark, sf_dir, "benchmark")
-        .join(vectors, "item_id", "left")
-        .select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "query_vector")
-    )
+
+    def build() -> DataFrame:
+        vectors = table(spark, sf_dir, "embeddings").select(
+            F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")
+        )
+        passages = table(spark, sf_dir, "benchmark").join(vectors, "item_id", "left")
+        return written(
+            passages.select(
+                F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "query_vector"
+            ),
+            "queries",
+        )
+
+    return once(spark, sf_dir, "queries", build)
 
 
 def batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,13 +208,13 @@ def bm25_term_scores(spark, sf_dir):
 
 @register
 def bm25_topk(spark, sf_dir):
-    return keyword.candidates(
-        inputs.queries(spark, sf_dir),
-        inputs.index(spark, sf_dir),
-        inputs.lexicon(spark, sf_dir),
-        KEYWORD.k * KEYWORD.oversample,
-        KEYWORD,
-    ).withColumn("score", F.round("score", 6))
+    queries, index = inputs.queries(spark, sf_dir), inputs.index(spark, sf_dir)
+    size = measure_queries(queries)
+    kept = terms.select_terms(queries, index, inputs.lexicon(spark, sf_dir), KEYWORD, size)
+    pool = KEYWORD.k * KEYWORD.oversample
+    return keyword.candidates(kept, index, pool, KEYWORD, size).withColumn(
+        "score", F.round("score", 6)
+    )
 
 
 def _keyword_search(spark, sf_dir, config):
@@ -222,7 +222,7 @@ def _keyword_search(spark, sf_dir, config):
         keyword.keyword_search(
             inputs.queries(spark, sf_dir),
             inputs.index(spark, sf_dir),
-            inputs.chunks(spark, sf_dir),
+            inputs.stored(spark, sf_dir),
             inputs.lexicon(spark, sf_dir),
             config,
         )
@@ -272,7 +272,7 @@ def vector_search(spark, sf_dir):
     return vectors.vector_search(
         inputs.queries(spark, sf_dir),
         inputs.embeddings(spark, sf_dir),
-        inputs.chunks(spark, sf_dir),
+        inputs.stored(spark, sf_dir),
     ).withColumn("search_score", F.round("search_score", 6))
 
 
@@ -323,15 +323,9 @@ def embed_text_hashed(spark, sf_dir):
 @register
 def rrf_fused(spark, sf_dir):
     queries = inputs.queries(spark, sf_dir)
-    size = measure_queries(queries)
-    by_keyword = keyword.candidates(
-        queries,
-        inputs.index(spark, sf_dir),
-        inputs.lexicon(spark, sf_dir),
-        FUSION.top_each,
-        KEYWORD,
-        size,
-    )
+    index, size = inputs.index(spark, sf_dir), measure_queries(queries)
+    kept = terms.select_terms(queries, index, inputs.lexicon(spark, sf_dir), KEYWORD, size)
+    by_keyword = keyword.candidates(kept, index, FUSION.top_each, KEYWORD, size)
     by_vector = vectors.vector_topk(queries, inputs.embeddings(spark, sf_dir), FUSION.top_each, size)
     return rrf_fuse(by_vector, by_keyword, FUSION).withColumn("rrf_score", F.round("rrf_score", 9))
 
@@ -341,7 +335,7 @@ def _hybrid(spark, sf_dir, **options):
         inputs.queries(spark, sf_dir),
         inputs.embeddings(spark, sf_dir),
         inputs.index(spark, sf_dir),
-        inputs.chunks(spark, sf_dir),
+        inputs.stored(spark, sf_dir),
         inputs.lexicon(spark, sf_dir),
         **options,
     ).withColumn("rrf_score", F.round("rrf_score", 9))
@@ -385,7 +379,7 @@ def _context(spark, sf_dir):
         inputs.queries(spark, sf_dir),
         inputs.embeddings(spark, sf_dir),
         inputs.index(spark, sf_dir),
-        inputs.chunks(spark, sf_dir),
+        inputs.stored(spark, sf_dir),
         inputs.lexicon(spark, sf_dir),
         AnswerConfig(),
     )
