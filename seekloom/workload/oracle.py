@@ -47,12 +47,10 @@ def _index(prefix: str, source: str, text: str = _folded()) -> dict[str, str]:
 def _keyword(prefix: str, pool: int, k: int, ratio: float) -> dict[str, str]:
     """Candidates, language filter and final cut of a keyword search."""
     return {
-        f"{prefix}cand": f"""SELECT * FROM (SELECT *, row_number() OVER (
-            PARTITION BY query_id ORDER BY round(score, 8) DESC, chunk_id) AS rank
+        f"{prefix}cand": f"""SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, chunk_id) AS integer) AS rank
             FROM chunk_score) WHERE rank <= {pool}""",
         f"{prefix}kw": f"""SELECT * FROM (SELECT query_id, chunk_id, score, text, source_file,
-            chunk_index_in_file, row_number() OVER (
-            PARTITION BY query_id ORDER BY round(score, 8) DESC, chunk_id) AS rank
+            chunk_index_in_file, cast(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, chunk_id) AS integer) AS rank
             FROM {prefix}cand JOIN chunk USING (chunk_id)
             WHERE length(text) > 0 AND
             length(regexp_replace(lower(text), '[^a-z]+', '', 'g')) / length(text) >= {ratio})
@@ -74,8 +72,8 @@ def _matched(prefix: str) -> dict[str, str]:
 def _nearest(prefix: str, asked: str, k: int) -> dict[str, str]:
     return {
         f"{prefix}near": f"""SELECT * FROM (SELECT query_id, chunk_id, search_score,
-            row_number() OVER (PARTITION BY query_id
-            ORDER BY round(search_score, 8) DESC, chunk_id) AS rank
+            cast(row_number() OVER (PARTITION BY query_id
+            ORDER BY round(search_score, 8) DESC, chunk_id) AS integer) AS rank
             FROM (SELECT a.query_id, e.chunk_id, list_dot_product(a.query_vector,
             cast(e.embedding AS double[])) AS search_score FROM {asked} a, vec e
             WHERE a.query_vector IS NOT NULL))
@@ -85,8 +83,8 @@ def _nearest(prefix: str, asked: str, k: int) -> dict[str, str]:
 
 def _fused(prefix: str, keyword: str, nearest: str, rrf_k: int, top_n: int) -> dict[str, str]:
     return {
-        f"{prefix}fused": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-            ORDER BY round(rrf_score, 12) DESC, v NULLS LAST, w NULLS LAST) AS rank FROM (
+        f"{prefix}fused": f"""SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY query_id
+            ORDER BY round(rrf_score, 12) DESC, v NULLS LAST, w NULLS LAST) AS integer) AS rank FROM (
             SELECT query_id, chunk_id, sum(1.0::double / ({rrf_k} + rank)) AS rrf_score,
             max(v) AS v, max(w) AS w,
             string_agg(tag, '+' ORDER BY tag) AS source_tag FROM (
@@ -105,8 +103,8 @@ def _fused(prefix: str, keyword: str, nearest: str, rrf_k: int, top_n: int) -> d
 
 def _reranked(prefix: str, limit: int, k: int) -> dict[str, str]:
     return {
-        f"{prefix}best": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-            ORDER BY round(rerank_score, 8) DESC, rank) AS rerank_rank
+        f"{prefix}best": f"""SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY query_id
+            ORDER BY round(rerank_score, 8) DESC, rank) AS integer) AS rerank_rank
             FROM {prefix}coverage WHERE rank <= {limit}) WHERE rerank_rank <= {k}""",
     }
 
