@@ -115,6 +115,8 @@ def _scan_with_broadcast(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix, query_cells = shared.value
+        if not len(query_ids):
+            return
         best = _BestPerQuery(k)
         positions = np.arange(len(query_ids))
         for batch in batches:
@@ -274,7 +276,7 @@ def vector_topk_approx(
         return pd.Series(list(order.astype(np.int32)))
 
     probed = queries.withColumn("cells", nearest_cells("query_vector"))
-    if size.vectors_fit(budget):
+    if size.vectors_fit(budget) and size.rows * len(centers) <= budget.max_bytes:
         rows = probed.toArrow()
         probes = np.zeros((rows.num_rows, len(centers)), dtype=bool)
         for position, cells in enumerate(rows["cells"].to_pylist()):

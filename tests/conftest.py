@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import sys
 
@@ -29,6 +31,19 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def plan_text():
+    """The physical plan of a frame as text."""
+
+    def text(frame) -> str:
+        buffer = io.StringIO()
+        with contextlib.redirect_stdout(buffer):
+            frame.explain("formatted")
+        return buffer.getvalue()
+
+    return text
+
+
 CHUNK_SCHEMA = "chunk_id string, source_file string, chunk_index_in_file long, text string"
 
 

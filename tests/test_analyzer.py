@@ -77,10 +77,8 @@ def test_index_counts_match_a_plain_count(spark, make_chunks, texts):
     assert lengths == {r.chunk_id: r.doc_len for r in doc_stats_from_postings(index.postings).collect()}
 
 
-def test_postings_do_not_shuffle(spark, make_chunks):
-    plan = build_index(make_chunks(AWKWARD)).postings
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in text
+def test_postings_do_not_shuffle(make_chunks, plan_text):
+    assert "Exchange" not in plan_text(build_index(make_chunks(AWKWARD)).postings)
 
 
 def test_english_ratio(spark):

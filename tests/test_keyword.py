@@ -174,14 +174,16 @@ def test_lexicon_size():
     assert len(TERM_WEIGHTS) == 83
 
 
-def test_plan_has_no_cartesian_product_and_limits_early(spark, make_chunks, make_queries, lexicon):
+def test_plan_has_no_cartesian_product_and_limits_early(
+    make_chunks, make_queries, lexicon, plan_text
+):
     chunks = stored_chunks(make_chunks(random_texts(20)))
     queries = make_queries(*QUERIES)
     index = write_index(chunks, chunk_buckets=2, term_buckets=2)
     size = measure_queries(queries)
     kept = select_terms(queries, index, lexicon, LOOSE, size)
     ranked = keyword.keyword_ranking(kept, index, chunks, KeywordConfig(), size)
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(ranked)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "WindowGroupLimit" in plan
     assert "dynamicpruning" in plan
