@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from seekloom.config import AnswerConfig
+from seekloom.config import AnswerConfig, LakeConfig
 from seekloom.operators.bm25_index import KeywordIndex
 from seekloom.operators.fusion import hybrid_search
 from seekloom.operators.lexicon import Lexicon
 from seekloom.operators.prompts import eval_rows, generate_answers, prompt_table
 from seekloom.operators.rerank import lexical_scores, rerank_topk
+from seekloom.plans.scratch import written
 from seekloom.plans.sizing import measure_queries
+from seekloom.sources.snapshots import current
 
 
 def answer_inputs(
@@ -39,6 +41,48 @@ def answer_inputs(
     return rerank_topk(fused, queries, scorer, config.rerank_top_k, config.candidate_limit)
 
 
+def query_table(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """Questions typed by a user as a query table, numbered from 1."""
+    return spark.createDataFrame(
+        list(enumerate(texts, start=1)), "query_id long, query_text string"
+    )
+
+
+def ask(
+    spark: SparkSession,
+    lake: LakeConfig,
+    queries: DataFrame,
+    generator: Callable,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    lexicon: Lexicon | None = None,
+    config: AnswerConfig = AnswerConfig(),
+    scorer: Callable[[DataFrame], DataFrame] = lexical_scores,
+) -> tuple[DataFrame, DataFrame]:
+    """Answer questions from the current version of a lake.
+
+    Returns the reranked context and ``(query_id, answer)``. ``embed`` adds
+    ``query_vector`` to queries that come without one.
+    """
+    if "query_vector" not in queries.columns:
+        if embed is None:
+            raise ValueError("queries need query_vector or an embed function")
+        queries = embed(queries)
+    snapshot = current(spark, lake)
+    ranked = written(
+        answer_inputs(
+            queries,
+            snapshot.rows(spark, "wide").select("chunk_id", "embedding"),
+            snapshot.index(spark),
+            snapshot.read(spark, "chunks"),
+            lexicon or Lexicon.from_terms(spark),
+            config,
+            scorer,
+        ),
+        "context",
+    )
+    return ranked, generate_answers(prompt_table(queries, ranked), generator)
+
+
 def run_questions(
     questions: DataFrame,
     ranked: DataFrame,

@@ -176,6 +176,29 @@ def test_stream_follows_a_directory(spark, make_chunks, tmp_path):
     assert index_rows(current(spark, lake).index(spark)) == expected
 
 
+def test_ask_from_a_lake(spark, make_chunks, tmp_path):
+    from seekloom.operators.embed import embed_hashed
+    from seekloom.plans.answers import ask, query_table
+
+    lake = LakeConfig(str(tmp_path / "lake"), 2, 2)
+    chunks = make_chunks({"a": "flood map of the river", "b": "fema county homes", "c": "alpha"})
+    embeddings = embed_hashed(chunks, 16, "text", "embedding").select("chunk_id", "embedding")
+    ingest(spark, lake, chunks, embeddings)
+    queries = query_table(spark, ["fema homes", "flood of the river"])
+
+    def factory():
+        return lambda messages: messages[1]["content"].split("[1] ")[1].split("\n")[0]
+
+    with pytest.raises(ValueError):
+        ask(spark, lake, queries, factory)
+    ranked, answers = ask(spark, lake, queries, factory, embed=lambda q: embed_hashed(q, 16))
+    assert {r.query_id: r.answer for r in answers.collect()} == {
+        1: "fema county homes", 2: "flood map of the river",
+    }
+    first = ranked.filter("query_id = 1 and rerank_rank = 1").first()
+    assert (first.chunk_id, first.source_tag, first.rerank_score) == ("b", "KW+VEC", 1.0)
+
+
 def test_audits(spark, make_chunks):
     chunks = make_chunks({"c1": "a", "c2": "b", "c3": "c"})
     embeddings = vectors(spark, ["c2", "c3", "c4"])
