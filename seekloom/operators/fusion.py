@@ -90,7 +90,5 @@ def hybrid_search(
     if not with_text:
         return fused
     # Used by the text lookup and the join back; stored so that the search runs once.
-    found = attach_text(
-        written(fused, "fused"), chunks, size.results_fit(fusion.top_n), index.chunk_buckets
-    )
+    found = attach_text(written(fused, "fused"), chunks, index.chunk_buckets)
     return found.withColumn("text_clean", clean_text("text")) if with_clean_text else found

@@ -13,7 +13,7 @@ from seekloom.operators.lexicon import Lexicon
 from seekloom.operators.terms import select_terms
 from seekloom.plans.joins import join_query_side
 from seekloom.plans.scratch import written
-from seekloom.plans.sizing import QuerySize, hinted, measure_queries
+from seekloom.plans.sizing import QuerySize, hinted, keys_fit, measure_queries
 from seekloom.plans.topk import by_score, top_k
 from seekloom.schemas import TEXT_COLUMNS
 
@@ -57,13 +57,8 @@ def chunk_scores(scored: DataFrame, min_terms: int) -> DataFrame:
     )
 
 
-def attach_text(
-    hits: DataFrame,
-    chunks: DataFrame,
-    fits: bool,
-    chunk_buckets: int = 0,
-) -> DataFrame:
-    """Add text columns to a small set of hits without moving the chunk table.
+def attach_text(hits: DataFrame, chunks: DataFrame, chunk_buckets: int = 0) -> DataFrame:
+    """Add text columns to stored hits without moving the chunk table.
 
     When the hits fit a broadcast, the chunk table is cut down to them where it lies,
     reading only their buckets if it is bucketed, and what is left is joined to the
@@ -72,25 +67,24 @@ def attach_text(
     wanted, keys = chunks.select("chunk_id", *TEXT_COLUMNS), ["chunk_id"]
     if chunk_buckets and "chunk_bucket" in chunks.columns:
         wanted, keys = chunks.select("chunk_bucket", "chunk_id", *TEXT_COLUMNS), BUCKETED
-    if fits:
+    if keys_fit(hits, "chunk_id"):
         ids, _ = bucketed_ids(hits.select("chunk_id").distinct(), chunk_buckets)
         wanted = wanted.join(F.broadcast(ids.select(*keys)), keys, "left_semi")
     return hits.join(wanted.select("chunk_id", *TEXT_COLUMNS), "chunk_id", "left")
 
 
-def language_filter(
-    hits: DataFrame, chunks: DataFrame, minimum: float, fits: bool
-) -> DataFrame:
-    """Keep hits whose chunk has enough ASCII letters; hits without a chunk go.
+def language_filter(hits: DataFrame, chunks: DataFrame, minimum: float) -> DataFrame:
+    """Keep stored hits whose chunk has enough ASCII letters; hits without a chunk go.
 
     A stored chunk table carries the ratio, so two narrow columns are read and no text.
     Otherwise it is computed from the text; testing it together with a column of the
     hits keeps Spark from computing it for every chunk below the join.
     """
+    side = hinted(hits, keys_fit(hits, "query_id", "chunk_id"))
     if "english_ratio" in chunks.columns:
         passing = chunks.filter(F.col("english_ratio") >= minimum).select("chunk_id")
-        return passing.join(hinted(hits, fits), "chunk_id")
-    joined = chunks.select("chunk_id", "text").join(hinted(hits, fits), "chunk_id")
+        return passing.join(side, "chunk_id")
+    joined = chunks.select("chunk_id", "text").join(side, "chunk_id")
     ratio = F.when(F.col("score").isNotNull(), english_ratio("text"))
     return joined.filter(ratio >= minimum).drop("text")
 
@@ -101,7 +95,6 @@ def matched_terms(
     index: KeywordIndex,
     config: KeywordConfig,
     size: QuerySize,
-    per_query: int,
 ) -> DataFrame:
     """``(query_id, chunk_id, matched_terms)``: the best ``top_terms`` terms as ``term(tf)``.
 
@@ -109,7 +102,7 @@ def matched_terms(
     terms of the hits are ranked and not those of every candidate.
     """
     pairs = hits.select("query_id", "chunk_id")
-    fits = size.results_fit(per_query)
+    fits = keys_fit(pairs, "query_id", "chunk_id")
     ids, keys = bucketed_ids(pairs.select("chunk_id").distinct(), index.chunk_buckets)
     hit_postings = index.postings.join(hinted(ids, fits), keys, "left_semi")
     narrowed = KeywordIndex(
@@ -170,8 +163,10 @@ def keyword_ranking(
     if config.english_ratio_min is None:
         return candidates(kept, index, config.k, config, size).drop("hit_terms")
     pool = config.k * config.oversample
-    found = candidates(kept, index, pool, config, size).drop("hit_terms", "rank")
-    found = language_filter(found, chunks, config.english_ratio_min, size.results_fit(pool))
+    found = written(
+        candidates(kept, index, pool, config, size).drop("hit_terms", "rank"), "candidates"
+    )
+    found = language_filter(found, chunks, config.english_ratio_min)
     return top_k(found, ["query_id"], by_score("score"), config.k, spread_by="chunk_id", lanes=1)
 
 
@@ -192,10 +187,9 @@ def keyword_search(
     size = size or measure_queries(queries)
     kept = written(select_terms(queries, index, lexicon, config, size), "kept-terms")
     ranked = written(keyword_ranking(kept, index, chunks, config, size), "ranked")
-    terms = matched_terms(ranked, kept, index, config, size, config.k)
-    fits = size.results_fit(config.k)
+    terms = matched_terms(ranked, kept, index, config, size)
     return (
-        attach_text(ranked, chunks, fits, index.chunk_buckets)
+        attach_text(ranked, chunks, index.chunk_buckets)
         .join(terms, ["query_id", "chunk_id"], "left")
         .select("query_id", "rank", "chunk_id", "matched_terms", *TEXT_COLUMNS, "score")
     )

@@ -223,7 +223,7 @@ def vector_search(
         queries = embed(queries)
     size = measure_queries(queries)
     hits = written(vector_topk(queries, corpus, k, size), "nearest")
-    return attach_text(hits, chunks, size.results_fit(k))
+    return attach_text(hits, chunks)
 
 
 def fit_cells(corpus: DataFrame, n_cells: int, seed: int = 7, max_iter: int = 10) -> KMeansModel:

@@ -19,7 +19,7 @@ ROW_OVERHEAD = 64  # bytes for ids, numbers and the hash slot of one broadcast r
 
 @dataclass(frozen=True)
 class QuerySize:
-    """Measured size of a query table."""
+    """Measured size of a query table; ``text_bytes`` counts the id once per term."""
 
     rows: int
     terms: int
@@ -31,14 +31,9 @@ class QuerySize:
         size = self.text_bytes + self.terms * ROW_OVERHEAD
         return self.terms <= budget.max_rows and size <= budget.max_bytes
 
-    def results_fit(self, per_query: int, budget: Budget = DEFAULT_BUDGET) -> bool:
-        """Whether ``per_query`` result keys for every query stay within the budget."""
-        rows = self.rows * per_query
-        return rows <= budget.max_rows and rows * 2 * ROW_OVERHEAD <= budget.max_bytes
-
     def vectors_fit(self, budget: Budget = DEFAULT_BUDGET) -> bool:
         """Whether all query vectors as doubles stay within the budget."""
-        size = self.vector_values * 8 + self.rows * ROW_OVERHEAD
+        size = self.vector_values * 8 + self.text_bytes + self.rows * ROW_OVERHEAD
         return self.rows <= budget.max_rows and size <= budget.max_bytes
 
 
@@ -49,20 +44,31 @@ def measure_queries(queries: DataFrame) -> QuerySize:
     vector = (
         F.size("query_vector") if "query_vector" in queries.columns else F.lit(None).cast("int")
     )
-    row = queries.agg(
+    measured = queries.select(
+        F.size(query_tokens(text)).alias("terms"),
+        F.coalesce(F.octet_length(text), F.lit(0)).alias("text_bytes"),
+        F.octet_length(F.col("query_id").cast("string")).alias("id_bytes"),
+        vector.alias("vector"),
+    )
+    row = measured.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.size(query_tokens(text))), zero).alias("terms"),
-        F.coalesce(F.sum(F.octet_length(text)), zero).alias("text_bytes"),
-        F.coalesce(F.sum(vector), zero).alias("vector_values"),
+        F.coalesce(F.sum("terms"), zero).alias("terms"),
+        F.coalesce(
+            F.sum(F.col("text_bytes") + (F.col("terms") + 1) * F.col("id_bytes")), zero
+        ).alias("text_bytes"),
+        F.coalesce(F.sum("vector"), zero).alias("vector_values"),
     ).first()
     return QuerySize(row["rows"], row["terms"], row["text_bytes"], max(row["vector_values"], 0))
 
 
-def keys_fit(frame: DataFrame, key: str, budget: Budget = DEFAULT_BUDGET) -> bool:
-    """Whether the key column of a batch is small enough to broadcast."""
+def keys_fit(frame: DataFrame, *keys: str, budget: Budget = DEFAULT_BUDGET) -> bool:
+    """Whether the key columns of a stored frame, measured now, are small enough to broadcast."""
+    width = sum(
+        (F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) for key in keys), F.lit(0)
+    )
     row = frame.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.octet_length(F.col(key))), F.lit(0).cast("long")).alias("bytes"),
+        F.coalesce(F.sum(width), F.lit(0).cast("long")).alias("bytes"),
     ).first()
     size = row["bytes"] + row["rows"] * ROW_OVERHEAD
     return row["rows"] <= budget.max_rows and size <= budget.max_bytes
