@@ -31,7 +31,7 @@ HEADLINE = [
     "keyword_search",
     "vector_topk_all_pairs_of_ids",
     "vector_topk_approx",
-    "hybrid",
+    "hybrid_search",
     "rag_context",
     "upsert_wide",
     "bm25_df_incremental",

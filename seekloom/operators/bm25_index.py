@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seekloom.functions.analyzer import document_tokens, term_counts
 from seekloom.plans.scratch import scratch_path
 from seekloom.plans.sizing import lane
-from seekloom.schemas import BUCKETED_POSTINGS, DOC_FREQUENCY, DOC_STATS, META, POSTINGS
+from seekloom.schemas import BUCKETED_FREQUENCY, BUCKETED_POSTINGS, DOC_STATS, META, POSTINGS
 
 BUCKETED = ["chunk_bucket", "chunk_id"]
 
@@ -31,9 +31,9 @@ class KeywordIndex:
     chunk_buckets: int = 0
     term_buckets: int = 0
 
-    def with_term_bucket(self, frame: DataFrame) -> tuple[DataFrame, list[str]]:
-        """A term-keyed frame with the join columns that let Spark prune posting partitions."""
-        if not self.term_buckets:
+    def with_term_bucket(self, frame: DataFrame, table: DataFrame) -> tuple[DataFrame, list[str]]:
+        """A term-keyed frame with the join columns that let Spark prune the table's partitions."""
+        if not self.term_buckets or "term_bucket" not in table.columns:
             return frame, ["term"]
         return frame.withColumn("term_bucket", lane("term", self.term_buckets)), [
             "term_bucket",
@@ -107,6 +107,15 @@ def arrange_postings(rows: DataFrame, chunk_buckets: int, term_buckets: int) ->
     )
 
 
+def arrange_frequencies(df: DataFrame, term_buckets: int) -> DataFrame:
+    """Document frequencies laid out for writing by term bucket, sorted by term."""
+    return (
+        df.select("term", "df", lane("term", term_buckets).alias("term_bucket"))
+        .hint("rebalance", "term_bucket")
+        .sortWithinPartitions("term_bucket", "term")
+    )
+
+
 def write_index(
     chunks: DataFrame,
     path: str | None = None,
@@ -124,7 +133,11 @@ def write_index(
     )
     stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     doc_stats_from_postings(stored).write.parquet(f"{path}/doc_stats")
-    document_frequency(stored).write.parquet(f"{path}/df")
+    (
+        arrange_frequencies(document_frequency(stored), term_buckets)
+        .write.partitionBy("term_bucket")
+        .parquet(f"{path}/df")
+    )
     meta(spark.read.schema(DOC_STATS).parquet(f"{path}/doc_stats")).write.parquet(f"{path}/meta")
     return read_index(spark, path, chunk_buckets, term_buckets)
 
@@ -134,7 +147,7 @@ def read_index(spark, path: str, chunk_buckets: int, term_buckets: int) -> Keywo
     return KeywordIndex(
         spark.read.schema(BUCKETED_POSTINGS).parquet(f"{path}/postings"),
         spark.read.schema(DOC_STATS).parquet(f"{path}/doc_stats"),
-        spark.read.schema(DOC_FREQUENCY).parquet(f"{path}/df"),
+        spark.read.schema(BUCKETED_FREQUENCY).parquet(f"{path}/df"),
         spark.read.schema(META).parquet(f"{path}/meta"),
         chunk_buckets,
         term_buckets,

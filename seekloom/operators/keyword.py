@@ -26,7 +26,9 @@ def term_scores(
     ``kept`` carries df, idf and weight, so a posting needs this one join only.
     """
     avgdl = index.meta.select("avgdl").scalar()
-    side, keys = index.with_term_bucket(kept.select("query_id", "term", "idf", "term_weight"))
+    side, keys = index.with_term_bucket(
+        kept.select("query_id", "term", "idf", "term_weight"), index.postings
+    )
     return join_query_side(index.postings, side, keys, "chunk_id", fits).select(
         "query_id",
         "chunk_id",

@@ -50,9 +50,10 @@ def known_terms(
 ) -> DataFrame:
     """Weighted query terms that occur in the index, with ``df``, ``df_ratio`` and ``idf``."""
     size = size or measure_queries(queries)
-    weighted = weighted_terms(queries, lexicon)
+    weighted, keys = index.with_term_bucket(weighted_terms(queries, lexicon), index.df)
     n_chunks = index.meta.select(F.col("N").cast("double")).scalar()
-    return join_query_side(index.df, weighted, ["term"], "term", size.terms_fit()).withColumns(
+    known = join_query_side(index.df, weighted, keys, "term", size.terms_fit())
+    return known.drop("term_bucket").withColumns(
         {"df_ratio": F.col("df") / n_chunks, "idf": idf(n_chunks, F.col("df"))}
     )
 

@@ -47,6 +47,10 @@ DOC_FREQUENCY = T.StructType(
     [T.StructField("term", T.StringType()), T.StructField("df", T.LongType())]
 )
 
+BUCKETED_FREQUENCY = T.StructType(
+    DOC_FREQUENCY.fields + [T.StructField("term_bucket", T.IntegerType())]
+)
+
 META = T.StructType([T.StructField("N", T.LongType()), T.StructField("avgdl", T.DoubleType())])
 
 LEXICON = T.StructType(

@@ -242,7 +242,7 @@ STATEMENTS: dict[str, str] = {
     "source_basename": """SELECT chunk_id, regexp_replace(source_file, '^.*/', '') AS file_name
         FROM chunk""",
     "text_clean": f"SELECT chunk_id, {_CLEAN} AS text_clean FROM chunk",
-    "english_ratios": """SELECT chunk_id, round(ratio, 6) AS ratio, ratio >= 0.7 AS kept FROM (
+    "english_ratio": """SELECT chunk_id, round(ratio, 6) AS ratio, ratio >= 0.7 AS kept FROM (
         SELECT chunk_id, CASE WHEN length(text) > 0 THEN
         length(regexp_replace(lower(text), '[^a-z]+', '', 'g')) / length(text) ELSE 0.0 END AS ratio
         FROM chunk)""",
@@ -284,17 +284,17 @@ STATEMENTS: dict[str, str] = {
         cast(embedding AS double[]))), 4) AS norm, true AS has_cell""",
         "vec_after",
     ),
-    "embed_text_model": """SELECT query_id, round(a / size, 4) AS v0, round(b / size, 4) AS v1,
+    "embed_texts": """SELECT query_id, round(a / size, 4) AS v0, round(b / size, 4) AS v1,
         round(c / size, 4) AS v2, round(d / size, 4) AS v3 FROM embedded""",
-    "rrf_fused": """SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag, rank
+    "rrf_fuse": """SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag, rank
         FROM fused""",
-    "hybrid": """SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag, rank
+    "hybrid_search": """SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag, rank
         FROM fused""",
     "hybrid_with_text": f"""SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag,
         rank, text, source_file, chunk_index_in_file, {_CLEAN} AS text_clean FROM fused_text""",
     "rerank_lexical": """SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score
         FROM coverage""",
-    "rerank_best": """SELECT query_id, chunk_id, rank, rerank_rank, text,
+    "rerank_topk": """SELECT query_id, chunk_id, rank, rerank_rank, text,
         round(rerank_score, 6) AS rerank_score FROM best""",
     "rag_context": """SELECT query_id, rerank_rank, chunk_id, round(rerank_score, 6) AS rerank_score,
         round(rrf_score, 9) AS rrf_score, source_tag, source_file, chunk_index_in_file, text
@@ -304,7 +304,7 @@ STATEMENTS: dict[str, str] = {
     "eval_rows": """SELECT query_id AS question_id, query_text AS question,
         cast(NULL AS varchar) AS fact, 'benchmark' AS fact_source, 'digest' AS model,
         md5(user_message) AS answer FROM prompt""",
-    "wide": _digest(_CHUNK, "wide_rows"),
+    "wide_table": _digest(_CHUNK, "wide_rows"),
     "upsert_chunks": f"SELECT {_CHUNK} FROM chunk_after",
     "upsert_embeddings": _positions("vec_after"),
     "upsert_wide": _digest(_CHUNK, "wide_after"),
@@ -352,4 +352,6 @@ def _complete(statement: str) -> str:
     return f"WITH {parts}\n{statement}"
 
 
+STATEMENTS["coverage_audit_sql"] = STATEMENTS["coverage_audit"]
+
 ORACLE: dict[str, str] = {name: _complete(sql) for name, sql in STATEMENTS.items()}

@@ -35,8 +35,8 @@ FUSION = FusionConfig()
 
 
 def register(function: Query) -> Query:
-    """Register a query under its function name."""
-    REGISTERED[function.__name__] = function
+    """Register a query under its function name, without the ``_query`` that avoids a clash."""
+    REGISTERED[function.__name__.removesuffix("_query")] = function
     return function
 
 
@@ -91,7 +91,7 @@ def text_clean(spark, sf_dir):
 
 
 @register
-def english_ratios(spark, sf_dir):
+def english_ratio_query(spark, sf_dir):
     ratio = english_ratio("text")
     return inputs.chunks(spark, sf_dir).select(
         "chunk_id", F.round(ratio, 6).alias("ratio"), (ratio >= 0.7).alias("kept")
@@ -300,7 +300,7 @@ def vector_index_refresh(spark, sf_dir):
 
 
 @register
-def embed_text_model(spark, sf_dir):
+def embed_texts_query(spark, sf_dir):
     asked = inputs.queries(spark, sf_dir).select("query_id", "query_text")
     return embed_texts(asked, inputs.counting_model).select(
         "query_id", *[F.round(F.get("query_vector", i).cast("double"), 4).alias(f"v{i}") for i in range(4)]
@@ -321,7 +321,7 @@ def embed_text_hashed(spark, sf_dir):
 
 
 @register
-def rrf_fused(spark, sf_dir):
+def rrf_fuse_query(spark, sf_dir):
     queries = inputs.queries(spark, sf_dir)
     index, size = inputs.index(spark, sf_dir), measure_queries(queries)
     kept = terms.select_terms(queries, index, inputs.lexicon(spark, sf_dir), KEYWORD, size)
@@ -342,7 +342,7 @@ def _hybrid(spark, sf_dir, **options):
 
 
 @register
-def hybrid(spark, sf_dir):
+def hybrid_search_query(spark, sf_dir):
     return _hybrid(spark, sf_dir)
 
 
@@ -362,7 +362,7 @@ def rerank_lexical(spark, sf_dir):
 
 
 @register
-def rerank_best(spark, sf_dir):
+def rerank_topk_query(spark, sf_dir):
     fused = _hybrid(spark, sf_dir, with_text=True)
     return rerank_topk(fused, inputs.queries(spark, sf_dir), top_k_rows=5, candidate_limit=8).select(
         "query_id",
@@ -428,7 +428,7 @@ def eval_rows(spark, sf_dir):
 
 
 @register
-def wide(spark, sf_dir):
+def wide_table_query(spark, sf_dir):
     joined = wide_table(inputs.chunks(spark, sf_dir), inputs.embeddings(spark, sf_dir))
     return joined.withColumn("digest", vector_digest()).drop("embedding")
 
@@ -547,6 +547,17 @@ def coverage_audit(spark, sf_dir):
     )
 
 
+@register
+def coverage_audit_sql(spark, sf_dir):
+    chunk_rows, vector_rows = inputs.chunks(spark, sf_dir), inputs.embeddings(spark, sf_dir)
+    return audit.coverage_sql(
+        inputs.batch_chunks(spark, sf_dir),
+        chunk_rows,
+        vector_rows,
+        wide_table(chunk_rows, vector_rows),
+    )
+
+
 @register
 def match_audit(spark, sf_dir):
     return audit.match_audit(inputs.chunks(spark, sf_dir), inputs.embeddings(spark, sf_dir))
