@@ -46,10 +46,13 @@ def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
 class _BestPerQuery:
     """Running best ``k`` (query position, chunk id, score) of one task."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, n_queries: int):
         self.k = k
         self.parts: list[pd.DataFrame] = []
         self.rows = 0
+        self.limit = POOL_ROWS
+        # Below this score a query has k better chunks already.
+        self.floor = np.full(n_queries, -np.inf)
 
     def add(self, query_rows: np.ndarray, chunk_ids: np.ndarray, scores: np.ndarray) -> None:
         """Take a block of scores (queries x chunks), keeping the best k of each row."""
@@ -58,7 +61,8 @@ class _BestPerQuery:
             return
         cut = np.partition(scores, -k, axis=1)[:, -k]
         # Slightly below the k-th score, so that all ties after rounding stay in.
-        at_query, at_chunk = np.nonzero(scores >= (cut - 1e-8)[:, None])
+        needed = np.maximum(cut, self.floor[query_rows]) - 1e-8
+        at_query, at_chunk = np.nonzero(scores >= needed[:, None])
         self.parts.append(
             pd.DataFrame(
                 {
@@ -70,7 +74,7 @@ class _BestPerQuery:
             )
         )
         self.rows += len(at_query)
-        if self.rows > POOL_ROWS:
+        if self.rows > self.limit:
             self.cut()
 
     def cut(self) -> pd.DataFrame:
@@ -82,6 +86,10 @@ class _BestPerQuery:
         )
         pool = pool.groupby("query", sort=False).head(self.k)
         self.parts, self.rows = [pool], len(pool)
+        self.limit = max(POOL_ROWS, 2 * len(pool))
+        worst = pool.groupby("query")["score"].agg(["size", "min"])
+        full = worst[worst["size"] == self.k]
+        self.floor[full.index.to_numpy(dtype=int)] = full["min"].to_numpy()
         return pool
 
 
@@ -117,7 +125,7 @@ def _scan_with_broadcast(
         query_ids, query_matrix, query_cells = shared.value
         if not len(query_ids):
             return
-        best = _BestPerQuery(k)
+        best = _BestPerQuery(k, len(query_ids))
         positions = np.arange(len(query_ids))
         for batch in batches:
             if not batch.num_rows:
@@ -166,7 +174,7 @@ def _scan_in_blocks(
     )
 
     def search(query_rows: pd.DataFrame, chunk_rows: pd.DataFrame) -> pd.DataFrame:
-        best = _BestPerQuery(k)
+        best = _BestPerQuery(k, len(query_rows))
         if len(query_rows) and len(chunk_rows):
             query_matrix = np.stack(query_rows["query_vector"].to_numpy()).astype(np.float64)
             vectors = np.stack(chunk_rows["embedding"].to_numpy()).astype(np.float64)
