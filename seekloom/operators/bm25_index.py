@@ -42,10 +42,15 @@ class KeywordIndex:
 
 
 def bucketed_ids(ids: DataFrame, chunk_buckets: int) -> tuple[DataFrame, list[str]]:
-    """Chunk ids with the join columns that prune chunk buckets, if there are any."""
+    """Chunk ids with the join columns that prune chunk buckets, if there are any.
+
+    Spark prunes partitions at run time only if the other side of the join is filtered by
+    a comparison, hence the one that always holds.
+    """
     if not chunk_buckets:
         return ids.select("chunk_id"), ["chunk_id"]
-    return ids.select(lane("chunk_id", chunk_buckets).alias("chunk_bucket"), "chunk_id"), BUCKETED
+    keyed = ids.select(lane("chunk_id", chunk_buckets).alias("chunk_bucket"), "chunk_id")
+    return keyed.filter(F.col("chunk_bucket") >= 0), BUCKETED
 
 
 def postings(chunks: DataFrame, lower_first: bool = True) -> DataFrame:

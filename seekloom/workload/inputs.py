@@ -23,6 +23,7 @@ from seekloom.sources.snapshots import Snapshot, current
 
 MODEL = "fixture-model"
 SHARD_ROWS = 512
+CELLS = 16
 LEXICON_TERMS = 40
 LEXICON_WEIGHT = 2.0
 # A rule over words of the bundled texts, beside the domain rules.
@@ -173,7 +174,7 @@ def cells(spark: SparkSession, sf_dir: str):
 
     def build():
         corpus = embeddings(spark, sf_dir)
-        model = fit_cells(corpus, n_cells=16)
+        model = fit_cells(corpus, n_cells=CELLS)
         path = scratch_path(spark, "cells")
         assign_cells(corpus, model).write.partitionBy("cell").parquet(path)
         return model, spark.read.schema(

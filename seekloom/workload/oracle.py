@@ -286,6 +286,8 @@ STATEMENTS: dict[str, str] = {
     ),
     "embed_texts": """SELECT query_id, round(a / size, 4) AS v0, round(b / size, 4) AS v1,
         round(c / size, 4) AS v2, round(d / size, 4) AS v3 FROM embedded""",
+    "embed_text_hashed": """SELECT query_id, 64 AS dim, CASE WHEN query_id IN
+        (SELECT query_id FROM qwords) THEN 1.0::double ELSE 0.0::double END AS norm FROM asked""",
     "rrf_fuse": """SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag, rank
         FROM fused""",
     "hybrid_search": """SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag, rank
@@ -353,5 +355,7 @@ def _complete(statement: str) -> str:
 
 
 STATEMENTS["coverage_audit_sql"] = STATEMENTS["coverage_audit"]
+# Probing every cell of the approximate index is an exact search.
+STATEMENTS["vector_topk_approx_all_cells"] = STATEMENTS["vector_topk"]
 
 ORACLE: dict[str, str] = {name: _complete(sql) for name, sql in STATEMENTS.items()}

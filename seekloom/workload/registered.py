@@ -282,6 +282,14 @@ def vector_topk_approx(spark, sf_dir):
     return vectors.vector_topk_approx(inputs.queries(spark, sf_dir), index, model)
 
 
+@register
+def vector_topk_approx_all_cells(spark, sf_dir):
+    model, index = inputs.cells(spark, sf_dir)
+    return vectors.vector_topk_approx(
+        inputs.queries(spark, sf_dir), index, model, n_probe=inputs.CELLS
+    ).withColumn("search_score", F.round("search_score", 6))
+
+
 @register
 def vector_index_refresh(spark, sf_dir):
     model, index = inputs.cells(spark, sf_dir)

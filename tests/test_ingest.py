@@ -176,6 +176,20 @@ def test_stream_follows_a_directory(spark, make_chunks, tmp_path):
     assert index_rows(current(spark, lake).index(spark)) == expected
 
 
+def test_text_lookup_reads_the_buckets_of_its_hits(spark, make_chunks, tmp_path, plan_text):
+    from seekloom.operators.keyword import attach_text
+    from seekloom.plans.scratch import written
+
+    lake = LakeConfig(str(tmp_path / "lake"), 4, 2)
+    ingest(spark, lake, make_chunks(texts(3, range(12))), update_keyword_index=False)
+    table = current(spark, lake).read(spark, "chunks")
+    hits = written(spark.createDataFrame([(1, "c3"), (2, "no")], "query_id long, chunk_id string"), "h")
+    found = attach_text(hits, table, lake.chunk_buckets)
+    plan = plan_text(found)
+    assert any("dynamicpruningexpression(chunk_bucket" in line for line in plan.splitlines())
+    assert {r.chunk_id: r.source_file for r in found.collect()} == {"c3": "/d/c3.txt", "no": None}
+
+
 def test_ask_from_a_lake(spark, make_chunks, tmp_path):
     from seekloom.operators.embed import embed_hashed
     from seekloom.plans.answers import ask, query_table

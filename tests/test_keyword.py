@@ -183,10 +183,20 @@ def test_plan_has_no_cartesian_product_and_limits_early(
     size = measure_queries(queries)
     kept = select_terms(queries, index, lexicon, LOOSE, size)
     ranked = keyword.keyword_ranking(kept, index, chunks, KeywordConfig(), size)
-    plan = plan_text(ranked)
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "WindowGroupLimit" in plan
-    assert "dynamicpruning" in plan
+    found = keyword.candidates(kept, index, 5, KeywordConfig(), size)
+    terms = keyword.matched_terms(ranked, kept, index, KeywordConfig(), size)
+    for frame in (ranked, found, terms):
+        plan = plan_text(frame)
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "WindowGroupLimit" in plan_text(found)
+    assert "term_bucket" in pruned(plan_text(kept))
+    assert "term_bucket" in pruned(plan_text(found))
+    assert "chunk_bucket" in pruned(plan_text(terms))
+
+
+def pruned(plan):
+    """The partition filters that are filled in at run time."""
+    return " ".join(line for line in plan.splitlines() if "dynamicpruningexpression" in line)
 
 
 def test_budget_is_respected():
