@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekloom.llm import mixing, token_files, warc
+from seekloom.llm import jaccard_join, line_frequency, mixing, token_files, warc
 from seekloom.plans.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,16 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and lines that many documents of a source share."""
+    return line_frequency.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by the similarity of their shingle sets."""
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC archives and read back as chunks."""
     pages = table(spark, sf_dir, "pages")
@@ -46,6 +56,8 @@ def op9_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_frequency": op1_line_frequency,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_warc_chunks": op3_warc_chunks,
     "op5_systematic_mix": op5_systematic_mix,
     "op9_token_lists": op9_token_lists,
