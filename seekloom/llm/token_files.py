@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,13 @@ _ARROW = pa.schema(
 )
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """The visible character that a byte-level vocabulary has for each byte, by its rule."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [byte for byte in range(256) if byte not in visible]
+    return {byte: 256 + at for at, byte in enumerate(rest)}
+
+
 class PieceEncoder:
     """Encode whole texts with a byte-level BPE tokenizer, remembering pieces.
 
@@ -36,25 +44,38 @@ class PieceEncoder:
     other characters, and around a single line feed that does, whatever surrounds them.
     So the pieces between such cuts can be encoded apart with the same ids; a line with
     any other white space is a piece as a whole. A piece that ends in a letter and one
-    mark is cut before the mark for the same reason. Frequent pieces are encoded once.
+    mark is cut before the mark for the same reason. A piece of letters alone goes straight
+    to the tokenizer's model, as the earlier steps change nothing but its alphabet.
+    Frequent pieces are encoded once.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model, self._alphabet = self._tokenizer.model, _byte_alphabet()
         self._head: dict[str, bytes] = {}
         self._tail: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.asarray(one.ids, dtype="<u4").tobytes() for one in found]
+        return [struct.pack(f"<{len(one)}I", *one.ids) for one in found]
+
+    def _letters(self, lead: str, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode("utf-8").decode("latin-1").translate(self._alphabet)
+        ids = [token.id for token in self._model.tokenize(lead + piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, known: dict[str, bytes], missing: list[str], lead: str) -> None:
+    def _learn(self, known: dict[str, bytes], missing: set[str], lead: str) -> None:
         marks = {p: p[:-1] for p in missing if p[-1:] in ",.!;:?" and p[-2:-1].isalpha()}
         plain = {p for p in missing if p not in marks}
-        plain |= {p for p in marks.values() if p not in known}
-        plain = sorted(plain)
+        plain |= set(marks.values()).difference(known)
+        shown = lead.translate(self._alphabet)
+        for piece in plain:
+            if piece.isalpha():
+                known[piece] = self._letters(shown, piece)
+        plain = sorted(piece for piece in plain if piece not in known)
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
             known.update(zip(some, self._encode([lead + p for p in some]), strict=True))
@@ -87,10 +108,14 @@ class PieceEncoder:
                 if after is not None:
                     lines.append(["\n"])
             plans.append(lines)
-        heads = {line[0] for plan in plans for line in plan}
-        tails = {piece for plan in plans for line in plan for piece in line[1:]}
-        self._learn(self._head, [p for p in heads if p not in self._head], "")
-        self._learn(self._tail, [p for p in tails if p not in self._tail], " ")
+        heads: set[str] = set()
+        tails: set[str] = set()
+        for plan in plans:
+            for line in plan:
+                heads.add(line[0])
+                tails.update(line[1:])
+        self._learn(self._head, heads.difference(self._head), "")
+        self._learn(self._tail, tails.difference(self._tail), " ")
         head, tail = self._head, self._tail
         return [
             b"".join(
