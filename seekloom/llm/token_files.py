@@ -117,14 +117,14 @@ class PieceEncoder:
         self._learn(self._head, heads.difference(self._head), "")
         self._learn(self._tail, tails.difference(self._tail), " ")
         head, tail = self._head, self._tail
-        return [
-            b"".join(
-                part
-                for line in plan
-                for part in (head[line[0]], *map(tail.__getitem__, line[1:]))
-            )
-            for plan in plans
-        ]
+        found = []
+        for plan in plans:
+            parts = []
+            for line in plan:
+                parts.append(head[line[0]])
+                parts.extend(map(tail.__getitem__, line[1:]))
+            found.append(b"".join(parts))
+        return found
 
 
 @functools.lru_cache(maxsize=1)
