@@ -357,7 +357,8 @@ def record_summaries(chunks: DataFrame) -> DataFrame:
     named = again["refers_to"].eqNullSafe(revisited["_page_id"]) & (
         again["declared_digest"] == revisited["_digest"]
     )
-    resolved = again.join(revisited, named, "left").select(
+    # Spark can't see how much a few archive paths grow to; without the hint it would broadcast.
+    resolved = again.join(revisited.hint("merge"), named, "left").select(
         "page_id",
         F.col("_bytes").alias("payload_bytes"),
         F.col("_digest").alias("payload_digest"),
