@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekloom.llm import jaccard_join, line_frequency, mixing, token_files, warc
+from seekloom.llm import jaccard_join, line_frequency, mixing, passages, token_files, warc
 from seekloom.plans.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,12 +55,18 @@ def op9_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that near-duplicate a passage elsewhere."""
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_warc_chunks": op3_warc_chunks,
     "op5_systematic_mix": op5_systematic_mix,
     "op9_token_lists": op9_token_lists,
+    "op10_compact_windows": op10_compact_windows,
 }
 
 ORACLE: dict[str, str] = {
