@@ -7,8 +7,12 @@ set costs its units where they are cheap: a segment's subset is indexed as it is
 unit, one row). Segments that are empty, or whose subset is held by many sets, would cost
 long lists and are not used; a set that is left with D units or fewer is indexed anew
 with half as many, larger segments, each as its subset and all subsets with one element
-deleted (two units each). A pair is found in the first index unless both sets ran short
-there, and then in the second, so nothing is lost. All candidates are verified exactly.
+deleted (two units each). Long lists are left out there too; the sets that run short again
+are those of large groups of near copies, whose lists are all long. These are linked to
+the first set of each list, and lists that are not one component then are paired across
+components. A pair is found in the first index unless both sets ran short there, then in
+the second unless both ran short again, so nothing is lost. Candidates must share as many
+units as similar sets do, and are then verified exactly.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekloom.llm.components import connected_components
@@ -121,18 +125,28 @@ def subset_rows(found: np.ndarray, percent: int) -> list[tuple[np.ndarray, int,
     return rows
 
 
-def neighbourhood_rows(found: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set's subsets and one-deletion subsets in the second index of a band."""
+def double_segments(band: int, percent: int) -> int:
+    """Segments of a band in the second index, where each is worth two units."""
     high = band_start(band + 1, percent) - 1
-    count = most_different(high + high * 100 // percent, percent) // 2 + 1
+    return most_different(high + high * 100 // percent, percent) // 2 + 1
+
+
+def neighbourhood_rows(
+    found: np.ndarray, band: int, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set's subsets and one-deletion subsets in the second index of a band.
+
+    With them the segment of each, and whether an element was deleted.
+    """
+    count = double_segments(band, percent)
     at = ((found >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
     values, salt = mix(found + _SALT), (1 << 20) + band
     sums = np.zeros(count, dtype=np.uint64)
     np.add.at(sums, at, values)
-    whole = _named(sums, np.arange(count, dtype=np.uint64), salt)
-    less = _named(sums[at] - values, at, salt)
+    every = np.arange(count, dtype=np.uint64)
+    whole, less = _named(sums, every, salt), _named(sums[at] - values, at, salt)
     deleted = np.concatenate([np.zeros(count, bool), np.ones(len(found), bool)])
-    return np.concatenate([whole, less]), deleted
+    return np.concatenate([whole, less]), np.concatenate([every, at]).astype(np.int32), deleted
 
 
 def subset_index(texts: DataFrame, percent: int) -> DataFrame:
@@ -277,25 +291,63 @@ def subset_candidates(index: DataFrame, percent: int, long_list: int = LONG_LIST
 
 
 def neighbourhood_index(texts: DataFrame, short: DataFrame, percent: int) -> DataFrame:
-    """The second index: ``(sig, doc_id, n, deleted)`` of the sets in ``short`` (doc_id, bands)."""
+    """The second index of the sets in ``short`` (doc_id, bands).
+
+    ``segment`` and ``deleted`` say what a signature stands for; ``m`` is the number of
+    segments of the band and ``differ`` the differences the set must reckon with there.
+    """
+    schema = "sig long, doc_id long, band int, segment int, deleted boolean, n int, m int, differ int"
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "doc_id", "n", "deleted"]
         for batch in batches:
             rows = zip(*(batch.column(at).to_pylist() for at in range(3)), strict=True)
             for doc_id, text, bands in rows:
                 found = shingle_set(text)
                 for band in bands:
-                    if not len(found) or allowance(len(found), band, percent) is None:
+                    differ = allowance(len(found), band, percent) if len(found) else None
+                    if differ is None:
                         continue
-                    sigs, deleted = neighbourhood_rows(found, band, percent)
-                    ids = pa.array(np.full(len(sigs), doc_id, np.int64))
-                    size = pa.array(np.full(len(sigs), len(found), np.int32))
-                    arrays = [pa.array(signed(sigs)), ids, size, pa.array(deleted)]
+                    sigs, segment, deleted = neighbourhood_rows(found, band, percent)
+                    fixed = (len(found), double_segments(band, percent), differ)
+                    size = len(sigs)
+                    arrays = [
+                        pa.array(signed(sigs)), pa.array(np.full(size, doc_id, np.int64)),
+                        pa.array(np.full(size, band, np.int32)), pa.array(segment), pa.array(deleted),
+                        *(pa.array(np.full(size, value, np.int32)) for value in fixed),
+                    ]
                     yield pa.record_batch(arrays, names=names)
 
     joined = only_ids(texts, short).join(short, "doc_id").select("doc_id", "text", "bands")
-    return joined.mapInArrow(index, "sig long, doc_id long, n int, deleted boolean")
+    return joined.mapInArrow(index, schema)
+
+
+def _shared_units(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of the sets in each list, with the units that they share.
+
+    An equal subset is two units, one with one element more or less is one.
+    """
+    columns = [name for name in lists.columns if name != "sig"]
+    left = lists.select("sig", *(F.col(name).alias(f"{name}_a") for name in columns))
+    right = lists.select("sig", *(F.col(name).alias(f"{name}_b") for name in columns))
+    pairs = left.join(right, "sig").filter(
+        (F.col("doc_id_a") < F.col("doc_id_b"))
+        & ~(F.col("deleted_a") & F.col("deleted_b"))
+        & _like("n_a", "n_b", percent)
+    )
+    if "part" in columns:
+        pairs = pairs.filter(F.col("part_a") != F.col("part_b"))
+    units = F.when(F.col("deleted_a") | F.col("deleted_b"), 1).otherwise(2)
+    total = F.first("n_a") + F.first("n_b")
+    differ = F.floor(total * (100 - percent) / (100 + percent))
+    return pairs.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.col("band_a").alias("band")).agg(
+        F.sum(units).alias("units"), (2 * F.first("m_a") - differ).alias("need")
+    )
+
+
+def _like(n: str, m: str, percent: int) -> Column:
+    """Whether sets of two sizes can be similar."""
+    return F.greatest(n, m) * percent <= F.least(n, m) * 100
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -363,14 +415,35 @@ def _short_sets(found: DataFrame) -> DataFrame:
     return written(short.agg(F.collect_set(F.col("band").cast("int")).alias("bands")), "short")
 
 
+def _second_pairs(lists: DataFrame, percent: int, long_list: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates from the short lists of the second index, and the sets that ran short.
+
+    A segment any of whose lists is long is not counted on, nor is it asked for.
+    """
+    lost = written(
+        lists.filter(F.col("listed") > long_list)
+        .groupBy("doc_id", "band")
+        .agg(
+            F.count_distinct("segment").alias("lost"), F.first("m").alias("m"), F.first("differ").alias("differ")
+        ),
+        "lost",
+    )
+    pairs = _shared_units(lists.filter(F.col("listed") <= long_list).drop("listed"), percent)
+    for side in ("a", "b"):
+        own = lost.select(F.col("doc_id").alias(side), "band", F.col("lost").alias(f"lost_{side}"))
+        pairs = pairs.join(own, [side, "band"], "left")
+    zero = F.lit(0).cast("long")
+    fewer = F.least(F.coalesce("lost_a", zero), F.coalesce("lost_b", zero))
+    pairs = pairs.filter(F.col("units") >= F.col("need") - 2 * fewer).select("a", "b").distinct()
+    return pairs, lost.filter(2 * (F.col("m") - F.col("lost")) <= F.col("differ")).select("doc_id", "band")
+
+
 def similar_links(
     texts: DataFrame, percent: int = PERCENT, long_list: int = LONG_LIST
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different texts, enough to connect all similar ones; and set sizes.
 
-    ``texts`` has one row per text. Pairs in the second index are first tried with each
-    list's smallest id; only lists that then still hold several components are paired
-    across these, which keeps a large group of near copies from giving all its pairs.
+    ``texts`` has one row per text.
     """
     candidates = subset_candidates(subset_index(texts, percent), percent, long_list)
     found = written(candidates, "found")
@@ -378,38 +451,35 @@ def similar_links(
         F.col("a").alias("doc_id"), F.col("b").alias("text_key"), F.col("x").alias("n_shingles")
     )
     by_sig = Window.partitionBy("sig")
-    second = neighbourhood_index(texts, _short_sets(found), percent)
-    second = (
-        second.withColumn("lead", F.min(F.struct("doc_id", "n")).over(by_sig))
-        .withColumn("most", F.max("doc_id").over(by_sig))
-        .withColumn("whole", F.min("deleted").over(by_sig))
-        .filter(~F.col("whole") & (F.col("most") > F.col("lead.doc_id")))
-        .select("sig", "doc_id", "n", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n"))
+    lists = neighbourhood_index(texts, _short_sets(found), percent)
+    lists = (
+        lists.withColumn("low", F.min("doc_id").over(by_sig))
+        .withColumn("high", F.max("doc_id").over(by_sig))
+        .withColumn("no_whole", F.min("deleted").over(by_sig))
+        .withColumn("listed", F.count(F.lit(1)).over(by_sig))
+        .filter(~F.col("no_whole") & (F.col("low") != F.col("high")))
+        .drop("low", "high", "no_whole")
     )
-    second = written(second.distinct(), "lists")
-
-    def like(n: str, m: str):
-        return F.greatest(n, m) * percent <= F.least(n, m) * 100
-
-    stars = second.filter((F.col("lead") < F.col("doc_id")) & like("n", "lead_n")).select(
-        F.col("lead").alias("a"), F.col("doc_id").alias("b")
+    lists = written(lists, "lists")
+    pairs, shorter = _second_pairs(lists, percent, long_list)
+    shorter = written(shorter, "shorter")
+    hard = written(lists.drop("listed").join(shorter, ["doc_id", "band"], "left_semi"), "hard")
+    lead = hard.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("lead"))
+    stars = hard.join(lead, "sig").filter(
+        (F.col("lead.doc_id") < F.col("doc_id")) & _like("n", "lead.n", percent)
     )
-    tried = written(_first_pairs(found).unionByName(stars.distinct()).distinct(), "tried")
+    stars = stars.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    tried = written(_first_pairs(found).unionByName(pairs).unionByName(stars).distinct(), "tried")
     links = verified(tried, texts, percent)
     parts = connected_components(links, "a", "b")
-    placed = second.join(parts, F.col("doc_id") == F.col("node"), "left").select(
-        "sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")
+    placed = hard.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn(
+        "part", F.coalesce("component", "doc_id")
     )
     split = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    placed = placed.join(split.filter("low != high").select("sig"), "sig")
-    left = placed.select("sig", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "part")))
-    right = placed.select("sig", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "part")))
-    across = left.join(right, "sig").filter(
-        (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("part_a") != F.col("part_b")) & like("n_a", "n_b")
-    )
-    across = across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    more = verified(across.join(tried, ["a", "b"], "left_anti"), texts, percent)
-    return links.unionByName(more), sizes
+    placed = placed.join(split.filter("low != high").select("sig"), "sig").drop("node", "component")
+    across = _shared_units(placed, percent).filter(F.col("units") >= F.col("need"))
+    across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(verified(across, texts, percent)), sizes
 
 
 def jaccard_classes(

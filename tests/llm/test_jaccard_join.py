@@ -88,8 +88,13 @@ def test_pigeonhole_holds_for_every_pair(percent):
             band = min(map(lambda s: jaccard_join.band_of(len(s), percent), (one, other)))
             shared = rows[0][band][0] & rows[1][band][0]
             assert shared or (rows[0][band][1] < 0 and rows[1][band][1] < 0)
-            second = [set(jaccard_join.neighbourhood_rows(s, band, percent)[0].tolist()) for s in (one, other)]
-            assert second[0] & second[1]
+            second = [jaccard_join.neighbourhood_rows(s, band, percent) for s in (one, other)]
+            whole = [set(sigs[~deleted].tolist()) for sigs, _, deleted in second]
+            less = [set(sigs[deleted].tolist()) for sigs, _, deleted in second]
+            units = 2 * len(whole[0] & whole[1]) + len(whole[0] & less[1]) + len(less[0] & whole[1])
+            total = len(one) + len(other)
+            need = 2 * jaccard_join.double_segments(band, percent) - jaccard_join.most_different(total, percent)
+            assert need > 0 and units >= need
 
 
 def test_components_of_chains_stars_and_rings(spark):
