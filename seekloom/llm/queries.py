@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekloom.llm import jaccard_join, line_frequency, mixing, passages, token_files, warc
+from seekloom.llm import (
+    containment,
+    fuzzy_lines,
+    jaccard_join,
+    line_frequency,
+    mixing,
+    passages,
+    token_files,
+    warc,
+)
 from seekloom.plans.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +56,18 @@ def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one line of each group of near-duplicate lines."""
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    return containment.contained_items(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op9_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written to Parquet list columns and read back."""
     path = scratch_path(spark, "tokens")
@@ -65,6 +86,8 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_warc_chunks": op3_warc_chunks,
     "op5_systematic_mix": op5_systematic_mix,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
+    "op8_benchmark_containment": op8_benchmark_containment,
     "op9_token_lists": op9_token_lists,
     "op10_compact_windows": op10_compact_windows,
 }
@@ -119,4 +142,22 @@ ORACLE: dict[str, str] = {
             CAST(least(floor(e * n + u) - floor(e * (n - 1) + u), 3) AS BIGINT) * size AS taken
         FROM shares
     """,
+    "op8_benchmark_containment": r"""
+        WITH words AS (
+            SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+            UNION ALL
+            SELECT 1, item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') FROM benchmark
+        ), shingles AS (
+            SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5
+                THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                WHEN len(w) > 0 THEN ['<' || array_to_string(w, ' ')] ELSE [] END) AS shingle
+            FROM words
+        ), items AS (
+            SELECT id, shingle, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE side = 1
+        )
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n) AS n_item
+        FROM shingles d JOIN items i USING (shingle) WHERE d.side = 0
+        GROUP BY d.id, i.id HAVING 100 * count(*) >= 75 * any_value(n)
+    """,
 }
