@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seekloom.llm import (
     containment,
+    cotraining,
     fuzzy_lines,
     jaccard_join,
     line_frequency,
@@ -50,6 +51,12 @@ def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_summaries(warc.read_archives(files))
 
 
+def op4_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored by co-trained text and metadata classifiers."""
+    labels = cotraining.good_labels(table(spark, sf_dir, "labels"))
+    return cotraining.quality_scores(table(spark, sf_dir, "documents"), labels)
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 1, 2, 3 by systematic sampling."""
     mix = mixing.systematic_mix(table(spark, sf_dir, "documents"))
@@ -85,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_warc_chunks": op3_warc_chunks,
+    "op4_co_training": op4_co_training,
     "op5_systematic_mix": op5_systematic_mix,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op8_benchmark_containment": op8_benchmark_containment,
