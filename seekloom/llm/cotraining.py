@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -291,6 +292,22 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD
     return own.mapInArrow(scores, schema).withColumn("kept", F.col("score") >= threshold)
 
 
+def kept_documents(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their columns."""
+    if model is None:
+        return docs
+
+    @F.pandas_udf("double")
+    def own(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
+        rows = zip(text, lang, source, strict=True)
+        return pd.Series(
+            [model.score(text_features(t or ""), meta_features(t or "", l, s))[0] for t, l, s in rows],
+            dtype="float64",
+        )
+
+    return docs.filter(own("text", "lang", "source") >= threshold)
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED
 ) -> DataFrame:

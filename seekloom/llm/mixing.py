@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekloom.llm.ranks import ranked
 from seekloom.plans.scratch import written
+from seekloom.plans.sizing import hinted, keys_fit
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
@@ -70,10 +71,16 @@ def offset(source: Column | str, seed: str) -> Column:
 
 
 def systematic_mix(
-    docs: DataFrame, weights: DataFrame | None = None, cap: int = CAP, seed: str = SEED
+    docs: DataFrame,
+    weights: DataFrame | None = None,
+    cap: int = CAP,
+    seed: str = SEED,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` per document.
 
+    Columns named in ``keep`` follow these.
+
     A document of a source is expected ``target / source_size`` times. The prefix sum of
     the expected copies over the source's documents, shifted by one random offset per
     source, crosses an integer once for each copy that is emitted. Documents stand in
@@ -85,7 +92,7 @@ def systematic_mix(
     documents of their own; extra columns are ignored. A source without any word has
     target 0 and gives no copies. An empty table gives an empty result.
     """
-    sizes = docs.select("doc_id", "source", word_count("text").alias("size"))
+    sizes = docs.select("doc_id", "source", word_count("text").alias("size"), *keep)
     order = [F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
     placed = written(ranked(sizes, ["source"], order, "_number"), "placed")
     weights = repeating_weights(placed) if weights is None else weights
@@ -98,17 +105,41 @@ def systematic_mix(
     )
     copies = F.least(crossed, F.lit(cap).cast("long"))
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies")
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+        "doc_id",
+        "source",
+        "size",
+        "source_size",
+        "target",
+        copies.alias("copies"),
+        (copies * F.col("size")).alias("taken"),
+        *keep,
+    )
 
 
-def mixed_rows(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The documents of a mix, each row repeated as often as the mix takes it."""
-    taken = mix.filter(F.col("copies") > 0).select(
-        F.col("doc_id").alias("_doc_id"), F.col("copies").alias("_copies")
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of a mix of ``docs``: each document as often as ``systematic_mix`` takes it.
+
+    The copies go to the documents by id and text; they are broadcast if they were
+    measured to fit. Rows that share both are told apart by a number of their own, which
+    only these rows are shuffled for.
+    """
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    mix = systematic_mix(keyed, keep=("_text_key",), **options)
+    mix = mix.groupBy(F.col("doc_id").alias("_doc_id"), F.col("_text_key").alias("_key")).agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
     )
+    mix = written(mix.filter("_copies > 0"), "copies")
+    on = keyed["doc_id"].eqNullSafe(F.col("_doc_id")) & (keyed["_text_key"] == F.col("_key"))
+    fits = keys_fit(mix, "_doc_id", "_key", "_copies", "_rows")
+    joined = keyed.join(hinted(mix, fits), on)
+    again = Window.partitionBy("_doc_id", "_key").orderBy(F.lit(1))
+    share = F.floor(F.col("_copies") / F.col("_rows"))
+    extra = (F.row_number().over(again) <= F.col("_copies") % F.col("_rows")).cast("long")
+    single = joined.filter("_rows = 1").withColumn("_own", F.col("_copies"))
+    repeated = joined.filter("_rows > 1").withColumn("_own", share + extra)
     return (
-        docs.join(taken, docs["doc_id"].eqNullSafe(taken["_doc_id"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+        single.unionByName(repeated)
+        .filter("_own > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own").cast("long"))))
         .select(*docs.columns)
     )

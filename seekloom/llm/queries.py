@@ -14,6 +14,7 @@ from seekloom.llm import (
     line_frequency,
     mixing,
     passages,
+    surrogates,
     token_files,
     warc,
 )
@@ -68,6 +69,11 @@ def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose personal data is replaced by surrogates."""
+    return surrogates.replace_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents contain."""
     return containment.contained_items(
@@ -95,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op4_co_training": op4_co_training,
     "op5_systematic_mix": op5_systematic_mix,
     "op6_fuzzy_lines": op6_fuzzy_lines,
+    "op7_surrogates": op7_surrogates,
     "op8_benchmark_containment": op8_benchmark_containment,
     "op9_token_lists": op9_token_lists,
     "op10_compact_windows": op10_compact_windows,

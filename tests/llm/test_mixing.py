@@ -31,7 +31,15 @@ def test_empty_tables_repeated_rows_and_wordless_sources(make_docs):
     assert systematic_mix(make_docs([])).count() == 0
     blank = systematic_mix(make_docs([(1, " \n", "a"), (1, " \n", "a"), (None, None, None)]))
     assert [row["taken"] for row in blank.collect()] == [0, 0, 0]
-    docs = make_docs([(1, "a b", "a"), (2, "c d", "b")])
-    mix = systematic_mix(docs)
-    assert mixed_rows(docs, mix).count() == sum(row["copies"] for row in mix.collect())
-    assert mixed_rows(docs, mix).columns == docs.columns
+    rows = [(1, "a b", "a"), (2, "c d", "b"), (2, "c d", "b"), (2, "c d e", "b"), (None, "f g", None), (None, "f g", None)]
+    docs = make_docs(rows)
+    copies = {}
+    for row in systematic_mix(docs).collect():
+        copies[row["doc_id"], row["size"]] = copies.get((row["doc_id"], row["size"]), 0) + row["copies"]
+    mixed = mixed_rows(docs)
+    assert mixed.columns == docs.columns
+    found = {}
+    for row in mixed.collect():
+        key = (row["doc_id"], len(row["text"].split()))
+        found[key] = found.get(key, 0) + 1
+    assert found == {key: n for key, n in copies.items() if n}
