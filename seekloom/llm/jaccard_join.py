@@ -8,9 +8,9 @@ unit, one row). Segments that are empty, or whose subset is held by many sets, w
 long lists and are not used; a set that is left with D units or fewer is indexed anew
 with half as many, larger segments, each as its subset and all subsets with one element
 deleted (two units each). Long lists are left out there too; the sets that run short again
-are those of large groups of near copies, whose lists are all long. These are linked to
-the first set of each list, and lists that are not one component then are paired across
-components. A pair is found in the first index unless both sets ran short there, then in
+are those of large groups of near copies, whose lists are all long. These are compared
+with one set of each list, then with others while the list is not one component, and what
+is left is paired across components. A pair is found in the first index unless both sets ran short there, then in
 the second unless both ran short again, so nothing is lost. Candidates must share as many
 units as similar sets do, and are then verified exactly.
 """
@@ -33,6 +33,7 @@ from seekloom.llm.hashing import mix, shingle_set, signed
 from seekloom.plans.scratch import written
 
 PERCENT = 75
+LEADS = 3  # sets of a split list that are compared with all of it before all pairs are
 LONG_LIST = 12  # sets that share a subset, beyond which it is no unit of the first index
 _OWN, _UPPER, _SIZE = 0, 1, 2
 _PAIR, _LONG, _MEASURE = 0, 1, 2
@@ -471,15 +472,37 @@ def similar_links(
     stars = stars.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     tried = written(_first_pairs(found).unionByName(pairs).unionByName(stars).distinct(), "tried")
     links = verified(tried, texts, percent)
+    for turn in range(1, LEADS + 1):
+        placed = _split_lists(hard, links)
+        if placed.isEmpty():
+            break
+        # Another lead, the same one in all lists that it is in.
+        order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n", "part")
+        lead = placed.groupBy("sig").agg(F.min(order).alias("lead"))
+        other = (F.col("lead.part") != F.col("part")) & _like("n", "lead.n", percent)
+        pairs = placed.join(lead, "sig").filter(other).select(
+            F.least("lead.doc_id", "doc_id").alias("a"), F.greatest("lead.doc_id", "doc_id").alias("b")
+        )
+        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "led")
+        tried = tried.unionByName(pairs)
+        more = verified(pairs, texts, percent)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+    across = _shared_units(_split_lists(hard, links), percent).filter(F.col("units") >= F.col("need"))
+    across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(verified(across, texts, percent)), sizes
+
+
+def _split_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists whose sets are not one component of the links yet, with each set's ``part``."""
     parts = connected_components(links, "a", "b")
-    placed = hard.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn(
+    placed = lists.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn(
         "part", F.coalesce("component", "doc_id")
     )
     split = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    placed = placed.join(split.filter("low != high").select("sig"), "sig").drop("node", "component")
-    across = _shared_units(placed, percent).filter(F.col("units") >= F.col("need"))
-    across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(verified(across, texts, percent)), sizes
+    split = split.filter("low != high").select("sig")
+    return written(placed.join(split, "sig").drop("node", "component"), "split")
 
 
 def jaccard_classes(
