@@ -24,6 +24,7 @@ class KeywordConfig:
     min_terms: int = 2
     english_ratio_min: float | None = 0.35
     oversample: int = 5
+    filter_first: bool = True
 
 
 @dataclass(frozen=True)

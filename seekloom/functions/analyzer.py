@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A maximal run of [a-z0-9], three or more long, holding at least one letter.
-DOCUMENT_RUN = r"(?=[0-9]*[a-z])[a-z0-9]{3,}"
+# A maximal run of [a-z0-9], three or more long, holding at least one letter. It can only
+# begin where a run begins, and its leading digits are not tried again once a run turns
+# out to have no letter, so a text of digits alone is walked once.
+DOCUMENT_RUN = r"(?<![a-z0-9])(?=[a-z0-9]{3})[0-9]*+[a-z][a-z0-9]*+"
 QUERY_RUN = r"[a-z0-9]+"
 
 

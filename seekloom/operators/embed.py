@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekloom.functions.analyzer import query_tokens
+from seekloom.plans.sizing import in_tasks
 
 # A factory is called once per task and returns the model: a callable that takes texts
 # and gives token vectors [batch, tokens, dim] with their mask [batch, tokens].
@@ -33,6 +34,7 @@ def embed_texts(
     text_col: str = "query_text",
     vector_col: str = "query_vector",
     batch_size: int = 16,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add ``vector_col``: mean-pooled, normalised model output for each text.
 
@@ -59,7 +61,7 @@ def embed_texts(
                 names=[*batch.schema.names, vector_col],
             )
 
-    return frame.mapInArrow(embed, schema)
+    return in_tasks(frame, tasks).mapInArrow(embed, schema)
 
 
 def embed_hashed(

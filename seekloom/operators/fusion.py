@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from seekloom.operators.bm25_index import KeywordIndex
 from seekloom.operators.keyword import attach_text, keyword_ranking
 from seekloom.operators.lexicon import Lexicon
 from seekloom.operators.terms import select_terms
-from seekloom.operators.vectors import vector_topk
+from seekloom.operators.vectors import vector_topk, vector_topk_approx
 from seekloom.plans.scratch import written
 from seekloom.plans.sizing import QuerySize, measure_queries
 from seekloom.plans.topk import top_k
@@ -75,14 +76,22 @@ def hybrid_search(
     with_text: bool = False,
     with_clean_text: bool = False,
     size: QuerySize | None = None,
+    cell_model: KMeansModel | None = None,
+    n_probe: int = 4,
 ) -> DataFrame:
     """Vector and keyword retrieval, fused.
 
+    With ``cell_model`` the corpus is a cell table (with ``cell``) and only the cells next
+    to a query are searched; without it every vector is.
+
     ``queries(query_id, query_text, query_vector)``. ``keyword.k`` is replaced by
     ``fusion.top_each``. With text, chunk columns (and ``text_clean``) are added.
     """
     size = size or measure_queries(queries)
-    by_vector = vector_topk(queries, corpus, fusion.top_each, size)
+    if cell_model is None:
+        by_vector = vector_topk(queries, corpus, fusion.top_each, size)
+    else:
+        by_vector = vector_topk_approx(queries, corpus, cell_model, fusion.top_each, n_probe)
     settings = KeywordConfig(**{**keyword.__dict__, "k": fusion.top_each})
     kept = select_terms(queries, index, lexicon, settings, size)
     by_keyword = keyword_ranking(kept, index, chunks, settings, size)

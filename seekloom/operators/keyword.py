@@ -75,6 +75,13 @@ def attach_text(hits: DataFrame, chunks: DataFrame, chunk_buckets: int = 0) -> D
     return hits.join(wanted.select("chunk_id", *TEXT_COLUMNS), "chunk_id", "left")
 
 
+def passing_ids(chunks: DataFrame, minimum: float) -> DataFrame:
+    """Ids of the chunks with enough ASCII letters, from the stored ratio where there is one."""
+    stored = "english_ratio" in chunks.columns
+    ratio = F.col("english_ratio") if stored else english_ratio("text")
+    return chunks.filter(ratio >= minimum).select("chunk_id")
+
+
 def language_filter(hits: DataFrame, chunks: DataFrame, minimum: float) -> DataFrame:
     """Keep stored hits whose chunk has enough ASCII letters; hits without a chunk go.
 
@@ -157,13 +164,19 @@ def keyword_ranking(
     config: KeywordConfig,
     size: QuerySize,
 ) -> DataFrame:
-    """``query_id, chunk_id, score, rank``: candidates, language filter, final cut.
+    """``query_id, chunk_id, score, rank``: scored chunks, language filter, final cut.
 
-    The candidate cut comes before the language filter, so fewer than ``k`` rows may
-    remain; ``oversample`` sets how many candidates are looked at.
+    With ``filter_first`` every scored chunk that fails the language filter is left out
+    before the cut, so ``k`` rows remain whenever that many qualify. Without it the best
+    ``k * oversample`` are cut first and fewer may remain.
     """
     if config.english_ratio_min is None:
         return candidates(kept, index, config.k, config, size).drop("hit_terms")
+    if config.filter_first:
+        scored = chunk_scores(term_scores(kept, index, config, size.terms_fit()), config.min_terms)
+        passing = passing_ids(chunks, config.english_ratio_min)
+        found = scored.drop("hit_terms").join(passing, "chunk_id", "left_semi")
+        return top_k(found, ["query_id"], by_score("score"), config.k, spread_by="chunk_id")
     pool = config.k * config.oversample
     found = written(
         candidates(kept, index, pool, config, size).drop("hit_terms", "rank"), "candidates"

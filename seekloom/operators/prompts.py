@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seekloom.plans.sizing import in_tasks
 from seekloom.schemas import EVAL
 
 # The instruction, the answer format and the refusal token.
@@ -43,10 +44,14 @@ def context_table(ranked: DataFrame, rank_col: str = "rerank_rank") -> DataFrame
 
 
 def prompt_table(
-    queries: DataFrame, ranked: DataFrame, rank_col: str = "rerank_rank"
+    queries: DataFrame,
+    ranked: DataFrame,
+    rank_col: str = "rerank_rank",
+    instruction: str = SYSTEM_PROMPT,
+    headings: tuple[str, str, str] = USER_HEADINGS,
 ) -> DataFrame:
     """``(query_id, messages)`` for every query, also for those without any context."""
-    context, question, answer_format = USER_HEADINGS
+    context, question, answer_format = headings
     user = F.concat(
         F.lit(f"{context}\n"),
         F.coalesce(F.col("context"), F.lit("")),
@@ -55,7 +60,7 @@ def prompt_table(
         F.lit(f"\n\n{answer_format}"),
     )
     messages = F.array(
-        F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")),
+        F.struct(F.lit("system").alias("role"), F.lit(instruction).alias("content")),
         F.struct(F.lit("user").alias("role"), user.alias("content")),
     )
     return (
@@ -65,7 +70,9 @@ def prompt_table(
     )
 
 
-def generate_answers(prompts: DataFrame, factory: Callable[[], Generator]) -> DataFrame:
+def generate_answers(
+    prompts: DataFrame, factory: Callable[[], Generator], tasks: int | None = None
+) -> DataFrame:
     """``(query_id, answer)`` from a model built once per task on the executors."""
     schema = T.StructType(
         [prompts.schema["query_id"], T.StructField("answer", T.StringType())]
@@ -83,23 +90,29 @@ def generate_answers(prompts: DataFrame, factory: Callable[[], Generator]) -> Da
                 names=["query_id", "answer"],
             )
 
-    return prompts.mapInArrow(generate, schema)
+    return in_tasks(prompts, tasks).mapInArrow(generate, schema)
 
 
 def eval_rows(questions: DataFrame, answers: DataFrame, model: str) -> DataFrame:
     """One row per (question, model); several models are simply appended.
 
-    ``questions(query_id, query_text, fact, fact_source)``.
+    ``questions(query_id, query_text, fact, fact_source)``; ids keep their type.
     """
+    fields = [T.StructField("question_id", questions.schema["query_id"].dataType), *EVAL.fields[1:]]
     return (
         questions.join(answers, "query_id", "left")
         .select(
-            F.col("query_id").cast("long").alias("question_id"),
+            F.col("query_id").alias("question_id"),
             F.col("query_text").alias("question"),
             "fact",
             "fact_source",
             F.lit(model).alias("model"),
             "answer",
         )
-        .to(EVAL)
+        .to(T.StructType(fields))
     )
+
+
+def append_eval(rows: DataFrame, name: str) -> None:
+    """Append evaluation rows to a named table; runs of several models stand side by side."""
+    rows.write.mode("append").saveAsTable(name)

@@ -228,7 +228,7 @@ def vector_search(
     if "query_vector" not in queries.columns:
         if "query_text" not in queries.columns or embed is None:
             raise ValueError("queries need query_vector, or query_text and an embed function")
-        queries = embed(queries)
+        queries = written(embed(queries), "asked")
     size = measure_queries(queries)
     hits = written(vector_topk(queries, corpus, k, size), "nearest")
     return attach_text(hits, chunks)
@@ -273,6 +273,8 @@ def vector_topk_approx(
     """
     queries = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull())
     centers = np.stack(model.clusterCenters())
+    if centers.nbytes > budget.max_bytes:
+        raise ValueError("the cell centres exceed the broadcast budget: fit fewer cells")
     n_probe = min(n_probe, len(centers))
     size = measure_queries(queries)
 

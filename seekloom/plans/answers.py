@@ -1,9 +1,10 @@
-"""From questions to prompts and answers, as one lazy plan for all questions."""
+"""From questions to prompts and answers, for whole tables of questions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 
 from seekloom.config import AnswerConfig, LakeConfig
@@ -12,6 +13,7 @@ from seekloom.operators.fusion import hybrid_search
 from seekloom.operators.lexicon import Lexicon
 from seekloom.operators.prompts import eval_rows, generate_answers, prompt_table
 from seekloom.operators.rerank import lexical_scores, rerank_topk
+from seekloom.plans.ingest import stored_cell_model
 from seekloom.plans.scratch import written
 from seekloom.plans.sizing import measure_queries
 from seekloom.sources.snapshots import current
@@ -25,6 +27,8 @@ def answer_inputs(
     lexicon: Lexicon,
     config: AnswerConfig = AnswerConfig(),
     scorer: Callable[[DataFrame], DataFrame] = lexical_scores,
+    cell_model: KMeansModel | None = None,
+    n_probe: int = 4,
 ) -> DataFrame:
     """The reranked context of every query: hybrid search with text, then rerank."""
     fused = hybrid_search(
@@ -37,6 +41,8 @@ def answer_inputs(
         config.keyword,
         with_text=True,
         size=measure_queries(queries),
+        cell_model=cell_model,
+        n_probe=n_probe,
     )
     return rerank_topk(fused, queries, scorer, config.rerank_top_k, config.candidate_limit)
 
@@ -57,26 +63,36 @@ def ask(
     lexicon: Lexicon | None = None,
     config: AnswerConfig = AnswerConfig(),
     scorer: Callable[[DataFrame], DataFrame] = lexical_scores,
+    n_probe: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """Answer questions from the current version of a lake.
 
+    A lake that has cells is searched by them, with the model stored beside them.
+
     Returns the reranked context and ``(query_id, answer)``. ``embed`` adds
     ``query_vector`` to queries that come without one.
     """
     if "query_vector" not in queries.columns:
         if embed is None:
             raise ValueError("queries need query_vector or an embed function")
-        queries = embed(queries)
+        queries = written(embed(queries), "asked")
     snapshot = current(spark, lake)
+    model = stored_cell_model(spark, snapshot)
+    if model is None:
+        corpus = snapshot.rows(spark, "wide").select("chunk_id", "embedding")
+    else:
+        corpus = snapshot.read(spark, "cells").select("chunk_id", "embedding", "cell")
     ranked = written(
         answer_inputs(
             queries,
-            snapshot.rows(spark, "wide").select("chunk_id", "embedding"),
+            corpus,
             snapshot.index(spark),
             snapshot.read(spark, "chunks"),
             lexicon or Lexicon.from_terms(spark),
             config,
             scorer,
+            model,
+            n_probe,
         ),
         "context",
     )

@@ -79,10 +79,20 @@ def hinted(frame: DataFrame, fits: bool) -> DataFrame:
     return F.broadcast(frame) if fits else frame
 
 
+def in_tasks(frame: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The rows dealt over ``tasks`` tasks, by default the shuffle width.
+
+    For work that is heavy per row, such as a model call: rows that are few bytes would
+    else be merged into one task. Spark does not merge a stated number of partitions.
+    """
+    width = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(tasks or width)
+
+
 def lanes_for(frame: DataFrame) -> int:
     """How many lanes to split a hot key into: the square root of the shuffle width."""
     width = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, round(width**0.5)) if width > 64 else 1
+    return max(1, round(width**0.5))
 
 
 def lane(key: Column | str, lanes: int) -> Column:

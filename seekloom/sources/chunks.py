@@ -21,16 +21,6 @@ def read_chunks(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.schema(CHUNK).json(glob)
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """Spread a plain file scan with fewer splits than cores over all of them.
-
-    Text analysis is work per row, and one small file would be analysed by one task. A
-    scan that already has enough splits is returned as it is, so large inputs never move.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def stored_chunks(chunks: DataFrame) -> DataFrame:
     """Chunk rows with the language ratio that keyword search filters on."""
     return chunks.select(*CHUNK.fieldNames(), english_ratio("text").alias("english_ratio"))

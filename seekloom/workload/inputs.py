@@ -18,13 +18,13 @@ from seekloom.operators.vectors import assign_cells, fit_cells
 from seekloom.plans.ingest import ingest
 from seekloom.plans.scratch import scratch_path, written
 from seekloom.plans.sizing import keys_fit
-from seekloom.sources.chunks import spread_scan, stored_chunks
+from seekloom.sources.chunks import stored_chunks
 from seekloom.sources.snapshots import Snapshot, current
 
 MODEL = "fixture-model"
 SHARD_ROWS = 512
 CELLS = 16
-LEXICON_TERMS = 40
+LEXICON_RATIO = 0.04
 LEXICON_WEIGHT = 2.0
 # A rule over words of the bundled texts, beside the domain rules.
 FIXTURE_RULE = BoostRule(
@@ -50,7 +50,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one chunk; a hundred documents share a file."""
-    documents = spread_scan(table(spark, sf_dir, "documents").drop("lang", "n_chars"))
+    documents = table(spark, sf_dir, "documents").drop("lang", "n_chars")
+    # A small file has one split; a run may state in how many tasks its texts are analysed.
+    if tasks := spark.conf.get("seekloom.scan.tasks", None):
+        documents = documents.repartition(int(tasks))
     return documents.select(
         F.col("doc_id").cast("string").alias("chunk_id"),
         F.concat(
@@ -147,7 +150,7 @@ def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
-    """The domain lexicon and the terms just too frequent for the selectivity cut."""
+    """The domain lexicon and all terms in the band above the selectivity cut."""
 
     def build() -> Lexicon:
         domain = Lexicon.from_terms(spark).terms
@@ -155,9 +158,8 @@ def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
         n_chunks = stored.meta.select(F.col("N").cast("double")).scalar()
         frequent = (
             stored.df.filter(F.col("df") / n_chunks > KeywordConfig().df_ratio_max)
+            .filter(F.col("df") / n_chunks <= LEXICON_RATIO)
             .join(F.broadcast(domain), "term", "left_anti")
-            .orderBy("df", "term")
-            .limit(LEXICON_TERMS)
             .select(
                 "term",
                 F.lit(LEXICON_WEIGHT).alias("weight"),
@@ -185,13 +187,17 @@ def cells(spark: SparkSession, sf_dir: str):
 
 
 def batch_fits(spark: SparkSession, sf_dir: str) -> bool:
-    """Whether the ids of both batches may be broadcast."""
+    """Whether the ids of both batches together may be broadcast."""
     return once(
         spark,
         sf_dir,
         "batch-fits",
-        lambda: keys_fit(batch_chunks(spark, sf_dir), "chunk_id")
-        and keys_fit(batch_embeddings(spark, sf_dir), "chunk_id"),
+        lambda: keys_fit(
+            batch_chunks(spark, sf_dir)
+            .select("chunk_id")
+            .unionByName(batch_embeddings(spark, sf_dir).select("chunk_id")),
+            "chunk_id",
+        ),
     )
 
 

@@ -10,7 +10,7 @@ import re
 
 from seekloom.operators.lexicon import NOT_WHITELISTED, TERM_WEIGHTS
 from seekloom.operators.prompts import SYSTEM_PROMPT, USER_HEADINGS
-from seekloom.workload.inputs import LEXICON_TERMS, LEXICON_WEIGHT, RULES
+from seekloom.workload.inputs import LEXICON_RATIO, LEXICON_WEIGHT, RULES
 
 
 def _text(value: str) -> str:
@@ -44,11 +44,12 @@ def _index(prefix: str, source: str, text: str = _folded()) -> dict[str, str]:
     }
 
 
-def _keyword(prefix: str, pool: int, k: int, ratio: float) -> dict[str, str]:
-    """Candidates, language filter and final cut of a keyword search."""
+def _keyword(prefix: str, pool: int | None, k: int, ratio: float) -> dict[str, str]:
+    """Language filter and final cut of a keyword search, after a cut to ``pool`` if there is one."""
+    cut = f"WHERE rank <= {pool}" if pool else ""
     return {
         f"{prefix}cand": f"""SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, chunk_id) AS integer) AS rank
-            FROM chunk_score) WHERE rank <= {pool}""",
+            FROM chunk_score) {cut}""",
         f"{prefix}kw": f"""SELECT * FROM (SELECT query_id, chunk_id, score, text, source_file,
             chunk_index_in_file, cast(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, chunk_id) AS integer) AS rank
             FROM {prefix}cand JOIN chunk USING (chunk_id)
@@ -154,8 +155,8 @@ EXPRESSIONS: dict[str, str] = {
         for t, w in TERM_WEIGHTS.items())}) AS d(term, weight, whitelisted)""",
     "lex": f"""SELECT * FROM domain UNION ALL SELECT * FROM (
         SELECT term, {LEXICON_WEIGHT}::double, true FROM freq, meta
-        WHERE df / "N" > 0.03 AND term NOT IN (SELECT term FROM domain)
-        ORDER BY df, term LIMIT {LEXICON_TERMS})""",
+        WHERE df / "N" > 0.03 AND df / "N" <= {LEXICON_RATIO}
+        AND term NOT IN (SELECT term FROM domain))""",
     "triggers": f"""SELECT * FROM (VALUES {_values(
         (_text(r.name), _text(t)) for r in RULES for t in r.triggers)}) AS t(rule, term)""",
     "lifted": f"""SELECT * FROM (VALUES {_values(
@@ -181,17 +182,26 @@ EXPRESSIONS: dict[str, str] = {
     "chunk_score": """SELECT query_id, chunk_id, sum(bm25_term) AS score, count(*) AS hit_terms
         FROM scored GROUP BY query_id, chunk_id HAVING count(*) >= 2""",
     **_keyword("", 250, 50, 0.35),
-    **_matched(""),
+    **_keyword("all_", None, 50, 0.35),
+    **_matched("all_"),
     **_keyword("strict_", 40, 20, 0.70),
     **_matched("strict_"),
+    "first_kw": """SELECT * FROM (SELECT query_id, chunk_id, score, text, source_file,
+        chunk_index_in_file, cast(row_number() OVER (PARTITION BY query_id
+        ORDER BY round(score, 8) DESC, chunk_id) AS integer) AS rank
+        FROM chunk_score JOIN chunk USING (chunk_id) WHERE length(text) > 0 AND
+        length(regexp_replace(lower(text), '[^a-z]+', '', 'g')) / length(text) >= 0.70)
+        WHERE rank <= 20""",
+    **_matched("first_"),
+    **_fused("plain_", "(SELECT * FROM cand WHERE rank <= 10)", "near", 60, 10),
     # vectors, fusion, rerank: defaults, then the settings of the question run
     **_nearest("", "asked", 10),
     **_nearest("all_", "asked_by_id", 10),
-    **_keyword("ten_", 50, 10, 0.35),
+    **_keyword("ten_", None, 10, 0.35),
     **_fused("", "ten_kw", "near", 60, 10),
     **_reranked("", 8, 5),
     **_nearest("run_", "asked", 100),
-    **_keyword("run_", 500, 100, 0.35),
+    **_keyword("run_", None, 100, 0.35),
     **_fused("run_", "run_kw", "run_near", 20, 20),
     **_reranked("run_", 50, 10),
     "context": """SELECT query_id, string_agg('[' || rerank_rank || '] ' || coalesce(text, ''),
@@ -270,9 +280,10 @@ STATEMENTS: dict[str, str] = {
         FROM scored""",
     "bm25_topk": """SELECT query_id, chunk_id, round(score, 6) AS score, hit_terms, rank
         FROM cand""",
-    "keyword_search": _keyword_result(""),
+    "keyword_search": _keyword_result("all_"),
     "keyword_search_language_filter": _keyword_result("strict_"),
-    "matched_terms": "SELECT * FROM matched",
+    "keyword_search_filter_first": _keyword_result("first_"),
+    "matched_terms": "SELECT * FROM all_matched",
     "vector_topk": """SELECT query_id, chunk_id, round(search_score, 6) AS search_score, rank
         FROM near""",
     "vector_topk_all_pairs_of_ids": """SELECT query_id, chunk_id,
@@ -289,7 +300,7 @@ STATEMENTS: dict[str, str] = {
     "embed_text_hashed": """SELECT query_id, 64 AS dim, CASE WHEN query_id IN
         (SELECT query_id FROM qwords) THEN 1.0::double ELSE 0.0::double END AS norm FROM asked""",
     "rrf_fuse": """SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag, rank
-        FROM fused""",
+        FROM plain_fused""",
     "hybrid_search": """SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag, rank
         FROM fused""",
     "hybrid_with_text": f"""SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, source_tag,
@@ -326,6 +337,10 @@ STATEMENTS: dict[str, str] = {
     "ingest_postings": """SELECT term, chunk_id, tf, doc_len
         FROM after_post JOIN after_stats USING (chunk_id)""",
     "ingest_stream": "SELECT * FROM after_freq",
+    "ingest_after_skipped_update": "SELECT * FROM after_freq",
+    "ingest_compacted": """SELECT term, chunk_id, tf, doc_len
+        FROM after_post JOIN after_stats USING (chunk_id)""",
+    "ingest_cells": """SELECT chunk_id, 1.0::double AS norm FROM wide_after""",
     "coverage_audit": """SELECT (SELECT count(*) FROM batch) AS total,
         (SELECT count(*) FROM batch JOIN chunk USING (chunk_id)) AS in_text,
         (SELECT count(*) FROM batch JOIN vec USING (chunk_id)) AS in_emb,
@@ -357,5 +372,6 @@ def _complete(statement: str) -> str:
 STATEMENTS["coverage_audit_sql"] = STATEMENTS["coverage_audit"]
 # Probing every cell of the approximate index is an exact search.
 STATEMENTS["vector_topk_approx_all_cells"] = STATEMENTS["vector_topk"]
+STATEMENTS["hybrid_search_approx_all_cells"] = STATEMENTS["hybrid_search"]
 
 ORACLE: dict[str, str] = {name: _complete(sql) for name, sql in STATEMENTS.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,15 @@ from seekloom.plans.scratch import scratch_path, written
 from seekloom.plans.sizing import measure_queries
 from seekloom.sources.chunks import read_chunks
 from seekloom.sources.shards import decode_shards, pair_shards
-from seekloom.sources.snapshots import current
+from seekloom.plans.ingest import ingest
+from seekloom.sources.snapshots import compact, current, remove_superseded
 from seekloom.streaming.ingest_stream import start_ingest_stream
 from seekloom.workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
 KEYWORD = KeywordConfig()
-STRICT = KeywordConfig(english_ratio_min=0.70, k=20, oversample=2)
+STRICT = KeywordConfig(english_ratio_min=0.70, k=20, oversample=2, filter_first=False)
 FALLBACK = KeywordConfig(min_terms=12)
 FUSION = FusionConfig()
 
@@ -241,6 +243,11 @@ def keyword_search_language_filter(spark, sf_dir):
     return _keyword_search(spark, sf_dir, STRICT)
 
 
+@register
+def keyword_search_filter_first(spark, sf_dir):
+    return _keyword_search(spark, sf_dir, replace(STRICT, filter_first=True))
+
+
 @register
 def matched_terms(spark, sf_dir):
     return _keyword_search(spark, sf_dir, KEYWORD).select("query_id", "chunk_id", "matched_terms")
@@ -354,6 +361,20 @@ def hybrid_search_query(spark, sf_dir):
     return _hybrid(spark, sf_dir)
 
 
+@register
+def hybrid_search_approx_all_cells(spark, sf_dir):
+    model, index = inputs.cells(spark, sf_dir)
+    return hybrid_search(
+        inputs.queries(spark, sf_dir),
+        index,
+        inputs.index(spark, sf_dir),
+        inputs.stored(spark, sf_dir),
+        inputs.lexicon(spark, sf_dir),
+        cell_model=model,
+        n_probe=inputs.CELLS,
+    ).withColumn("rrf_score", F.round("rrf_score", 9))
+
+
 @register
 def hybrid_with_text(spark, sf_dir):
     return _hybrid(spark, sf_dir, with_text=True, with_clean_text=True)
@@ -528,6 +549,41 @@ def ingest_postings(spark, sf_dir):
     return snapshot.rows(spark, "postings")
 
 
+@register
+def ingest_after_skipped_update(spark, sf_dir):
+    lake = LakeConfig(scratch_path(spark, "skipping-lake"), chunk_buckets=2, term_buckets=2)
+    first, second = inputs.chunks(spark, sf_dir), inputs.batch_chunks(spark, sf_dir)
+    ingest(spark, lake, first)
+    turns = F.col("chunk_id").startswith("c")
+    ingest(spark, lake, second.filter(turns), update_keyword_index=False)
+    ingest(spark, lake, second.filter(~turns))
+    return current(spark, lake).rows(spark, "df")
+
+
+@register
+def ingest_compacted(spark, sf_dir):
+    _, snapshot = inputs.ingested(spark, sf_dir)
+    lake = snapshot.lake
+    # The shared lake stays as it is: its tables are ingested into one of its own.
+    own = LakeConfig(scratch_path(spark, "compact-lake"), chunk_buckets=2, term_buckets=2)
+    ingest(spark, own, snapshot.rows(spark, "chunks"))
+    ingest(spark, own, inputs.batch_chunks(spark, sf_dir))
+    compacted = compact(spark, replace(lake, root=own.root))
+    remove_superseded(spark, own)
+    return compacted.rows(spark, "postings")
+
+
+@register
+def ingest_cells(spark, sf_dir):
+    model, _ = inputs.cells(spark, sf_dir)
+    lake = LakeConfig(scratch_path(spark, "cell-lake"), chunk_buckets=2, term_buckets=2)
+    ingest(spark, lake, inputs.chunks(spark, sf_dir), inputs.embeddings(spark, sf_dir), cell_model=model)
+    ingest(spark, lake, inputs.batch_chunks(spark, sf_dir), inputs.batch_embeddings(spark, sf_dir))
+    return current(spark, lake).rows(spark, "cells").select(
+        "chunk_id", F.round(l2_norm("embedding"), 4).alias("norm")
+    )
+
+
 @register
 def ingest_stream(spark, sf_dir):
     folder = scratch_path(spark, "incoming")

@@ -8,7 +8,7 @@ import os
 import numpy as np
 import pytest
 
-from seekloom.sources.chunks import list_lake, load_batch, spread_scan
+from seekloom.sources.chunks import list_lake, load_batch
 from seekloom.sources.shards import read_embedding_shards
 
 MODEL = "Model-1.5"
@@ -68,11 +68,3 @@ def test_mismatched_shard_fails_or_truncates(spark, tmp_path):
 def test_list_lake_groups_files_by_directory(spark, lake):
     listing = {r.directory.split("/")[-1]: r.files for r in list_lake(spark, lake).collect()}
     assert listing["p1"] == 1 and listing["s1"] == 2
-
-
-def test_spread_scan_moves_small_scans_only(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(10).coalesce(1).write.parquet(path)
-    assert spread_scan(spark.read.parquet(path)).rdd.getNumPartitions() >= 4
-    wide = spark.range(100).repartition(9)
-    assert spread_scan(wide).rdd.getNumPartitions() == 9
