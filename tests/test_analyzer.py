@@ -101,3 +101,19 @@ def test_l2_normalize(spark):
     found = [r[0] for r in frame.select(l2_normalize("v")).collect()]
     assert found[0] == pytest.approx([0.6, 0.8])
     assert found[1] == [0.0, 0.0]
+
+
+def test_long_digit_run_is_walked_once(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from seekloom.functions.analyzer import document_tokens
+
+    text = "1" * 1_000_000 + " flood " + "2" * 500_000 + "a9"
+    frame = spark.createDataFrame([(text,)], "text string")
+    counted = frame.select(F.size(document_tokens("text")).alias("n"))
+    counted.first()
+    start = time.time()
+    assert counted.first()["n"] == 2
+    assert time.time() - start < 5

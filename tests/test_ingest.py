@@ -228,3 +228,46 @@ def test_audits(spark, make_chunks):
         "chunks": 3, "embeddings": 3, "matched": 2,
     }
     assert source_files(chunks.withColumn("source_file", F.lit("/x/y.txt"))).count() == 1
+
+
+def test_chunks_of_a_skipped_update_are_indexed_later(spark, make_chunks, tmp_path):
+    lake = LakeConfig(str(tmp_path / "lake"), chunk_buckets=2, term_buckets=2)
+    ingest(spark, lake, make_chunks({"a": "flood map", "b": "river flood"}))
+    ingest(spark, lake, make_chunks({"c": "flood gauge", "a": "storm map"}), update_keyword_index=False)
+    ingest(spark, lake, make_chunks({"d": "storm surge"}))
+    found = {row["term"]: row["df"] for row in current(spark, lake).rows(spark, "df").collect()}
+    assert found == {"storm": 2, "map": 1, "river": 1, "flood": 2, "gauge": 1, "surge": 1}
+    assert current(spark, lake).rows(spark, "doc_stats").count() == 4
+
+
+def test_compaction_bounds_partitions_and_frees_old_versions(spark, make_chunks, tmp_path):
+    from seekloom.sources.snapshots import compact, remove_superseded, versions
+
+    lake = LakeConfig(str(tmp_path / "lake"), chunk_buckets=2, term_buckets=2)
+    for turn in range(4):
+        ingest(spark, lake, make_chunks({f"n{turn}": f"flood number{turn}", "x": f"text{turn} here"}))
+    before = current(spark, lake)
+    rows = sorted(map(tuple, before.rows(spark, "postings").collect()))
+    after = compact(spark, lake)
+    assert sorted(map(tuple, after.rows(spark, "postings").collect())) == rows
+    assert all(len(after.partitions(name)) <= 2 for name in ("chunks", "postings", "doc_stats"))
+    assert remove_superseded(spark, lake) > 0
+    assert versions(spark, lake) == [after.version]
+    assert sorted(map(tuple, current(spark, lake).rows(spark, "postings").collect())) == rows
+
+
+def test_cells_follow_their_model(spark, make_chunks, tmp_path):
+    from seekloom.operators.vectors import fit_cells
+    from seekloom.plans.ingest import stored_cell_model
+
+    lake = LakeConfig(str(tmp_path / "lake"), chunk_buckets=2, term_buckets=2)
+    vectors = spark.createDataFrame(
+        [(f"c{i}", [float(i % 5), 1.0, float(i)]) for i in range(40)], "chunk_id string, embedding array<float>"
+    )
+    chunks = make_chunks({f"c{i}": f"text {i}" for i in range(40)})
+    one, two = (fit_cells(vectors, n, seed=n) for n in (3, 4))
+    ingest(spark, lake, chunks, vectors, cell_model=one)
+    ingest(spark, lake, chunks.limit(0), vectors.limit(5), cell_model=two)
+    snapshot = current(spark, lake)
+    assert len(stored_cell_model(spark, snapshot).clusterCenters()) == 4
+    assert snapshot.rows(spark, "cells").count() == 40
