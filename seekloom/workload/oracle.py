@@ -292,7 +292,7 @@ STATEMENTS: dict[str, str] = {
         text, source_file, chunk_index_in_file FROM near LEFT JOIN chunk USING (chunk_id)""",
     "vector_index_refresh": _digest(
         """chunk_id, round(sqrt(list_dot_product(cast(embedding AS double[]),
-        cast(embedding AS double[]))), 4) AS norm, true AS has_cell""",
+        cast(embedding AS double[]))), 4) AS norm, true AS in_nearest_cell""",
         "vec_after",
     ),
     "embed_texts": """SELECT query_id, round(a / size, 4) AS v0, round(b / size, 4) AS v1,

@@ -297,6 +297,19 @@ def vector_topk_approx_all_cells(spark, sf_dir):
     ).withColumn("search_score", F.round("search_score", 6))
 
 
+def _in_nearest_cell(model):
+    """Whether no centre is closer to a vector than that of its cell."""
+
+    def distance(center):
+        parts = F.zip_with(
+            "embedding", F.array(*(F.lit(float(x)) for x in center)), lambda x, y: (x - y) * (x - y)
+        )
+        return F.aggregate(parts, F.lit(0.0), lambda total, part: total + part)
+
+    distances = F.array(*(distance(center) for center in model.clusterCenters()))
+    return F.get(distances, F.col("cell")) <= F.array_min(distances) + F.lit(1e-6)
+
+
 @register
 def vector_index_refresh(spark, sf_dir):
     model, index = inputs.cells(spark, sf_dir)
@@ -310,7 +323,7 @@ def vector_index_refresh(spark, sf_dir):
         "chunk_id",
         vector_digest().alias("digest"),
         F.round(l2_norm("embedding"), 4).alias("norm"),
-        F.col("cell").isNotNull().alias("has_cell"),
+        _in_nearest_cell(model).alias("in_nearest_cell"),
     )
 
 
