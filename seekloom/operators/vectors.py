@@ -273,7 +273,7 @@ def vector_topk_approx(
     """
     queries = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull())
     centers = np.stack(model.clusterCenters())
-    if centers.nbytes > budget.max_bytes:
+    if centers.nbytes > DEFAULT_BUDGET.max_bytes:
         raise ValueError("the cell centres exceed the broadcast budget: fit fewer cells")
     n_probe = min(n_probe, len(centers))
     size = measure_queries(queries)

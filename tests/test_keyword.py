@@ -125,13 +125,13 @@ def test_fallback_uses_all_known_terms(spark, make_chunks, make_queries, lexicon
     assert all(r.used_fallback for r in kept)
 
 
-def test_language_filter_comes_after_the_candidate_cut(spark, make_chunks, make_queries, lexicon):
+def test_language_filter_after_the_candidate_cut_on_request(spark, make_chunks, make_queries, lexicon):
     foreign = "flood flood flood river river " + "日" * 400
     chunks = make_chunks({"x": foreign, "a": "flood river aaa bbb", "b": "map"})
-    config = KeywordConfig(k=1, oversample=1, df_ratio_max=1.0)
+    config = KeywordConfig(k=1, oversample=1, df_ratio_max=1.0, filter_first=False)
     queries, index = make_queries("flood river"), build_index(chunks)
     shown = keyword.keyword_search(queries, index, chunks, lexicon, config).collect()
-    longer = KeywordConfig(k=1, oversample=2, df_ratio_max=1.0)
+    longer = KeywordConfig(k=1, oversample=2, df_ratio_max=1.0, filter_first=False)
     for table in (chunks, stored_chunks(chunks)):
         rows = keyword.keyword_search(queries, index, table, lexicon, longer).collect()
         assert [r.chunk_id for r in rows] == ["a"]
@@ -141,6 +141,16 @@ def test_language_filter_comes_after_the_candidate_cut(spark, make_chunks, make_
     assert len(shown) == (0 if top.chunk_id == "x" else 1)
 
 
+def test_filter_first_keeps_k_rows(spark, make_chunks, make_queries, lexicon):
+    foreign = "flood flood flood river river " + "日" * 400
+    chunks = make_chunks({"x": foreign, "a": "flood river aaa bbb", "b": "map"})
+    queries, index = make_queries("flood river"), build_index(chunks)
+    for table in (chunks, stored_chunks(chunks)):
+        config = KeywordConfig(k=1, oversample=1, df_ratio_max=1.0)
+        rows = keyword.keyword_search(queries, index, table, lexicon, config).collect()
+        assert [r.chunk_id for r in rows] == ["a"]
+
+
 def test_hits_without_a_chunk(spark, make_chunks, make_queries, lexicon):
     index = build_index(make_chunks({"a": "flood river", "b": "flood river map"}))
     only_a = make_chunks({"a": "flood river"})
