@@ -90,8 +90,8 @@ def op9_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of documents that near-duplicate a passage elsewhere."""
-    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+    """Passages of documents that near-duplicate a passage elsewhere, also in the same document."""
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"), within=True)
 
 
 QUERIES: dict[str, Query] = {
