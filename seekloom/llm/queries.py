@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from seekloom.llm import (
     line_frequency,
     mixing,
     passages,
+    periodic_runs,
     surrogates,
     token_files,
     warc,
@@ -94,6 +96,24 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"), within=True)
 
 
+def planted_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a text, some of them repeated with a period if the id's checksum says so."""
+    checksum = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if checksum % 10 or not words:
+        return words
+    share, count = checksum // 10, len(words)
+    first = share % count
+    period = 1 + (count - first) // (3 + share % 8)
+    block = words[first : first + period]
+    return words[:first] + (block * ((count - first) // period + 1))[: count - first]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of each document, with runs planted in some."""
+    found = periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), planted_words)
+    return periodic_runs.run_digests(found)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -105,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_containment": op8_benchmark_containment,
     "op9_token_lists": op9_token_lists,
     "op10_compact_windows": op10_compact_windows,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
