@@ -11,6 +11,7 @@ from seekloom.llm import (
     containment,
     cotraining,
     fuzzy_lines,
+    hamming_join,
     jaccard_join,
     line_frequency,
     mixing,
@@ -96,6 +97,11 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"), within=True)
 
 
+def op12_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors by learned codes and Hamming tables."""
+    return hamming_join.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def planted_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of a text, some of them repeated with a period if the id's checksum says so."""
     checksum = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -125,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_containment": op8_benchmark_containment,
     "op9_token_lists": op9_token_lists,
     "op10_compact_windows": op10_compact_windows,
+    "op12_hamming_tables": op12_hamming_tables,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -196,4 +203,25 @@ ORACLE: dict[str, str] = {
         FROM shingles d JOIN items i USING (shingle) WHERE d.side = 0
         GROUP BY d.id, i.id HAVING 100 * count(*) >= 75 * any_value(n)
     """,
+    "op12_hamming_tables": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
+            ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reached AS (
+            SELECT vec_id, vec_id AS r FROM embeddings
+            UNION SELECT reached.vec_id, links.y FROM reached JOIN links ON reached.r = links.x
+        ), least AS (
+            SELECT vec_id, min(r) AS component_id FROM reached GROUP BY vec_id
+        ), counts AS (
+            SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+    """,
 }
