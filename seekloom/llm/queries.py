@@ -18,6 +18,7 @@ from seekloom.llm import (
     passages,
     periodic_runs,
     surrogates,
+    token_alignment,
     token_files,
     warc,
 )
@@ -97,6 +98,19 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"), within=True)
 
 
+def piece_bpe_path() -> str:
+    """The installed file of the piece vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_space_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned, with corpus counts of the id pairs that overlap."""
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.alignment_digests(docs, byte_bpe_path(), piece_bpe_path())
+
+
 def op12_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors by learned codes and Hamming tables."""
     return hamming_join.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
@@ -131,6 +145,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_containment": op8_benchmark_containment,
     "op9_token_lists": op9_token_lists,
     "op10_compact_windows": op10_compact_windows,
+    "op11_space_anchors": op11_space_anchors,
     "op12_hamming_tables": op12_hamming_tables,
     "op13_periodic_runs": op13_periodic_runs,
 }
