@@ -35,16 +35,20 @@ def query_tokens(text: Column | str) -> Column:
     return F.coalesce(F.array_distinct(runs), F.array().cast("array<string>"))
 
 
-def term_counts(chunks: DataFrame, lower_first: bool = True) -> DataFrame:
+def term_counts(chunks: DataFrame, lower_first: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """``(term, chunk_id, tf, doc_len)``, one row per term of each chunk, without a shuffle.
 
+    Columns of the chunk named in ``carried`` follow on every row of its terms.
+
     The tokens of a row are sorted, so equal terms are neighbours and a term's count is
     the distance to the next run's start. Every chunk is one row, so nothing has to be
     exchanged to count its terms; ``doc_len`` rides along for the same reason.
     """
     sorted_tokens = (
         chunks.select(
-            "chunk_id", F.sort_array(document_tokens("text", lower_first)).alias("tokens")
+            "chunk_id",
+            F.sort_array(document_tokens("text", lower_first)).alias("tokens"),
+            *carried,
         )
         .filter(F.size("tokens") > 0)
         .withColumn("doc_len", F.size("tokens"))
@@ -62,6 +66,6 @@ def term_counts(chunks: DataFrame, lower_first: bool = True) -> DataFrame:
     )
     return (
         sorted_tokens.withColumn("starts", starts)
-        .select("chunk_id", "doc_len", F.explode(runs).alias("run"))
-        .select("run.term", "chunk_id", "run.tf", "doc_len")
+        .select("chunk_id", "doc_len", *carried, F.explode(runs).alias("run"))
+        .select("run.term", "chunk_id", "run.tf", "doc_len", *carried)
     )

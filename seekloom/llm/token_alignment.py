@@ -1,6 +1,6 @@
 """Alignment of the tokens of two tokenizers by shared ends before space-marked tokens.
 
-Both tokenizers encode the whole text; their tokens are laid over the same bytes. A byte
+Both tokenizers encode the whole text, frequent words from memory; their tokens are laid over the same bytes. A byte
 offset where tokens of both end and the next token of both starts with a space is an anchor.
 Anchors cut a document into windows of a word or a few, and equal windows, as tuples of token
 ids, have the same alignment wherever they stand. So each window's alignment is worked out once
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekloom.llm.hashing import mix
 from seekloom.plans.scratch import written
 from seekloom.plans.sizing import hinted, keys_fit
 
-MEMO_IDS = 4_000_000  # token ids that remembered windows hold before a worker starts afresh
-LONGEST_WINDOW = 48  # tokens of a window beyond which it is not remembered
-SLICE_CHARS = 400_000  # text that is encoded at a time
+MEMO_WORDS = 200_000  # words whose tokens a worker remembers before it starts afresh
+LONGEST_WORD = 48  # characters of a word beyond which it is not remembered
+SLICE_CHARS = 3_000_000  # text that is aligned at a time
 PAIR_BASE = 1 << 24  # a pair of ids is kept as a * PAIR_BASE + b
 
 _SCHEMA = (
@@ -41,6 +44,10 @@ _ARROW = pa.schema(
 )
 
 
+# A single space between two other characters, whatever a library takes for white space.
+_CUT = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
+
+
 def _byte_of_sign() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for, by its rule."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -48,21 +55,17 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(byte): byte for byte in visible} | {chr(256 + at): byte for at, byte in enumerate(rest)}
 
 
-def _slices(text: str, limit: int = SLICE_CHARS) -> Iterator[str]:
-    """A text in pieces of about ``limit`` characters, cut before a space between letters or digits.
+def _slices(text: str, limit: int) -> Iterator[str]:
+    """A text in pieces of about ``limit`` characters, cut at single spaces, which are left out.
 
-    Both tokenizers cut there whatever surrounds it, so the pieces have the tokens of the whole,
-    and each cut is an anchor. A text without such a place is one piece.
+    Both tokenizers cut before such a space whatever surrounds it, so the pieces, each with a
+    space before it, have the tokens of the whole, and each cut is an anchor. A text without
+    such a place is one piece.
     """
     begin = 0
-    while len(text) - begin > limit:
-        cut = text.find(" ", begin + limit)
-        while 0 <= cut < len(text) - 1 and not (text[cut - 1].isalnum() and text[cut + 1].isalnum()):
-            cut = text.find(" ", cut + 1)
-        if not 0 <= cut < len(text) - 1:
-            break
-        yield text[begin:cut]
-        begin = cut
+    while len(text) - begin > limit and (cut := _CUT.search(text, begin + limit)):
+        yield text[begin : cut.start()]
+        begin = cut.end()
     yield text[begin:]
 
 
@@ -82,7 +85,8 @@ class ByteLevelTokens:
             self.token_bytes[at] = bytes(signs[sign] for sign in token) if known else token.encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each piece of text, a space before the first of them."""
+        """Token ids of each text, a space before it."""
+        texts = [" " + text for text in texts]
         return [one.ids for one in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -104,41 +108,58 @@ class PieceTokens:
                 self.cuts_at_spaces &= "▁" not in piece.lstrip("▁")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each piece of text; the space that starts a piece is the encoder's own."""
-        return self._model.encode([text[1:] for text in texts], num_threads=1)
+        """Token ids of each text; the space before it is the encoder's own."""
+        return self._model.encode(texts, num_threads=1)
 
 
 @dataclass
-class Alignment:
-    """The alignment of one window: its groups as text, their number and the linked id pairs."""
-
-    groups: str
-    count: int
-    links: list[int]
-
-
-def align_window(a: tuple[int, ...], b: tuple[int, ...], size_a: list[int], size_b: list[int]) -> Alignment:
-    """Cut a window at the shared ends of its tokens and link the tokens that overlap."""
-    groups, links, at, to = [], [], 0, 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    first_a = first_b = 0
-    while True:
-        links.append(a[at] * PAIR_BASE + b[to])
-        if end_a == end_b:
-            one = ",".join(map(str, a[first_a : at + 1]))
-            groups.append(f"{one}|{','.join(map(str, b[first_b : to + 1]))}")
-            at, to = at + 1, to + 1
-            if at == len(a):
-                return Alignment(";".join(groups), len(groups), links)
-            first_a, first_b = at, to
-            end_a += size_a[a[at]]
-            end_b += size_b[b[to]]
-        elif end_a < end_b:
-            at += 1
-            end_a += size_a[a[at]]
-        else:
-            to += 1
-            end_b += size_b[b[to]]
+class Windows:
+    """Alignments of windows: the text and number of each one's groups, and its linked id pairs.
+
+    The pairs of window ``w`` are ``links[first[w] : first[w] + size[w]]``.
+    """
+
+    groups: np.ndarray
+    count: np.ndarray
+    links: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+
+@functools.lru_cache(maxsize=1)
+def _numerals(count: int) -> dict[str, np.ndarray]:
+    """The ids below ``count`` as decimal text, with each mark that may follow them."""
+    return {mark: np.array([f"{at}{mark}" for at in range(count)], dtype=object) for mark in ",|;\n"}
+
+
+def align_windows(
+    a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray,
+    length_a: np.ndarray, length_b: np.ndarray,
+) -> Windows:
+    """Cut windows, given one after the other, at the shared ends of their tokens and link what overlaps."""
+    ends_a, ends_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
+    # Between two ends that follow each other lies one link.
+    ends = np.union1d(ends_a, ends_b)
+    at, to = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    links = a[at].astype(np.int64) * PAIR_BASE + b[to]
+    size = np.bincount(np.repeat(np.arange(len(sizes_a)), sizes_a)[at], minlength=len(sizes_a))
+    shared_a = ends_a == ends_b[np.searchsorted(ends_b, ends_a)]
+    shared_b = ends_b == ends_a[np.searchsorted(ends_a, ends_b)]
+    last_a, last_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
+    count = np.add.reduceat(shared_a.astype(np.int64), last_a - sizes_a)
+    # The tokens of a group: first those of A, then those of B.
+    group_a, group_b = np.cumsum(shared_a) - shared_a, np.cumsum(shared_b) - shared_b
+    text = _numerals(max(len(length_a), len(length_b)))
+    shown = np.empty(len(a) + len(b), dtype=object)
+    own = text[","][a]
+    own[shared_a] = text["|"][a[shared_a]]
+    shown[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = own
+    own = text[","][b]
+    own[shared_b] = text[";"][b[shared_b]]
+    own[last_b - 1] = text["\n"][b[last_b - 1]]
+    shown[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = own
+    groups = np.array("".join(shown.tolist()).split("\n")[:-1], dtype=object)
+    return Windows(groups, count, links, np.cumsum(size) - size, size)
 
 
 @dataclass
@@ -155,30 +176,55 @@ class Aligned:
 
 
 class Aligner:
-    """Align the tokens of two tokenizers, remembering windows."""
+    """Align the tokens of two tokenizers, each different window of a batch once."""
 
     def __init__(self, first: ByteLevelTokens, second: PieceTokens) -> None:
         self._first, self._second = first, second
-        self._size_a = [len(token) for token in first.token_bytes]
-        self._size_b = [len(token) for token in second.token_bytes]
-        self._length_a, self._length_b = np.array(self._size_a), np.array(self._size_b)
+        self._length_a = np.array([len(token) for token in first.token_bytes])
+        self._length_b = np.array([len(token) for token in second.token_bytes])
         self._space_a = np.array([token[:1] == b" " for token in first.token_bytes])
         self._space_b = np.array([token[:1] == b" " for token in second.token_bytes])
-        self._memo: dict[tuple[tuple[int, ...], tuple[int, ...]], Alignment] = {}
-        self._held = 0
-
-    def _window(self, a: tuple[int, ...], b: tuple[int, ...]) -> Alignment:
-        found = self._memo.get((a, b))
-        if found is None:
-            found = align_window(a, b, self._size_a, self._size_b)
-            size = len(a) + len(b)
-            if size <= LONGEST_WINDOW:
-                if self._held + size > MEMO_IDS:
-                    self._memo, self._held = {}, 0
-                self._memo[a, b] = found
-                self._held += size
+        self._words_a: dict[str, bytes] = {}
+        self._words_b: dict[str, bytes] = {}
+        self._odd: set[str] = set()  # words whose tokens have other bytes
+
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of each text under both tokenizers, a space before it, or none if they do not spell it.
+
+        A text is encoded word by word where it can be cut; words that came before keep their ids.
+        Words are compared with their tokens' bytes once, and texts only if one of their words differs.
+        """
+        words = [_CUT.split(text) if self._second.cuts_at_spaces else [text] for text in texts]
+        if len(self._words_a) > MEMO_WORDS:
+            self._words_a, self._words_b, self._odd = {}, {}, set()
+        missing = list(set().union(*words).difference(self._words_a))
+        for at in range(0, len(missing), 2000):
+            some = missing[at : at + 2000]
+            for word, a, b in zip(some, self._first.encode(some), self._second.encode(some), strict=True):
+                if not self._spelled(a, b, b" " + word.encode()):
+                    self._odd.add(word)
+                self._words_a[word] = _packed_ids(a)
+                self._words_b[word] = _packed_ids(b)
+        found = tuple(
+            [np.frombuffer(b"".join(map(known.__getitem__, some)), np.int32) for some in words]
+            for known in (self._words_a, self._words_b)
+        )
+        for at, some in enumerate(words):
+            if not self._odd.isdisjoint(some):
+                a, b = (side[at].tolist() for side in found)
+                if not self._spelled(a, b, b" " + texts[at].encode()):
+                    found[0][at] = found[1][at] = np.empty(0, np.int32)
+        for word in missing:
+            if len(word) > LONGEST_WORD:
+                del self._words_a[word], self._words_b[word]
+                self._odd.discard(word)
         return found
 
+    def _spelled(self, a: list[int], b: list[int], content: bytes) -> bool:
+        """Whether both token sequences have the bytes of the content."""
+        one, other = self._first.token_bytes, self._second.token_bytes
+        return b"".join([one[at] for at in a]) == content == b"".join([other[at] for at in b])
+
     def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers after shared ends, where both next tokens start with a space, and the last ends."""
         ends_a, ends_b = np.cumsum(self._length_a[a]), np.cumsum(self._length_b[b])
@@ -190,60 +236,96 @@ class Aligner:
         spaced = self._space_b[b[to + 1]]
         return np.append(at[spaced] + 1, len(a)), np.append(to[spaced] + 1, len(b))
 
-    def align(self, a: list[int], b: list[int], content: bytes) -> Aligned | None:
-        """The alignment of the tokens of a piece of text, None if their bytes are not the content."""
-        if not a or not b:
-            return None
-        if b"".join(map(self._first.token_bytes.__getitem__, a)) != content:
-            return None
-        if b"".join(map(self._second.token_bytes.__getitem__, b)) != content:
-            return None
-        cuts_a, cuts_b = self.anchors(np.array(a), np.array(b))
-        groups, links, count, i, j = [], [], 0, 0, 0
-        for i_next, j_next in zip(cuts_a.tolist(), cuts_b.tolist(), strict=True):
-            found = self._window(tuple(a[i:i_next]), tuple(b[j:j_next]))
-            groups.append(found.groups)
-            links += found.links
-            count += found.count
-            i, j = i_next, j_next
-        pairs, times = np.unique(np.array(links, dtype=np.int64), return_counts=True)
-        return Aligned(len(a), len(b), count, len(links), ";".join(groups), pairs, times)
+    def align(self, texts: list[str]) -> list[Aligned]:
+        """The alignment of each text, all empty where a tokenizer does not spell it."""
+        found = [Aligned()] * len(texts)
+        tokens = zip(range(len(texts)), *self.tokens(texts), strict=True)
+        good = [(at, a, b) for at, a, b in tokens if texts[at] and len(a)]
+        if not good:
+            return found
+        numbers, all_a, all_b = zip(*good, strict=True)
+        a, b = np.concatenate(all_a), np.concatenate(all_b)
+        # A text starts with a space, so its beginning is an anchor like those inside.
+        cuts_a, cuts_b = self.anchors(a, b)
+        starts_a, starts_b = np.append(0, cuts_a[:-1]), np.append(0, cuts_b[:-1])
+        same, fresh = _equal_windows(a, starts_a, cuts_a, b, starts_b, cuts_b)
+        sizes_a, sizes_b = cuts_a - starts_a, cuts_b - starts_b
+        windows = align_windows(
+            a[_stretches(starts_a[fresh], sizes_a[fresh])], sizes_a[fresh],
+            b[_stretches(starts_b[fresh], sizes_b[fresh])], sizes_b[fresh],
+            self._length_a, self._length_b,
+        )
+        counts, shown, held = windows.count[same], windows.groups[same], windows.size[same]
+        links = windows.links[_stretches(windows.first[same], held)]
+        ends = np.searchsorted(cuts_a, np.cumsum([len(one) for one in all_a])) + 1
+        bounds = np.concatenate([[0], np.cumsum(held)])[np.append(0, ends)]
+        begin = 0
+        for at, (number, end) in enumerate(zip(numbers, ends.tolist(), strict=True)):
+            pairs, times = np.unique(links[bounds[at] : bounds[at + 1]], return_counts=True)
+            found[number] = Aligned(
+                len(all_a[at]), len(all_b[at]), int(counts[begin:end].sum()),
+                int(held[begin:end].sum()), ";".join(shown[begin:end].tolist()), pairs, times,
+            )
+            begin = end
+        return found
 
     def documents(self, texts: list[bytes | None]) -> Iterator[Aligned]:
-        """The alignment of each text, encoded in batches of bounded size."""
-        cut = self._second.cuts_at_spaces
-        waiting: list[list[str]] = []
+        """The alignment of each text, worked on in batches of bounded size."""
+        waiting: list[str] = []
         held = 0
         for text in texts:
             try:
                 plain = (text or b"").decode()
             except UnicodeDecodeError:
                 plain = ""  # no tokens have the bytes of such a text
-            pieces = list(_slices(" " + plain)) if plain and cut else [" " + plain] if plain else []
-            if len(pieces) <= 1:
-                waiting.append(pieces)
+            if len(plain) <= SLICE_CHARS or not self._second.cuts_at_spaces:
+                waiting.append(plain)
                 held += len(plain)
                 if held >= SLICE_CHARS:
-                    yield from self._encoded(waiting)
+                    yield from self.align(waiting)
                     waiting, held = [], 0
                 continue
-            yield from self._encoded(waiting)
+            yield from self.align(waiting)
             waiting, held = [], 0
-            yield _merged([next(self._encoded([[piece]])) for piece in pieces])
-        yield from self._encoded(waiting)
-
-    def _encoded(self, documents: list[list[str]]) -> Iterator[Aligned]:
-        """The alignment of documents of one piece each, or of none."""
-        pieces = [piece for document in documents for piece in document]
-        if not documents:
-            return
-        found = zip(self._first.encode(pieces), self._second.encode(pieces), pieces, strict=True)
-        for document in documents:
-            if document:
-                a, b, piece = next(found)
-                yield self.align(a, b, piece.encode()) or Aligned()
-            else:
-                yield Aligned()
+            yield _merged([self.align([piece])[0] for piece in _slices(plain, SLICE_CHARS)])
+        yield from self.align(waiting)
+
+
+def _stretches(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``sizes`` of them, one stretch after the other."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _equal_windows(
+    a: np.ndarray, starts_a: np.ndarray, ends_a: np.ndarray,
+    b: np.ndarray, starts_b: np.ndarray, ends_b: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the number of its kind, and of each kind one window.
+
+    Windows are of a kind if all their ids are equal: they are grouped by a hash and then
+    compared with the first of the group; one that differs from it is a kind of its own.
+    """
+    places, sums = [], np.zeros(len(starts_a), dtype=np.uint64)
+    for ids, starts, ends in ((a, starts_a, ends_a), (b, starts_b, ends_b)):
+        sizes = ends - starts
+        at = np.arange(len(ids)) - np.repeat(starts, sizes)
+        places.append((ids, starts, sizes, at))
+        mixed = mix(ids.astype(np.uint64) + mix(at.astype(np.uint64)) + np.uint64(1))
+        sums = mix(sums + np.add.reduceat(mixed, starts) + sizes.astype(np.uint64))
+    _, first, same = np.unique(sums, return_index=True, return_inverse=True)
+    equal = np.ones(len(starts_a), dtype=bool)
+    for ids, starts, sizes, at in places:
+        equal &= sizes == sizes[first[same]]
+    for ids, starts, sizes, at in places:
+        other = np.minimum(np.repeat(starts[first[same]], sizes) + at, len(ids) - 1)
+        equal &= np.logical_and.reduceat(ids == ids[other], starts)
+    odd = np.flatnonzero(~equal)
+    same[odd] = len(first) + np.arange(len(odd))
+    return same, np.append(first, odd)
+
+
+def _packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
 
 
 def _merged(parts: list[Aligned]) -> Aligned:
@@ -299,7 +381,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for one in aligner.documents([text.as_py() for text in batch.column(1)]):
                 found.append(one)
                 held += len(one.groups) + 12 * len(one.pairs)
-                if held >= 16 * SLICE_CHARS:
+                if held >= 8_000_000:
                     yield _packed(batch.column(0).slice(begin, len(found)), found)
                     begin, found, held = begin + len(found), [], 0
             if found:

@@ -2,7 +2,8 @@
 
 ``doc_len`` is stored on every posting. It is known when the chunk is tokenised and
 changes only when the whole chunk is replaced, so keeping it there removes the join of
-all scored postings with the length table from every query.
+all scored postings with the length table from every query. The language ratio is there
+for the same reason: a search that filters by it leaves postings out where they are read.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekloom.functions.analyzer import document_tokens, term_counts
+from seekloom.functions.text import english_ratio
 from seekloom.plans.scratch import scratch_path
 from seekloom.plans.sizing import lane
 from seekloom.schemas import BUCKETED_FREQUENCY, BUCKETED_POSTINGS, DOC_STATS, META, POSTINGS
@@ -53,9 +55,20 @@ def bucketed_ids(ids: DataFrame, chunk_buckets: int) -> tuple[DataFrame, list[st
     return keyed.filter(F.col("chunk_bucket") >= 0), BUCKETED
 
 
+def indexable(chunks: DataFrame) -> DataFrame:
+    """What the index needs of a chunk: its id, its text and the language ratio, if that is stored."""
+    stored = ["english_ratio"] if "english_ratio" in chunks.columns else []
+    return chunks.select("chunk_id", "text", *stored)
+
+
 def postings(chunks: DataFrame, lower_first: bool = True) -> DataFrame:
-    """One row per (term, chunk): ``term, chunk_id, tf, doc_len``. Ids must be unique."""
-    return term_counts(chunks, lower_first)
+    """One row per (term, chunk): ``term, chunk_id, tf, doc_len, english_ratio``. Ids must be unique.
+
+    The ratio is taken from the chunk table where it is stored, else computed once per chunk.
+    """
+    if "english_ratio" not in chunks.columns:
+        chunks = chunks.withColumn("english_ratio", english_ratio("text"))
+    return term_counts(chunks, lower_first, ("english_ratio",))
 
 
 def doc_stats(chunks: DataFrame, lower_first: bool = True) -> DataFrame:

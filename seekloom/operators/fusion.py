@@ -94,7 +94,7 @@ def hybrid_search(
         by_vector = vector_topk_approx(queries, corpus, cell_model, fusion.top_each, n_probe)
     settings = KeywordConfig(**{**keyword.__dict__, "k": fusion.top_each})
     kept = select_terms(queries, index, lexicon, settings, size)
-    by_keyword = keyword_ranking(kept, index, chunks, settings, size)
+    by_keyword = keyword_ranking(kept, index, settings, size)
     fused = rrf_fuse(by_vector, by_keyword, fusion)
     if not with_text:
         return fused

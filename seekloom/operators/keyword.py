@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekloom.config import KeywordConfig
 from seekloom.functions.scoring import bm25_term
-from seekloom.functions.text import english_ratio
 from seekloom.operators.bm25_index import BUCKETED, KeywordIndex, bucketed_ids
 from seekloom.operators.lexicon import Lexicon
 from seekloom.operators.terms import select_terms
 from seekloom.plans.joins import join_query_side
 from seekloom.plans.scratch import written
-from seekloom.plans.sizing import QuerySize, hinted, keys_fit, measure_queries
+from seekloom.plans.sizing import QuerySize, keys_fit, measure_queries
 from seekloom.plans.topk import by_score, top_k
 from seekloom.schemas import TEXT_COLUMNS
 
 
 def term_scores(
-    kept: DataFrame, index: KeywordIndex, config: KeywordConfig, fits: bool
+    kept: DataFrame, index: KeywordIndex, config: KeywordConfig, fits: bool, filtered: bool = False
 ) -> DataFrame:
-    """``(query_id, chunk_id, term, tf, bm25_term)`` for every posting of a kept term.
+    """``(query_id, chunk_id, term, tf, english_ratio, bm25_term)`` for every posting of a kept term.
 
-    ``kept`` carries df, idf and weight, so a posting needs this one join only.
+    ``kept`` carries df, idf and weight, so a posting needs this one join only. With
+    ``filtered`` postings of chunks with too few ASCII letters are left out by the scan.
     """
     avgdl = index.meta.select("avgdl").scalar()
+    found = index.postings
+    if filtered:
+        found = found.filter(F.col("english_ratio") >= config.english_ratio_min)
     side, keys = index.with_term_bucket(
         kept.select("query_id", "term", "idf", "term_weight"), index.postings
     )
-    return join_query_side(index.postings, side, keys, "chunk_id", fits).select(
+    return join_query_side(found, side, keys, "chunk_id", fits).select(
         "query_id",
         "chunk_id",
         "term",
         "tf",
+        "english_ratio",
         bm25_term(
             F.col("idf"),
             F.col("tf"),
@@ -46,25 +50,47 @@ def term_scores(
     )
 
 
-def chunk_scores(scored: DataFrame, min_terms: int) -> DataFrame:
-    """``(query_id, chunk_id, score, hit_terms)`` for chunks with enough matching terms.
+def best_terms(count: int) -> Column:
+    """An aggregate over the scored postings of a chunk: its best terms, best first, as ``term(tf)``.
 
-    Score and hit count come from one aggregate; a term occurs once per chunk, so
-    counting rows counts distinct terms.
+    The list never holds more than one entry per term of the query, and ``count`` in the end.
     """
+    entries = F.array_sort(
+        F.collect_list(F.struct((-F.round("bm25_term", 8)).alias("order"), F.col("term"), F.col("tf")))
+    )
+    return F.transform(
+        F.slice(entries, 1, count),
+        lambda entry: F.concat(entry["term"], F.lit("("), entry["tf"].cast("string"), F.lit(")")),
+    )
+
+
+def chunk_scores(scored: DataFrame, min_terms: int, top_terms: int = 0) -> DataFrame:
+    """``(query_id, chunk_id, score, hit_terms, english_ratio)`` for chunks with enough matching terms.
+
+    Score, hit count and, with ``top_terms``, the ``matched_terms`` come from one aggregate; a
+    term occurs once per chunk, so counting rows counts distinct terms.
+    """
+    named = [best_terms(top_terms).alias("matched_terms")] if top_terms else []
     return (
         scored.groupBy("query_id", "chunk_id")
-        .agg(F.sum("bm25_term").alias("score"), F.count(F.lit(1)).alias("hit_terms"))
+        .agg(
+            F.sum("bm25_term").alias("score"),
+            F.count(F.lit(1)).alias("hit_terms"),
+            F.max("english_ratio").alias("english_ratio"),
+            *named,
+        )
         .filter(F.col("hit_terms") >= min_terms)
     )
 
 
-def attach_text(hits: DataFrame, chunks: DataFrame, chunk_buckets: int = 0) -> DataFrame:
+def attach_text(
+    hits: DataFrame, chunks: DataFrame, chunk_buckets: int = 0, how: str = "left"
+) -> DataFrame:
     """Add text columns to stored hits without moving the chunk table.
 
     When the hits fit a broadcast, the chunk table is cut down to them where it lies,
     reading only their buckets if it is bucketed, and what is left is joined to the
-    hits. Hits without a chunk keep null text.
+    hits. Hits without a chunk keep null text, or go with ``how="inner"``.
     """
     wanted, keys = chunks.select("chunk_id", *TEXT_COLUMNS), ["chunk_id"]
     if chunk_buckets and "chunk_bucket" in chunks.columns:
@@ -72,75 +98,7 @@ def attach_text(hits: DataFrame, chunks: DataFrame, chunk_buckets: int = 0) -> D
     if keys_fit(hits, "chunk_id"):
         ids, _ = bucketed_ids(hits.select("chunk_id").distinct(), chunk_buckets)
         wanted = wanted.join(F.broadcast(ids.select(*keys)), keys, "left_semi")
-    return hits.join(wanted.select("chunk_id", *TEXT_COLUMNS), "chunk_id", "left")
-
-
-def passing_ids(chunks: DataFrame, minimum: float) -> DataFrame:
-    """Ids of the chunks with enough ASCII letters, from the stored ratio where there is one."""
-    stored = "english_ratio" in chunks.columns
-    ratio = F.col("english_ratio") if stored else english_ratio("text")
-    return chunks.filter(ratio >= minimum).select("chunk_id")
-
-
-def language_filter(hits: DataFrame, chunks: DataFrame, minimum: float) -> DataFrame:
-    """Keep stored hits whose chunk has enough ASCII letters; hits without a chunk go.
-
-    A stored chunk table carries the ratio, so two narrow columns are read and no text.
-    Otherwise it is computed from the text; testing it together with a column of the
-    hits keeps Spark from computing it for every chunk below the join.
-    """
-    side = hinted(hits, keys_fit(hits, "query_id", "chunk_id"))
-    if "english_ratio" in chunks.columns:
-        passing = chunks.filter(F.col("english_ratio") >= minimum).select("chunk_id")
-        return passing.join(side, "chunk_id")
-    joined = chunks.select("chunk_id", "text").join(side, "chunk_id")
-    ratio = F.when(F.col("score").isNotNull(), english_ratio("text"))
-    return joined.filter(ratio >= minimum).drop("text")
-
-
-def matched_terms(
-    hits: DataFrame,
-    kept: DataFrame,
-    index: KeywordIndex,
-    config: KeywordConfig,
-    size: QuerySize,
-) -> DataFrame:
-    """``(query_id, chunk_id, matched_terms)``: the best ``top_terms`` terms as ``term(tf)``.
-
-    Postings are first cut to the chunks that were hit, then scored again, so only the
-    terms of the hits are ranked and not those of every candidate.
-    """
-    pairs = hits.select("query_id", "chunk_id")
-    fits = keys_fit(pairs, "query_id", "chunk_id")
-    ids, keys = bucketed_ids(pairs.select("chunk_id").distinct(), index.chunk_buckets)
-    hit_postings = index.postings.join(hinted(ids, fits), keys, "left_semi")
-    narrowed = KeywordIndex(
-        hit_postings, index.doc_stats, index.df, index.meta, 0, index.term_buckets
-    )
-    scored = term_scores(kept, narrowed, config, size.terms_fit()).join(
-        hinted(pairs, fits), ["query_id", "chunk_id"], "left_semi"
-    )
-    # One group holds at most one row per term of the query.
-    best = F.slice(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    (-F.round("bm25_term", 8)).alias("order"),
-                    F.col("term"),
-                    F.concat("term", F.lit("("), F.col("tf").cast("string"), F.lit(")")).alias(
-                        "label"
-                    ),
-                )
-            )
-        ),
-        1,
-        config.top_terms,
-    )
-    return (
-        scored.groupBy("query_id", "chunk_id")
-        .agg(best.alias("best"))
-        .select("query_id", "chunk_id", F.col("best.label").alias("matched_terms"))
-    )
+    return hits.join(wanted.select("chunk_id", *TEXT_COLUMNS), "chunk_id", how)
 
 
 def candidates(
@@ -149,7 +107,7 @@ def candidates(
     """The best ``k`` chunks per query by score: ``query_id, chunk_id, score, hit_terms, rank``."""
     scored = term_scores(kept, index, config, size.terms_fit())
     return top_k(
-        chunk_scores(scored, config.min_terms),
+        chunk_scores(scored, config.min_terms).drop("english_ratio"),
         ["query_id"],
         by_score("score"),
         k,
@@ -160,29 +118,29 @@ def candidates(
 def keyword_ranking(
     kept: DataFrame,
     index: KeywordIndex,
-    chunks: DataFrame,
     config: KeywordConfig,
     size: QuerySize,
+    top_terms: int = 0,
 ) -> DataFrame:
     """``query_id, chunk_id, score, rank``: scored chunks, language filter, final cut.
 
-    With ``filter_first`` every scored chunk that fails the language filter is left out
-    before the cut, so ``k`` rows remain whenever that many qualify. Without it the best
-    ``k * oversample`` are cut first and fewer may remain.
+    With ``top_terms`` also the ``matched_terms``, from the same pass over the postings.
+    With ``filter_first`` the postings of chunks that fail the language filter are not read
+    further, so ``k`` rows remain whenever that many qualify. Without it the best
+    ``k * oversample`` are cut first and fewer may remain. Neither reads the chunk table.
     """
-    if config.english_ratio_min is None:
-        return candidates(kept, index, config.k, config, size).drop("hit_terms")
-    if config.filter_first:
-        scored = chunk_scores(term_scores(kept, index, config, size.terms_fit()), config.min_terms)
-        passing = passing_ids(chunks, config.english_ratio_min)
-        found = scored.drop("hit_terms").join(passing, "chunk_id", "left_semi")
-        return top_k(found, ["query_id"], by_score("score"), config.k, spread_by="chunk_id")
-    pool = config.k * config.oversample
-    found = written(
-        candidates(kept, index, pool, config, size).drop("hit_terms", "rank"), "candidates"
-    )
-    found = language_filter(found, chunks, config.english_ratio_min)
-    return top_k(found, ["query_id"], by_score("score"), config.k, spread_by="chunk_id", lanes=1)
+    filtered = config.english_ratio_min is not None
+    first = filtered and config.filter_first
+    scored = term_scores(kept, index, config, size.terms_fit(), first)
+    found = chunk_scores(scored, config.min_terms, top_terms).drop("hit_terms")
+    lanes = None
+    if filtered and not first:
+        pool = config.k * config.oversample
+        found = top_k(found, ["query_id"], by_score("score"), pool, spread_by="chunk_id")
+        found = found.filter(F.col("english_ratio") >= config.english_ratio_min).drop("rank")
+        lanes = 1
+    found = found.drop("english_ratio")
+    return top_k(found, ["query_id"], by_score("score"), config.k, spread_by="chunk_id", lanes=lanes)
 
 
 def keyword_search(
@@ -196,15 +154,14 @@ def keyword_search(
     """Full keyword search result for ``queries(query_id, query_text)``.
 
     ``query_id, rank, chunk_id, matched_terms, text, source_file, chunk_index_in_file,
-    score``. Queries without any token simply have no rows. The selected terms and the
-    ranking feed several lookups, so each is stored and computed once.
+    score``. Queries without any token simply have no rows. The postings are read once. The
+    ranking is stored, as it decides which texts are fetched. A hit whose chunk is gone has no
+    text; with a language filter it is left out.
     """
     size = size or measure_queries(queries)
-    kept = written(select_terms(queries, index, lexicon, config, size), "kept-terms")
-    ranked = written(keyword_ranking(kept, index, chunks, config, size), "ranked")
-    terms = matched_terms(ranked, kept, index, config, size)
-    return (
-        attach_text(ranked, chunks, index.chunk_buckets)
-        .join(terms, ["query_id", "chunk_id"], "left")
-        .select("query_id", "rank", "chunk_id", "matched_terms", *TEXT_COLUMNS, "score")
+    kept = select_terms(queries, index, lexicon, config, size)
+    ranked = written(keyword_ranking(kept, index, config, size, config.top_terms), "ranked")
+    how = "left" if config.english_ratio_min is None else "inner"
+    return attach_text(ranked, chunks, index.chunk_buckets, how).select(
+        "query_id", "rank", "chunk_id", "matched_terms", *TEXT_COLUMNS, "score"
     )

@@ -31,6 +31,7 @@ POSTINGS = T.StructType(
         T.StructField("chunk_id", T.StringType()),
         T.StructField("tf", T.IntegerType()),
         T.StructField("doc_len", T.IntegerType()),
+        T.StructField("english_ratio", T.DoubleType()),
     ]
 )
 

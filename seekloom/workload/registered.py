@@ -203,7 +203,8 @@ def bm25_term_scores(spark, sf_dir):
     queries, index = inputs.queries(spark, sf_dir), inputs.index(spark, sf_dir)
     size = measure_queries(queries)
     kept = terms.select_terms(queries, index, inputs.lexicon(spark, sf_dir), KEYWORD, size)
-    return keyword.term_scores(kept, index, KEYWORD, size.terms_fit()).withColumn(
+    scored = keyword.term_scores(kept, index, KEYWORD, size.terms_fit()).drop("english_ratio")
+    return scored.withColumn(
         "bm25_term", F.round("bm25_term", 6)
     )
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -107,14 +108,19 @@ def test_alignment_of_any_text(brute, text):
 
 
 def test_sliced_texts_have_the_tokens_of_the_whole(brute, monkeypatch):
-    monkeypatch.setattr(token_alignment._slices, "__defaults__", (25,))
-    monkeypatch.setattr(token_alignment, "SLICE_CHARS", 60)
-    monkeypatch.setattr(token_alignment, "MEMO_IDS", 40)
+    monkeypatch.setattr(token_alignment, "SLICE_CHARS", 25)
+    monkeypatch.setattr(token_alignment, "MEMO_WORDS", 5)
     texts = [" ".join(TRICKY[k:] + TRICKY[:k]).replace("▁", "_") for k in range(len(TRICKY))] + ["a▁b " + "x y " * 30]
     for text, found in zip(texts, aligner().documents([t.encode() for t in texts]), strict=True):
         same(found, brute(text))
 
 
+def test_windows_of_equal_hashes_are_told_apart(monkeypatch, brute):
+    monkeypatch.setattr(token_alignment, "mix", lambda values: values & np.uint64(1))
+    text = " ".join(TRICKY[:3] + TRICKY[5:8] + TRICKY[13:])
+    same(next(aligner().documents([text.encode()])), brute(text))
+
+
 def test_table_against_brute_force(make_docs, brute):
     rows = [(1, None), (2, ""), (None, "the cat"), (3, "the cat sat"), (3, "the cat sat"), (4, "a▁b")]
     rows += [(at + 10, text) for at, text in enumerate(TRICKY)] + [(90, "long words here " * 90)]

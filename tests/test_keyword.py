@@ -192,16 +192,35 @@ def test_plan_has_no_cartesian_product_and_limits_early(
     index = write_index(chunks, chunk_buckets=2, term_buckets=2)
     size = measure_queries(queries)
     kept = select_terms(queries, index, lexicon, LOOSE, size)
-    ranked = keyword.keyword_ranking(kept, index, chunks, KeywordConfig(), size)
+    ranked = keyword.keyword_ranking(kept, index, KeywordConfig(), size, 5)
+    late = keyword.keyword_ranking(kept, index, KeywordConfig(filter_first=False), size, 5)
     found = keyword.candidates(kept, index, 5, KeywordConfig(), size)
-    terms = keyword.matched_terms(ranked, kept, index, KeywordConfig(), size)
-    for frame in (ranked, found, terms):
+    for frame in (ranked, late, found):
         plan = plan_text(frame)
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        # One scan of the postings, of the lexicon's and the query side's tables; none of the chunks.
+        assert plan.count("/postings]") == 1 and "source_file" not in plan
+        assert "term_bucket" in pruned(plan)
+    assert "GreaterThanOrEqual(english_ratio" in plan_text(ranked)
+    assert "GreaterThanOrEqual(english_ratio" not in plan_text(late)
     assert "WindowGroupLimit" in plan_text(found)
     assert "term_bucket" in pruned(plan_text(kept))
-    assert "term_bucket" in pruned(plan_text(found))
-    assert "chunk_bucket" in pruned(plan_text(terms))
+
+
+def test_stored_and_computed_ratios_filter_alike(spark, make_chunks, make_queries, lexicon):
+    texts = random_texts(40, seed=9)
+    for number, key in enumerate(list(texts)):
+        texts[key] += " 日本 12 ..." * (number % 7)
+    chunks, queries = make_chunks(texts), make_queries(*QUERIES)
+    config = KeywordConfig(df_ratio_max=1.0, english_ratio_min=0.75, k=6)
+    ratio = {k: sum(c in "abcdefghijklmnopqrstuvwxyz" for c in t.lower()) / len(t) for k, t in texts.items()}
+    plain = plain_search(texts, QUERIES, KeywordConfig(df_ratio_max=1.0, english_ratio_min=None, k=10**6))
+    want = {n: [k for k, _ in hits if ratio[k] >= 0.75][:6] for n, hits in plain.items()}
+    for table in (chunks, stored_chunks(chunks)):
+        rows = keyword.keyword_search(queries, build_index(table), table, lexicon, config).collect()
+        got = {n: [r.chunk_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == n] for n in want}
+        assert got == want
+        assert all(len(r.matched_terms) <= config.top_terms for r in rows)
 
 
 def pruned(plan):
