@@ -10,7 +10,7 @@ from seekloom.functions.scoring import bm25_term
 from seekloom.operators.bm25_index import BUCKETED, KeywordIndex, bucketed_ids
 from seekloom.operators.lexicon import Lexicon
 from seekloom.operators.terms import select_terms
-from seekloom.plans.joins import join_query_side
+from seekloom.plans.joins import join_by_known_rows
 from seekloom.plans.scratch import written
 from seekloom.plans.sizing import QuerySize, keys_fit, measure_queries
 from seekloom.plans.topk import by_score, top_k
@@ -22,8 +22,8 @@ def term_scores(
 ) -> DataFrame:
     """``(query_id, chunk_id, term, tf, english_ratio, bm25_term)`` for every posting of a kept term.
 
-    ``kept`` carries df, idf and weight, so a posting needs this one join only. With
-    ``filtered`` postings of chunks with too few ASCII letters are left out by the scan.
+    ``kept`` carries idf and weight, so a posting needs this one join only; where it shuffles,
+    the document frequencies say which terms are dealt over lanes. With ``filtered`` postings of chunks with too few ASCII letters are left out by the scan.
     """
     avgdl = index.meta.select("avgdl").scalar()
     found = index.postings
@@ -32,7 +32,8 @@ def term_scores(
     side, keys = index.with_term_bucket(
         kept.select("query_id", "term", "idf", "term_weight"), index.postings
     )
-    return join_query_side(found, side, keys, "chunk_id", fits).select(
+    known = index.df.select("term", F.col("df").alias("rows"))
+    return join_by_known_rows(found, side, keys, known, "term", "chunk_id", fits).select(
         "query_id",
         "chunk_id",
         "term",

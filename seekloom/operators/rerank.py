@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekloom.functions.analyzer import query_tokens
+from seekloom.plans.sizing import in_tasks
 from seekloom.plans.topk import top_k
 
 # A factory is called once per task and returns the model: (queries, texts) -> scores.
@@ -23,8 +24,16 @@ def score_pairs(
     text_col: str = "text",
     score_col: str = "rerank_score",
     batch_size: int = 16,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Add the model's relevance for each (query, text) row; null text counts as ""."""
+    """Add the model's relevance for each (query, text) row; null text counts as "".
+
+    The rows are dealt over ``tasks`` tasks, by default the shuffle width, which adaptive
+    execution does not merge. Within a task they are ordered by the length of query and text
+    together, so the pairs of a batch are of like length and little of a batch is padding.
+    """
+    length = F.coalesce(F.length(query_col), F.lit(0)) + F.coalesce(F.length(text_col), F.lit(0))
+    dealt = in_tasks(frame, tasks).sortWithinPartitions(length, F.xxhash64(query_col, text_col))
     schema = T.StructType([*frame.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +53,7 @@ def score_pairs(
                 names=[*batch.schema.names, score_col],
             )
 
-    return frame.mapInArrow(score, schema)
+    return dealt.mapInArrow(score, schema)
 
 
 def lexical_scores(

@@ -89,6 +89,13 @@ def in_tasks(frame: DataFrame, tasks: int | None = None) -> DataFrame:
     return frame.repartition(tasks or width)
 
 
+def target_rows(rows: DataFrame, least: int = 100_000) -> tuple[int, int]:
+    """A task's share of the rows that ``rows(rows)`` counts, at least ``least``, and the tasks."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.coalesce(F.sum("rows"), F.lit(0).cast("long"))).first()[0]
+    return max(least, -(-total // tasks)), tasks
+
+
 def lanes_for(frame: DataFrame) -> int:
     """How many lanes to split a hot key into: the square root of the shuffle width."""
     width = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))

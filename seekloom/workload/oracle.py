@@ -112,6 +112,9 @@ def _reranked(prefix: str, limit: int, k: int) -> dict[str, str]:
 
 _CLEAN = "trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[•·]+', ' ', 'g'))"
 _CONTEXT, _QUESTION, _FORMAT = USER_HEADINGS
+_AFTER_POSTINGS = """SELECT term, chunk_id, tf, doc_len, round(length(regexp_replace(lower(text),
+    '[^a-z]+', '', 'g')) / length(text), 6) AS english_ratio
+    FROM after_post JOIN after_stats USING (chunk_id) JOIN chunk_after USING (chunk_id)"""
 
 EXPRESSIONS: dict[str, str] = {
     # inputs
@@ -334,12 +337,10 @@ STATEMENTS: dict[str, str] = {
         (SELECT count(*) FROM batch_post) AS new_postings,
         (SELECT count(*) FROM delta) AS df_terms_changed,
         'skipped (no cell model)' AS vector_index""",
-    "ingest_postings": """SELECT term, chunk_id, tf, doc_len
-        FROM after_post JOIN after_stats USING (chunk_id)""",
+    "ingest_postings": _AFTER_POSTINGS,
     "ingest_stream": "SELECT * FROM after_freq",
     "ingest_after_skipped_update": "SELECT * FROM after_freq",
-    "ingest_compacted": """SELECT term, chunk_id, tf, doc_len
-        FROM after_post JOIN after_stats USING (chunk_id)""",
+    "ingest_compacted": _AFTER_POSTINGS,
     "ingest_cells": """SELECT chunk_id, 1.0::double AS norm FROM wide_after""",
     "coverage_audit": """SELECT (SELECT count(*) FROM batch) AS total,
         (SELECT count(*) FROM batch JOIN chunk USING (chunk_id)) AS in_text,

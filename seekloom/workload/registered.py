@@ -557,10 +557,14 @@ def ingest_report(spark, sf_dir):
     return report
 
 
+def _with_rounded_ratio(postings):
+    return postings.withColumn("english_ratio", F.round("english_ratio", 6))
+
+
 @register
 def ingest_postings(spark, sf_dir):
     _, snapshot = inputs.ingested(spark, sf_dir)
-    return snapshot.rows(spark, "postings")
+    return _with_rounded_ratio(snapshot.rows(spark, "postings"))
 
 
 @register
@@ -584,7 +588,7 @@ def ingest_compacted(spark, sf_dir):
     ingest(spark, own, inputs.batch_chunks(spark, sf_dir))
     compacted = compact(spark, replace(lake, root=own.root))
     remove_superseded(spark, own)
-    return compacted.rows(spark, "postings")
+    return _with_rounded_ratio(compacted.rows(spark, "postings"))
 
 
 @register

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,30 @@ def test_answers_and_eval_rows(spark, make_queries):
         (1, "one", "m-1", "ok"),
         (2, "two", "m-1", "OUT_OF_KNOWLEDGE"),
     ]
+
+
+def test_pairs_are_scored_in_stated_tasks_with_batches_of_like_length(spark):
+    rows = [(i, "q" * (1 + i % 3), "x" * (i * 37 % 400) if i % 11 else None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "query_id long, query_text string, text string")
+
+    def factory():
+        model = float(uuid.uuid4().int % 2**31)
+
+        def score(asked, texts):
+            assert len(asked) == len(texts) <= 8
+            return [model] * len(texts)
+
+        return score
+
+    for tasks in (5, None):
+        scored = score_pairs(frame, factory, batch_size=8, tasks=tasks)
+        found = scored.withColumn("task", F.spark_partition_id()).collect()
+        assert len(found) == 300 and {r.query_id for r in found} == set(range(300))
+        assert len({r.task for r in found}) == (tasks or 4)
+        assert len({r.rerank_score for r in found}) == (tasks or 4)  # one model per task
+        for task in {r.task for r in found}:
+            lengths = [len(r.query_text) + len(r.text or "") for r in found if r.task == task]
+            assert lengths == sorted(lengths)
+            spreads = [max(part) - min(part) for part in (lengths[i : i + 8] for i in range(0, len(lengths), 8))]
+            assert sum(spreads) <= 400 + 8 * len(spreads)
+    assert score_pairs(frame.limit(0), factory).count() == 0

@@ -7,13 +7,15 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from seekloom.config import Budget, KeywordConfig
 from seekloom.operators import keyword
 from seekloom.operators.bm25_index import build_index, write_index
 from seekloom.operators.lexicon import BOOST_RULES, TERM_WEIGHTS, Lexicon
 from seekloom.operators.terms import select_terms, weighted_terms
-from seekloom.plans.sizing import QuerySize, measure_queries
+from seekloom.plans.joins import in_lanes
+from seekloom.plans.sizing import QuerySize, measure_queries, target_rows
 from seekloom.sources.chunks import stored_chunks
 from tests.test_analyzer import plain_tokens
 
@@ -232,3 +234,19 @@ def test_budget_is_respected():
     size = QuerySize(10, 100, 1000, 640)
     assert size.terms_fit(Budget(100, 10_000)) and not size.terms_fit(Budget(99, 10_000))
     assert not size.vectors_fit(Budget(100, 100))
+
+
+def test_only_heavy_terms_are_dealt_over_lanes(spark, make_chunks):
+    """A term of every chunk fills lanes of the target; no other term is repeated."""
+    texts = {f"c{i}": f"common word{i % 50} rare{i}" for i in range(2000)}
+    index = build_index(make_chunks(texts))
+    known = index.df.select("term", F.col("df").alias("rows"))
+    side = index.df.select(F.lit(1).alias("query_id"), "term")
+    spread, repeated = in_lanes(index.postings, side, known, "term", "chunk_id", 100)
+    loads = {(r["term"], r["_lane"]): r["count"] for r in spread.groupBy("term", "_lane").count().collect()}
+    lanes = {r["term"]: r["count"] for r in repeated.groupBy("term").count().collect()}
+    assert lanes["common"] == 20 and all(n == 1 for term, n in lanes.items() if term != "common")
+    assert max(loads.values()) <= 200 and len([1 for term, _ in loads if term == "common"]) == 20
+    joined = spread.join(repeated, ["term", "_lane"])
+    assert joined.count() == 6000 == index.postings.count()
+    assert target_rows(known, 1) == (1500, 4) and target_rows(known)[0] == 100_000
