@@ -14,20 +14,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekloom.config import DEFAULT_BUDGET, Budget
 from seekloom.operators.keyword import attach_text
-from seekloom.plans.scratch import written
-from seekloom.plans.sizing import QuerySize, lane, measure_queries
+from seekloom.plans.scratch import scratch_path, written
+from seekloom.plans.sizing import ROW_OVERHEAD, QuerySize, measure_queries
 from seekloom.plans.topk import by_score, top_k
 
 QUERY_SLICE = 512  # queries scored per matrix product, bounds the score matrix
 POOL_ROWS = 1_000_000  # candidates kept before they are cut to k per query again
-BLOCK_ROWS = 50_000  # vectors per group on the path for large query tables
-QUERY_BLOCK = 4_096  # queries per group on that path
+QUERY_BLOCK = 4_096  # queries that are sent to the corpus together, however small the budget
 
 
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -111,15 +110,26 @@ def _hits_schema(queries: DataFrame) -> T.StructType:
     )
 
 
+def _queries_per_cell(cells: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """The positions of the queries that probe each cell."""
+    column = cells.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    positions = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    order = np.argsort(flat, kind="stable")
+    values, first = np.unique(flat[order], return_index=True)
+    return dict(zip(values.tolist(), np.split(positions[order], first)[1:], strict=True))
+
+
 def _scan_with_broadcast(
-    table: pa.Table, corpus: DataFrame, k: int, schema: T.StructType, probes=None
+    table: pa.Table, corpus: DataFrame, k: int, schema: T.StructType
 ) -> DataFrame:
-    """Local top-k of every task, with the (measured) query matrix sent to each executor.
+    """Local top-k of every task, with the (bounded) query matrix sent to each executor.
 
-    ``probes[query, cell]`` limits a query to the rows of the cells it probes.
+    A column ``cells`` limits a query to the rows of the cells it probes.
     """
     matrix = _matrix(table["query_vector"])
-    shared = corpus.sparkSession.sparkContext.broadcast((table["query_id"], matrix, probes))
+    probing = _queries_per_cell(table["cells"]) if "cells" in table.column_names else None
+    shared = corpus.sparkSession.sparkContext.broadcast((table["query_id"], matrix, probing))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix, query_cells = shared.value
@@ -136,10 +146,10 @@ def _scan_with_broadcast(
                 _score_slices(best, positions, query_matrix, ids, vectors)
                 continue
             cells = batch.column("cell").to_numpy(zero_copy_only=False)
-            for cell in np.unique(cells):
-                rows = cells == cell
-                probing = positions[query_cells[:, cell]]
-                _score_slices(best, probing, query_matrix[probing], ids[rows], vectors[rows])
+            for cell in np.unique(cells).tolist():
+                if (asking := query_cells.get(cell)) is not None:
+                    rows = cells == cell
+                    _score_slices(best, asking, query_matrix[asking], ids[rows], vectors[rows])
         pool = best.cut()
         if len(pool):
             yield pa.RecordBatch.from_arrays(
@@ -155,45 +165,43 @@ def _scan_with_broadcast(
     return corpus.mapInArrow(search, schema)
 
 
-def _scan_in_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, n_queries: int, by_cell: bool = False
-) -> DataFrame:
-    """Local top-k per (query block, corpus block) for query tables too large to broadcast.
+def _block_rows(size: QuerySize, budget: Budget) -> int:
+    """How many queries one broadcast may hold; never less than a block that surely fits."""
+    each = max(1, (size.vector_values * 8 + size.text_bytes) // max(1, size.rows) + ROW_OVERHEAD)
+    return max(QUERY_BLOCK, min(budget.max_rows, budget.max_bytes // each))
 
-    Both sides are cut into blocks by id hash, so a group holds a bounded number of rows
-    however the data is distributed; with cells, a hot cell is spread over all its lanes.
-    """
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    lanes = max(1, -(-corpus.count() // BLOCK_ROWS))
-    keys = ["query_block", "corpus_block"] + (["cell"] if by_cell else [])
-    left = queries.withColumn(
-        "query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
-    ).withColumn("corpus_block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    right = corpus.withColumn("corpus_block", lane("chunk_id", lanes)).withColumn(
-        "query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
 
-    def search(query_rows: pd.DataFrame, chunk_rows: pd.DataFrame) -> pd.DataFrame:
-        best = _BestPerQuery(k, len(query_rows))
-        if len(query_rows) and len(chunk_rows):
-            query_matrix = np.stack(query_rows["query_vector"].to_numpy()).astype(np.float64)
-            vectors = np.stack(chunk_rows["embedding"].to_numpy()).astype(np.float64)
-            ids = chunk_rows["chunk_id"].to_numpy()
-            _score_slices(best, np.arange(len(query_rows)), query_matrix, ids, vectors)
-        pool = best.cut()
-        return pd.DataFrame(
-            {
-                "query_id": query_rows["query_id"].to_numpy()[pool["query"].to_numpy(dtype=int)],
-                "chunk_id": pool["chunk_id"].to_numpy(),
-                "search_score": pool["score"].to_numpy(dtype=float),
-            }
-        )
+def _scan_blocks(
+    blocked: DataFrame, count: int, corpus: DataFrame, k: int, schema: T.StructType
+) -> DataFrame:
+    """Local top-k for query blocks that are sent one after the other to a corpus that stays in place.
 
-    return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(search, _hits_schema(queries))
-    )
+    ``blocked`` has the block number of each query in ``_block``. The corpus is read once per
+    block, or with ``cells`` only the cells that the block's queries probe; it is never
+    exchanged or repeated. Each block's hits are stored before the next one is sent.
+    """
+    spark = corpus.sparkSession
+    path = scratch_path(spark, "query-blocks")
+    blocked.write.partitionBy("_block").parquet(path)
+    stored = spark.read.schema(blocked.schema).parquet(path)
+    hits = scratch_path(spark, "block-hits")
+    for block in range(count):
+        rows = stored.filter(F.col("_block") == block).drop("_block").toArrow()
+        if rows.num_rows:
+            local = _scan_with_broadcast(rows, _reached(rows, corpus), k, schema)
+            local.write.parquet(f"{hits}/block={block}")
+    if not count:
+        return spark.createDataFrame([], schema)
+    with_block = T.StructType([*schema.fields, T.StructField("block", T.IntegerType())])
+    return spark.read.schema(with_block).parquet(hits).drop("block")
+
+
+def _reached(rows: pa.Table, corpus: DataFrame) -> DataFrame:
+    """The part of a cell table that any query probes; a literal list prunes partitions when planning."""
+    if "cells" not in rows.column_names:
+        return corpus
+    cells = np.unique(rows["cells"].combine_chunks().flatten().to_numpy(zero_copy_only=False))
+    return corpus.filter(F.col("cell").isin(cells.tolist()))
 
 
 def vector_topk(
@@ -205,7 +213,8 @@ def vector_topk(
 ) -> DataFrame:
     """Exact nearest ``k``: ``query_id, chunk_id, search_score, rank``.
 
-    ``queries(query_id, query_vector)``, ``corpus(chunk_id, embedding)``.
+    ``queries(query_id, query_vector)``, ``corpus(chunk_id, embedding)``. A query table beyond
+    the budget is searched for in blocks.
     """
     queries = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull())
     corpus = corpus.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
@@ -213,7 +222,9 @@ def vector_topk(
     if size.vectors_fit(budget):
         local = _scan_with_broadcast(queries.toArrow(), corpus, k, _hits_schema(queries))
     else:
-        local = _scan_in_blocks(queries, corpus, k, size.rows)
+        count = -(-size.rows // _block_rows(size, budget))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, count))).cast("int")
+        local = _scan_blocks(queries.withColumn("_block", block), count, corpus, k, _hits_schema(queries))
     return top_k(local, ["query_id"], by_score("search_score"), k, spread_by="chunk_id")
 
 
@@ -270,31 +281,56 @@ def vector_topk_approx(
     """Nearest ``k`` among the chunks in the ``n_probe`` cells closest to each query.
 
     On a table partitioned by ``cell``, cells that no query of the batch probes are not read.
+    The model keeps its centres in one matrix on the driver and in each task; an index of more
+    cells than that suits has two levels (:mod:`seekloom.operators.cell_tree`).
     """
     queries = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull())
     centers = np.stack(model.clusterCenters())
-    if centers.nbytes > DEFAULT_BUDGET.max_bytes:
-        raise ValueError("the cell centres exceed the broadcast budget: fit fewer cells")
     n_probe = min(n_probe, len(centers))
-    size = measure_queries(queries)
+    shared = index.sparkSession.sparkContext.broadcast(centers)
 
     @F.pandas_udf("array<int>")
     def nearest_cells(vectors: pd.Series) -> pd.Series:
         matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-        distance = (centers**2).sum(axis=1)[None, :] - 2.0 * (matrix @ centers.T)
-        order = np.argsort(distance, axis=1, kind="stable")[:, :n_probe]
-        return pd.Series(list(order.astype(np.int32)))
+        order = np.argsort(squared_distances(matrix, shared.value), axis=1, kind="stable")
+        return pd.Series(list(order[:, :n_probe].astype(np.int32)))
 
-    probed = queries.withColumn("cells", nearest_cells("query_vector"))
-    if size.vectors_fit(budget) and size.rows * len(centers) <= budget.max_bytes:
+    return search_cells(queries.withColumn("cells", nearest_cells("query_vector")), index, k, budget)
+
+
+def squared_distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each centre, less the square of the point itself."""
+    return (centers**2).sum(axis=1)[None, :] - 2.0 * (points @ centers.T)
+
+
+def search_cells(
+    probed: DataFrame, index: DataFrame, k: int, budget: Budget = DEFAULT_BUDGET
+) -> DataFrame:
+    """Nearest ``k`` of ``probed(query_id, query_vector, cells)`` in the cells that each query probes.
+
+    Beyond the budget the (query, cell) pairs are put into blocks along the order of the
+    cells, so a block's queries probe few cells and a cell is read by one block, or by
+    several if more queries than a block holds probe it.
+    """
+    size = measure_queries(probed)
+    if size.vectors_fit(budget):
         rows = probed.toArrow()
-        probes = np.zeros((rows.num_rows, len(centers)), dtype=bool)
-        for position, cells in enumerate(rows["cells"].to_pylist()):
-            probes[position, cells] = True
-        # At most one entry per cell; a literal list prunes partitions at planning time.
-        reached = index.filter(F.col("cell").isin(np.flatnonzero(probes.any(axis=0)).tolist()))
-        local = _scan_with_broadcast(rows, reached, k, _hits_schema(queries), probes)
-    else:
-        by_cell = probed.withColumn("cell", F.explode("cells")).drop("cells")
-        local = _scan_in_blocks(by_cell, index, k, size.rows, by_cell=True)
+        local = _scan_with_broadcast(rows, _reached(rows, index), k, _hits_schema(probed))
+        return top_k(local, ["query_id"], by_score("search_score"), k, spread_by="chunk_id")
+    pairs = written(probed.withColumn("cell", F.explode("cells")).drop("cells"), "probed-pairs")
+    # One row per probed cell; the running sum over them gives each cell its place.
+    counts = pairs.groupBy(F.col("cell").alias("_cell")).agg(F.count(F.lit(1)).alias("_asking"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_asking").over(before), F.lit(0)))
+    held = _block_rows(size, budget)
+    place = F.col("_before") + F.pmod(F.xxhash64("query_id"), F.col("_asking"))
+    blocked = (
+        pairs.join(counts, F.col("cell") == F.col("_cell"))
+        .withColumn("_block", F.floor(place / F.lit(held)).cast("int"))
+        .groupBy("query_id", "_block")
+        .agg(F.first("query_vector").alias("query_vector"), F.collect_list("cell").alias("cells"))
+        .select("query_id", "query_vector", "cells", "_block")
+    )
+    count = -(-pairs.count() // held)
+    local = _scan_blocks(blocked, count, index, k, _hits_schema(probed))
     return top_k(local, ["query_id"], by_score("search_score"), k, spread_by="chunk_id")

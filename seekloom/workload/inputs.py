@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seekloom.config import EMBEDDING_DIR, IDS_FILE, VECTOR_FILE, KeywordConfig, LakeConfig
 from seekloom.operators.bm25_index import KeywordIndex, write_index
+from seekloom.operators.cell_tree import assign_tree_cells, fit_cell_tree
 from seekloom.operators.lexicon import BOOST_RULES, BoostRule, Lexicon
 from seekloom.operators.vectors import assign_cells, fit_cells
 from seekloom.plans.ingest import ingest
@@ -24,6 +25,7 @@ from seekloom.sources.snapshots import Snapshot, current
 MODEL = "fixture-model"
 SHARD_ROWS = 512
 CELLS = 16
+TREE_COARSE, TREE_ROWS = 4, 50
 LEXICON_RATIO = 0.04
 LEXICON_WEIGHT = 2.0
 # A rule over words of the bundled texts, beside the domain rules.
@@ -186,6 +188,21 @@ def cells(spark: SparkSession, sf_dir: str):
     return once(spark, sf_dir, "cells", build)
 
 
+def cell_tree(spark: SparkSession, sf_dir: str):
+    """The two-level cell tree and its stored index, partitioned by fine cell."""
+
+    def build():
+        corpus = embeddings(spark, sf_dir)
+        tree = fit_cell_tree(corpus, n_coarse=TREE_COARSE, cell_rows=TREE_ROWS)
+        path = scratch_path(spark, "tree-cells")
+        assign_tree_cells(corpus, tree).write.partitionBy("cell").parquet(path)
+        return tree, spark.read.schema(
+            "chunk_id string, embedding array<float>, cell int"
+        ).parquet(path)
+
+    return once(spark, sf_dir, "cell-tree", build)
+
+
 def batch_fits(spark: SparkSession, sf_dir: str) -> bool:
     """Whether the ids of both batches together may be broadcast."""
     return once(

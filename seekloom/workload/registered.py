@@ -8,19 +8,19 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekloom.config import IDS_FILE, VECTOR_FILE, AnswerConfig, FusionConfig, KeywordConfig
+from seekloom.config import IDS_FILE, VECTOR_FILE, AnswerConfig, Budget, FusionConfig, KeywordConfig
 from seekloom.config import LakeConfig
 from seekloom.functions.analyzer import document_tokens
 from seekloom.functions.text import basename, clean_text, english_ratio
 from seekloom.functions.vectors import l2_norm
-from seekloom.operators import audit, bm25_index, bm25_update, keyword, prompts, terms, vectors
+from seekloom.operators import audit, bm25_index, bm25_update, cell_tree, keyword, prompts, terms, vectors
 from seekloom.operators.embed import embed_hashed, embed_texts
 from seekloom.operators.fusion import hybrid_search, rrf_fuse
 from seekloom.operators.rerank import lexical_scores, rerank_topk
 from seekloom.operators.upsert import latest_per_key, upsert, wide_after_batch, wide_table
 from seekloom.plans.answers import answer_inputs, run_questions
 from seekloom.plans.scratch import scratch_path, written
-from seekloom.plans.sizing import measure_queries
+from seekloom.plans.sizing import QuerySize, measure_queries
 from seekloom.sources.chunks import read_chunks
 from seekloom.sources.shards import decode_shards, pair_shards
 from seekloom.plans.ingest import ingest
@@ -220,7 +220,7 @@ def bm25_topk(spark, sf_dir):
     )
 
 
-def _keyword_search(spark, sf_dir, config):
+def _keyword_search(spark, sf_dir, config, size=None):
     return (
         keyword.keyword_search(
             inputs.queries(spark, sf_dir),
@@ -228,6 +228,7 @@ def _keyword_search(spark, sf_dir, config):
             inputs.stored(spark, sf_dir),
             inputs.lexicon(spark, sf_dir),
             config,
+            size,
         )
         .withColumn("matched_terms", F.array_join("matched_terms", " "))
         .withColumn("score", F.round("score", 6))
@@ -298,6 +299,79 @@ def vector_topk_approx_all_cells(spark, sf_dir):
     ).withColumn("search_score", F.round("search_score", 6))
 
 
+# Query tables beyond the budget, on the paths that shuffle or go block by block
+
+
+@register
+def keyword_search_large_query_table(spark, sf_dir):
+    return _keyword_search(spark, sf_dir, KEYWORD, QuerySize(10**9, 10**9, 10**12, 0))
+
+
+@register
+def vector_topk_query_blocks(spark, sf_dir):
+    return vectors.vector_topk(
+        inputs.queries(spark, sf_dir), inputs.embeddings(spark, sf_dir), budget=Budget(0, 0)
+    ).withColumn("search_score", F.round("search_score", 6))
+
+
+@register
+def vector_topk_approx_query_blocks(spark, sf_dir):
+    model, index = inputs.cells(spark, sf_dir)
+    return vectors.vector_topk_approx(
+        inputs.queries(spark, sf_dir), index, model, n_probe=inputs.CELLS, budget=Budget(0, 0)
+    ).withColumn("search_score", F.round("search_score", 6))
+
+
+# Cells in two levels, and what approximate results must keep
+
+
+@register
+def vector_topk_tree_all_cells(spark, sf_dir):
+    tree, index = inputs.cell_tree(spark, sf_dir)
+    cells = tree.fine.count()
+    return cell_tree.vector_topk_tree(
+        inputs.queries(spark, sf_dir), index, tree, n_probe=cells, n_coarse=inputs.TREE_COARSE
+    ).withColumn("search_score", F.round("search_score", 6))
+
+
+def _properties(spark, sf_dir, found):
+    """Per approximate result: its queries, whether all scores are exact, and whether recall is 0.9."""
+    queries, corpus = inputs.queries(spark, sf_dir), inputs.embeddings(spark, sf_dir)
+    found = written(found, "approximate")
+    exact = vectors.vector_topk(queries, corpus).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    asked = queries.select(F.col("query_id").alias("_query"), "query_vector")
+    own = F.aggregate(
+        F.zip_with("query_vector", "embedding", lambda x, y: x.cast("double") * y.cast("double")),
+        F.lit(0.0),
+        lambda total, part: total + part,
+    )
+    checked = found.join(asked, F.col("query_id") == F.col("_query")).join(corpus, "chunk_id")
+    checked = checked.join(exact, ["query_id", "chunk_id"], "left")
+    wanted = exact.count()
+    return checked.agg(
+        F.count_distinct("query_id").alias("queries"),
+        F.min(F.abs(own - F.col("search_score")) < 1e-6).alias("scores_exact"),
+        F.sum("hit").alias("hits"),
+    ).select("queries", "scores_exact", (F.col("hits") >= 0.9 * wanted).alias("recall_kept"))
+
+
+@register
+def vector_topk_approx_properties(spark, sf_dir):
+    model, index = inputs.cells(spark, sf_dir)
+    found = vectors.vector_topk_approx(inputs.queries(spark, sf_dir), index, model, n_probe=12)
+    return _properties(spark, sf_dir, found)
+
+
+@register
+def vector_topk_tree_properties(spark, sf_dir):
+    tree, index = inputs.cell_tree(spark, sf_dir)
+    probes = -(-3 * tree.fine.count() // 4)
+    found = cell_tree.vector_topk_tree(
+        inputs.queries(spark, sf_dir), index, tree, n_probe=probes, n_coarse=inputs.TREE_COARSE
+    )
+    return _properties(spark, sf_dir, found)
+
+
 def _in_nearest_cell(model):
     """Whether no centre is closer to a vector than that of its cell."""
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekloom.config import Budget
-from seekloom.operators import vectors
+from seekloom.operators import cell_tree, vectors
 from seekloom.operators.embed import embed_hashed, embed_texts, mean_pool
 from seekloom.plans.sizing import keys_fit
 
@@ -55,9 +55,35 @@ def test_exact_matches_brute_force(data):
 
 def test_blocks_match_brute_force(data, monkeypatch):
     queries, corpus, expected, _ = data
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 70)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
-    assert ranked(vectors.vector_topk(queries, corpus, K, budget=NOTHING_FITS)) == expected
+    found = vectors.vector_topk(queries, corpus, K, budget=NOTHING_FITS)
+    assert ranked(found) == expected
+    assert vectors.vector_topk(queries.limit(0), corpus, K, budget=NOTHING_FITS).count() == 0
+
+
+def test_the_corpus_stays_in_place_for_large_query_tables(data, monkeypatch, plan_text):
+    """No plan of the search exchanges or repeats the corpus before its local top-k."""
+    queries, corpus, _, _ = data
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    scanned, scan = [], vectors._scan_with_broadcast
+
+    def watched(rows, table, *rest):
+        scanned.append(rows.num_rows)
+        local = scan(rows, table, *rest)
+        plan = plan_text(local)
+        assert "MapInArrow" in plan and "Generate" not in plan and "CoGroup" not in plan
+        assert "Exchange" not in plan.split("MapInArrow")[0]
+        return local
+
+    monkeypatch.setattr(vectors, "_scan_with_broadcast", watched)
+    stored = vectors.written(corpus, "corpus")
+    vectors.vector_topk(queries, stored, K, budget=NOTHING_FITS).collect()
+    assert sum(scanned) == NQ and len(scanned) == 3
+    model = vectors.fit_cells(corpus, n_cells=6)
+    index = vectors.written(vectors.assign_cells(corpus, model), "cells")
+    scanned.clear()
+    vectors.vector_topk_approx(queries, index, model, K, n_probe=2, budget=NOTHING_FITS).collect()
+    assert len(scanned) == 5 and max(scanned) <= 9
 
 
 def test_small_pool_and_slices_change_nothing(data, monkeypatch):
@@ -83,7 +109,7 @@ def test_different_dimensions_are_an_error(spark, data):
         vectors.vector_topk(queries, wrong, K).collect()
 
 
-def test_approximate_index_recall_and_full_probe(data):
+def test_approximate_index_recall_and_full_probe(data, monkeypatch):
     queries, corpus, expected, _ = data
     model = vectors.fit_cells(corpus, n_cells=6)
     index = vectors.assign_cells(corpus, model)
@@ -92,8 +118,44 @@ def test_approximate_index_recall_and_full_probe(data):
     some = ranked(vectors.vector_topk_approx(queries, index, model, K, n_probe=4))
     recall = np.mean([len(set(some.get(q, [])) & set(expected[q])) / K for q in expected])
     assert recall >= 0.7
-    blocks = vectors.vector_topk_approx(queries, index, model, K, n_probe=4, budget=NOTHING_FITS)
+    for rows in (4, 4096):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", rows)
+        blocks = vectors.vector_topk_approx(queries, index, model, K, n_probe=4, budget=NOTHING_FITS)
+        assert ranked(blocks) == some
+
+
+def test_two_levels_of_cells(data, spark, tmp_path):
+    queries, corpus, expected, _ = data
+    tree = cell_tree.fit_cell_tree(corpus, n_coarse=5, cell_rows=20)
+    fine = {r.cell: (r.coarse, np.array(r.center)) for r in tree.fine.collect()}
+    assert 10 <= len(fine) <= 20 and sorted(fine) == list(range(len(fine)))
+    path = str(tmp_path / "tree-cells")
+    cell_tree.assign_tree_cells(corpus, tree).write.partitionBy("cell").parquet(path)
+    index = spark.read.schema("chunk_id string, embedding array<float>, cell int").parquet(path)
+    rows = index.collect()
+    assert len(rows) == N
+    coarse = np.stack(tree.coarse.clusterCenters())
+    for row in rows:
+        own = int(((coarse - np.array(row.embedding)) ** 2).sum(axis=1).argmin())
+        near = {c: ((center - np.array(row.embedding)) ** 2).sum() for c, (top, center) in fine.items() if top == own}
+        assert near[row.cell] <= min(near.values()) + 1e-9
+    largest = max(sum(r.cell == cell for r in rows) for cell in fine)
+    assert largest <= 80
+    everything = cell_tree.vector_topk_tree(queries, index, tree, K, n_probe=len(fine), n_coarse=5)
+    assert ranked(everything) == expected
+    some = ranked(cell_tree.vector_topk_tree(queries, index, tree, K, n_probe=8, n_coarse=3))
+    assert np.mean([len(set(some.get(q, [])) & set(expected[q])) / K for q in expected]) >= 0.7
+    blocks = cell_tree.vector_topk_tree(queries, index, tree, K, n_probe=8, n_coarse=3, budget=NOTHING_FITS)
     assert ranked(blocks) == some
+    assert cell_tree.vector_topk_tree(queries.limit(0), index, tree, K).count() == 0
+
+
+def test_a_large_coarse_cell_is_dealt_over_lanes(data, monkeypatch):
+    _, corpus, _, _ = data
+    tree = cell_tree.fit_cell_tree(corpus, n_coarse=2, cell_rows=30)
+    want = {r.chunk_id: r.cell for r in cell_tree.assign_tree_cells(corpus, tree).collect()}
+    monkeypatch.setattr(cell_tree, "target_rows", lambda rows: (20, 4))
+    assert {r.chunk_id: r.cell for r in cell_tree.assign_tree_cells(corpus, tree).collect()} == want
 
 
 def test_probed_cells_prune_partitions(spark, data, tmp_path, plan_text):
