@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from seekloom.functions.analyzer import document_tokens, term_counts
 from seekloom.functions.text import english_ratio
 from seekloom.plans.scratch import scratch_path
-from seekloom.plans.sizing import lane
+from seekloom.plans.sizing import hinted, lane
 from seekloom.schemas import BUCKETED_FREQUENCY, BUCKETED_POSTINGS, DOC_STATS, META, POSTINGS
 
 BUCKETED = ["chunk_bucket", "chunk_id"]
@@ -24,7 +24,11 @@ BUCKETED = ["chunk_bucket", "chunk_id"]
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """The four index frames and, if the postings are bucketed, the bucket counts."""
+    """The four index frames and, if the postings are bucketed, the bucket counts.
+
+    ``df_parts`` are the rows that ``df`` is the sum of, where frequencies are stored as one
+    table and the changes of later batches.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
@@ -32,6 +36,17 @@ class KeywordIndex:
     meta: DataFrame
     chunk_buckets: int = 0
     term_buckets: int = 0
+    df_parts: DataFrame | None = None
+
+    def frequencies_of(self, terms: DataFrame, fits: bool) -> DataFrame:
+        """``df`` of at least the terms in ``terms``, with the join columns of :meth:`with_term_bucket`.
+
+        Changes are added up for these terms only, not for the whole vocabulary.
+        """
+        if self.df_parts is None:
+            return self.df
+        wanted, keys = self.with_term_bucket(terms.select("term").distinct(), self.df_parts)
+        return summed_frequencies(self.df_parts.join(hinted(wanted, fits), keys, "left_semi"))
 
     def with_term_bucket(self, frame: DataFrame, table: DataFrame) -> tuple[DataFrame, list[str]]:
         """A term-keyed frame with the join columns that let Spark prune the table's partitions."""
@@ -88,6 +103,26 @@ def document_frequency(posting_rows: DataFrame) -> DataFrame:
     return posting_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def summed_frequencies(parts: DataFrame) -> DataFrame:
+    """Chunks per term from a table of frequencies and its later changes; terms at zero go."""
+    keys = [name for name in ("term", "term_bucket") if name in parts.columns]
+    return parts.groupBy(*keys).agg(F.sum("df").alias("df")).filter(F.col("df") > 0)
+
+
+def meta_part(stats: DataFrame, sign: int = 1) -> DataFrame:
+    """One row: number of indexed chunks and the sum of their lengths, or what is to be taken off."""
+    return stats.agg(
+        (sign * F.count(F.lit(1))).cast("long").alias("N"),
+        (sign * F.coalesce(F.sum("doc_len"), F.lit(0))).cast("long").alias("length"),
+    )
+
+
+def meta_of_parts(parts: DataFrame) -> DataFrame:
+    """``N`` and ``avgdl`` from the stored sums and their changes."""
+    sums = parts.agg(F.coalesce(F.sum("N"), F.lit(0)).alias("N"), F.sum("length").alias("length"))
+    return sums.select("N", F.when(F.col("N") > 0, F.col("length") / F.col("N")).alias("avgdl"))
+
+
 def meta(stats: DataFrame) -> DataFrame:
     """One row: number of indexed chunks and their mean length."""
     return stats.agg(

@@ -51,12 +51,13 @@ def known_terms(
     """Weighted query terms that occur in the index, with ``df``, ``df_ratio`` and ``idf``."""
     size = size or measure_queries(queries)
     weighted, keys = index.with_term_bucket(weighted_terms(queries, lexicon), index.df)
+    frequencies = index.frequencies_of(query_terms(queries), size.terms_fit())
     n_chunks = index.meta.select(F.col("N").cast("double")).scalar()
     # A term has one df row but may be in every query, so the queries are spread.
     if size.terms_fit():
-        known = join_query_side(index.df, weighted, keys, "term", True)
+        known = join_query_side(frequencies, weighted, keys, "term", True)
     else:
-        known = join_query_side(weighted, index.df, keys, "query_id", False)
+        known = join_query_side(weighted, frequencies, keys, "query_id", False)
     return known.drop("term_bucket").withColumns(
         {"df_ratio": F.col("df") / n_chunks, "idf": idf(n_chunks, F.col("df"))}
     )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,6 +29,21 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def written_counted(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The same, with the number of rows, which is observed while they are written."""
+    seen = Observation()
+    stored = written(frame.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return stored, observed_rows(seen, stored)
+
+
+def observed_rows(seen: Observation, stored: DataFrame) -> int:
+    """The rows that were observed; a plan that Spark found to be empty is not observed, but counted."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError:
+        return stored.count()
+
+
 def remove_folder(spark: SparkSession, path: str) -> bool:
     """Delete a folder in whatever store it is, for tables that nothing reads any more.
 

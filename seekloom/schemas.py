@@ -52,6 +52,9 @@ BUCKETED_FREQUENCY = T.StructType(
     DOC_FREQUENCY.fields + [T.StructField("term_bucket", T.IntegerType())]
 )
 
+# What is stored of META: sums, to which each batch adds its own row.
+META_PART = T.StructType([T.StructField("N", T.LongType()), T.StructField("length", T.LongType())])
+
 META = T.StructType([T.StructField("N", T.LongType()), T.StructField("avgdl", T.DoubleType())])
 
 LEXICON = T.StructType(

@@ -7,13 +7,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seekloom.config import LakeConfig
+from seekloom.config import KeywordConfig, LakeConfig
 from seekloom.operators.audit import coverage, coverage_sql, match_audit, source_files
 from seekloom.operators.bm25_index import build_index
 from seekloom.operators.bm25_update import update_index
+from seekloom.operators.lexicon import Lexicon
+from seekloom.operators.terms import select_terms
 from seekloom.operators.upsert import latest_per_key, upsert
 from seekloom.plans.ingest import ingest, rebuild_keyword_index
-from seekloom.sources.snapshots import current
+from seekloom.sources.snapshots import compact, current
 from seekloom.streaming.ingest_stream import start_ingest_stream
 
 WORDS = ["flood", "river", "fema", "alpha", "beta", "42", "tx", "gamma"]
@@ -256,6 +258,47 @@ def test_compaction_bounds_partitions_and_frees_old_versions(spark, make_chunks,
     assert sorted(map(tuple, current(spark, lake).rows(spark, "postings").collect())) == rows
 
 
+def folder_bytes(path):
+    return sum(file.stat().st_size for file in path.rglob("*.parquet"))
+
+
+def test_frequencies_grow_by_what_a_batch_changes(spark, make_chunks, tmp_path):
+    """A batch writes as many bytes of df and meta in a lake fifty times as large."""
+    written_bytes, jobs = [], []
+    batch = make_chunks({f"n{i}": f"flood river new{i}" for i in range(5)} | {"c1": "flood map"})
+    for size in (40, 2000):
+        root = tmp_path / f"lake{size}"
+        lake = LakeConfig(str(root), chunk_buckets=2, term_buckets=2)
+        texts = {f"c{i}": f"flood word{i} other{i} common" for i in range(size)}
+        ingest(spark, lake, make_chunks(texts))
+        spark.sparkContext.setJobGroup(f"batch-{size}", "one batch")
+        report = ingest(spark, lake, batch).first()
+        spark.sparkContext.setJobGroup("rest", "")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batch-{size}")))
+        assert (report["chunks_text"], report["affected_chunks"], report["new_postings"]) == (6, 6, 17)
+        assert report["df_terms_changed"] == 11 and report["embeddings"] == report["wide"] == 0
+        written_bytes.append([folder_bytes(root / name / "gen=2") for name in ("df", "meta")])
+        after = current(spark, lake)
+        expected = index_rows(build_index(make_chunks(texts | {r["chunk_id"]: r["text"] for r in batch.collect()})))
+        assert index_rows(after.index(spark)) == expected
+        assert len(after.partitions("df")) == 2 and len(compact(spark, lake).partitions("df")) == 1
+        assert index_rows(current(spark, lake).index(spark)) == expected
+    assert written_bytes[0] == written_bytes[1]
+    assert abs(jobs[0] - jobs[1]) <= 2
+
+
+def test_queries_add_up_changes_of_their_terms_only(spark, make_chunks, make_queries, tmp_path, plan_text):
+    lake = LakeConfig(str(tmp_path / "lake"), chunk_buckets=2, term_buckets=2)
+    ingest(spark, lake, make_chunks({f"c{i}": f"flood river word{i}" for i in range(30)}))
+    ingest(spark, lake, make_chunks({"c1": "flood map", "n": "river"}))
+    index, queries = current(spark, lake).index(spark), make_queries("flood river word1 map", "nothing")
+    loose = KeywordConfig(df_ratio_max=1.0, english_ratio_min=None)
+    kept = select_terms(queries, index, Lexicon.from_terms(spark), loose)
+    assert {r.term: r.df for r in kept.collect()} == {"flood": 30, "river": 30, "map": 1}
+    plan = plan_text(kept)
+    assert "dynamicpruningexpression(term_bucket" in plan and "LeftSemi" in plan
+
+
 def test_cells_follow_their_model(spark, make_chunks, tmp_path):
     from seekloom.operators.vectors import fit_cells
     from seekloom.plans.ingest import stored_cell_model
