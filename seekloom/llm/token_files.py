@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 END_ID = 0
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 PAGE_ROWS = 256
-PIECE_CACHE = 1_000_000  # pieces a worker remembers before it starts afresh
-SLICE_CHARS = 4_000_000  # text encoded at a time
+PIECE_CACHE = 500_000  # pieces a worker remembers before it starts afresh
+LONGEST_PIECE = 24  # characters of a piece beyond which it is not remembered
+SLICE_CHARS = 1_000_000  # text encoded at a time
+# A single space between two other characters, whatever a library takes for white space.
+SPACE_CUT = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 
 _SCHEMA = "doc_id long, part int, place long, n_tokens long, tokens array<int>"
 _ARROW = pa.schema(
@@ -42,11 +46,12 @@ class PieceEncoder:
 
     The tokenizer's first step cuts a text before a single space that stands between two
     other characters, and around a single line feed that does, whatever surrounds them.
-    So the pieces between such cuts can be encoded apart with the same ids; a line with
-    any other white space is a piece as a whole. A piece that ends in a letter and one
+    So the pieces between such cuts can be encoded apart with the same ids; words around any
+    other white space are one piece. A piece that ends in a letter and one
     mark is cut before the mark for the same reason. A piece of letters alone goes straight
     to the tokenizer's model, as the earlier steps change nothing but its alphabet.
-    Frequent pieces are encoded once.
+    Frequent pieces are encoded once; long ones are not kept, so that what a worker remembers
+    is bounded in bytes.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,7 +72,8 @@ class PieceEncoder:
         ids = [token.id for token in self._model.tokenize(lead + piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, known: dict[str, bytes], missing: set[str], lead: str) -> None:
+    def _learn(self, known: dict[str, bytes], missing: set[str], lead: str) -> list[str]:
+        """Encode the missing pieces; gives those that are too long to be remembered."""
         marks = {p: p[:-1] for p in missing if p[-1:] in ",.!;:?" and p[-2:-1].isalpha()}
         plain = {p for p in missing if p not in marks}
         plain |= set(marks.values()).difference(known)
@@ -75,15 +81,16 @@ class PieceEncoder:
         for piece in plain:
             if piece.isalpha():
                 known[piece] = self._letters(shown, piece)
-        plain = sorted(piece for piece in plain if piece not in known)
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
+        rest = sorted(piece for piece in plain if piece not in known)
+        for at in range(0, len(rest), 2000):
+            some = rest[at : at + 2000]
             known.update(zip(some, self._encode([lead + p for p in some]), strict=True))
         for piece, base in marks.items():
             mark = piece[-1]
             if mark not in self._head:
                 self._head[mark] = self._encode([mark])[0]
             known[piece] = known[base] + self._head[mark]
+        return [piece for piece in (*plain, *marks) if len(piece) > LONGEST_PIECE]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -104,7 +111,7 @@ class PieceEncoder:
                 glued = ""
                 if line:
                     pieces = line.split(" ")
-                    lines.append(pieces if line.split() == pieces else [line])
+                    lines.append(pieces if line.split() == pieces else SPACE_CUT.split(line))
                 if after is not None:
                     lines.append(["\n"])
             plans.append(lines)
@@ -114,8 +121,8 @@ class PieceEncoder:
             for line in plan:
                 heads.add(line[0])
                 tails.update(line[1:])
-        self._learn(self._head, heads.difference(self._head), "")
-        self._learn(self._tail, tails.difference(self._tail), " ")
+        long_heads = self._learn(self._head, heads.difference(self._head), "")
+        long_tails = self._learn(self._tail, tails.difference(self._tail), " ")
         head, tail = self._head, self._tail
         found = []
         for plan in plans:
@@ -124,6 +131,9 @@ class PieceEncoder:
                 parts.append(head[line[0]])
                 parts.extend(map(tail.__getitem__, line[1:]))
             found.append(b"".join(parts))
+        for known, long in ((head, long_heads), (tail, long_tails)):
+            for piece in long:
+                known.pop(piece, None)
         return found
 
 

@@ -46,6 +46,18 @@ def test_pieces_give_the_ids_of_any_text(text):
     assert split_ids(encoder, text) == whole(encoder._tokenizer, text)
 
 
+def test_what_an_encoder_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "PIECE_CACHE", 50)
+    encoder = token_files.PieceEncoder(byte_bpe_path())
+    whole_text = encoder._tokenizer
+    for at in range(20):
+        texts = [f"word{at}x{n} {'long' * 9}{n}, tab\there{n} {'y' * 40}. a,\nb{n}." for n in range(10)] * 2
+        for text in texts:
+            assert split_ids(encoder, text) == whole(whole_text, text)
+        known = [*encoder._head, *encoder._tail]
+        assert max(map(len, known)) <= token_files.LONGEST_PIECE and len(known) < 200
+
+
 def test_round_trip_against_brute_force(spark, make_docs, tmp_path, tokenizer):
     rows = [(7, "the cat sat.\nOn it"), (2, None), (None, "null id"), (5, ""), (5, "b a"), (5, "b a")]
     rows += [(100 + i, text) for i, text in enumerate(TRICKY)] + [(90, "long word " * 30_000)]
