@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekloom.llm.hashing import mix
+from seekloom.llm.token_files import SPACE_CUT
 from seekloom.plans.scratch import written
 from seekloom.plans.sizing import hinted, keys_fit
 
 MEMO_WORDS = 200_000  # words whose tokens a worker remembers before it starts afresh
 LONGEST_WORD = 48  # characters of a word beyond which it is not remembered
-SLICE_CHARS = 3_000_000  # text that is aligned at a time
+SLICE_CHARS = 2_000_000  # text that is aligned at a time
 PAIR_BASE = 1 << 24  # a pair of ids is kept as a * PAIR_BASE + b
 
 _SCHEMA = (
@@ -44,10 +44,6 @@ _ARROW = pa.schema(
 )
 
 
-# A single space between two other characters, whatever a library takes for white space.
-_CUT = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
-
-
 def _byte_of_sign() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for, by its rule."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -63,7 +59,7 @@ def _slices(text: str, limit: int) -> Iterator[str]:
     such a place is one piece.
     """
     begin = 0
-    while len(text) - begin > limit and (cut := _CUT.search(text, begin + limit)):
+    while len(text) - begin > limit and (cut := SPACE_CUT.search(text, begin + limit)):
         yield text[begin : cut.start()]
         begin = cut.end()
     yield text[begin:]
@@ -194,7 +190,7 @@ class Aligner:
         A text is encoded word by word where it can be cut; words that came before keep their ids.
         Words are compared with their tokens' bytes once, and texts only if one of their words differs.
         """
-        words = [_CUT.split(text) if self._second.cuts_at_spaces else [text] for text in texts]
+        words = [SPACE_CUT.split(text) if self._second.cuts_at_spaces else [text] for text in texts]
         if len(self._words_a) > MEMO_WORDS:
             self._words_a, self._words_b, self._odd = {}, {}, set()
         missing = list(set().union(*words).difference(self._words_a))
