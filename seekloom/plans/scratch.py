@@ -44,11 +44,22 @@ def observed_rows(seen: Observation, stored: DataFrame) -> int:
         return stored.count()
 
 
+def _in_store(spark: SparkSession, path: str):
+    """A path and the store that it is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder or file of that path, in whatever store it is."""
+    target, store = _in_store(spark, path)
+    return store.exists(target)
+
+
 def remove_folder(spark: SparkSession, path: str) -> bool:
     """Delete a folder in whatever store it is, for tables that nothing reads any more.
 
     Returns whether there was one.
     """
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target, store = _in_store(spark, path)
     return store.delete(target, True)

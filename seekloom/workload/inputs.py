@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -230,27 +231,40 @@ def ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Snapshot]:
     return once(spark, sf_dir, "ingested", build)
 
 
-def shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors as shard files ``(path, content)``, in the shape of a binary file scan."""
-    folder = f"/lake/{EMBEDDING_DIR}/{MODEL}"
-
-    def encode(rows: pd.DataFrame) -> pd.DataFrame:
-        buffer = io.BytesIO()
-        np.save(buffer, np.stack(rows["embedding"].to_numpy()).astype(np.float32))
-        shard = f"{folder}/shard-{rows['shard'].iloc[0]}"
-        return pd.DataFrame(
-            {
-                "path": [f"{shard}/{VECTOR_FILE}", f"{shard}/{IDS_FILE}"],
-                "content": [buffer.getvalue(), json.dumps(list(rows["chunk_id"])).encode()],
-            }
+def shard_base(spark: SparkSession, sf_dir: str) -> str:
+    """All vectors written as shard files below a folder: a matrix and an id list each."""
+
+    def build() -> str:
+        base = scratch_path(spark, "shards")
+        folder = f"{base}/{EMBEDDING_DIR}/{MODEL}"
+
+        def encode(rows: pd.DataFrame) -> pd.DataFrame:
+            buffer = io.BytesIO()
+            np.save(buffer, np.stack(rows["embedding"].to_numpy()).astype(np.float32))
+            ids = json.dumps(list(rows["chunk_id"])).encode()
+            shard = f"{folder}/shard-{rows['shard'].iloc[0]}"
+            for name, data in ((VECTOR_FILE, buffer.getvalue()), (IDS_FILE, ids)):
+                store, path = fs.FileSystem.from_uri(_as_uri(f"{shard}/{name}"))
+                store.create_dir(path.rsplit("/", 1)[0])
+                with store.open_output_stream(path) as file:
+                    file.write(data)
+            return pd.DataFrame({"rows": [len(rows)]})
+
+        written_rows = (
+            embeddings(spark, sf_dir)
+            .withColumn("shard", F.floor(F.col("chunk_id").cast("long") / SHARD_ROWS))
+            .groupBy("shard")
+            .applyInPandas(encode, "rows long")
         )
+        written(written_rows, "shard-counts")
+        return f"{base}/{EMBEDDING_DIR}"
 
-    return (
-        embeddings(spark, sf_dir)
-        .withColumn("shard", F.floor(F.col("chunk_id").cast("long") / SHARD_ROWS))
-        .groupBy("shard")
-        .applyInPandas(encode, "path string, content binary")
-    )
+    return once(spark, sf_dir, "shards", build)
+
+
+def _as_uri(path: str) -> str:
+    """A path that Arrow opens: local ones, and ``file:`` with one slash, as ``file:///``."""
+    return "file:///" + path.removeprefix("file:").lstrip("/") if path.startswith(("/", "file:")) else path
 
 
 def counting_model():

@@ -339,6 +339,8 @@ STATEMENTS: dict[str, str] = {
         'skipped (no cell model)' AS vector_index""",
     "ingest_postings": _AFTER_POSTINGS,
     "ingest_stream": "SELECT * FROM after_freq",
+    "ingest_two_streams_wide": f"SELECT {_CHUNK}, 1.0::double AS norm FROM wide_rows",
+    "ingest_two_streams_cells": "SELECT chunk_id, 1.0::double AS norm FROM wide_rows",
     "ingest_after_skipped_update": "SELECT * FROM after_freq",
     "ingest_compacted": _AFTER_POSTINGS,
     "ingest_cells": """SELECT chunk_id, 1.0::double AS norm FROM wide_after""",

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekloom.config import IDS_FILE, VECTOR_FILE, AnswerConfig, Budget, FusionConfig, KeywordConfig
+from seekloom.config import AnswerConfig, Budget, FusionConfig, KeywordConfig
 from seekloom.config import LakeConfig
 from seekloom.functions.analyzer import document_tokens
 from seekloom.functions.text import basename, clean_text, english_ratio
@@ -22,10 +22,10 @@ from seekloom.plans.answers import answer_inputs, run_questions
 from seekloom.plans.scratch import scratch_path, written
 from seekloom.plans.sizing import QuerySize, measure_queries
 from seekloom.sources.chunks import read_chunks
-from seekloom.sources.shards import decode_shards, pair_shards
+from seekloom.sources.shards import read_embedding_shards
 from seekloom.plans.ingest import ingest
 from seekloom.sources.snapshots import compact, current, remove_superseded
-from seekloom.streaming.ingest_stream import start_ingest_stream
+from seekloom.streaming.ingest_stream import start_ingest_stream, start_vector_stream
 from seekloom.workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,13 +73,7 @@ def chunks_scan(spark, sf_dir):
 
 @register
 def embeddings_decode(spark, sf_dir):
-    files = inputs.shard_files(spark, sf_dir)
-    pairs = pair_shards(
-        files.filter(F.col("path").endswith(VECTOR_FILE)),
-        files.filter(F.col("path").endswith(IDS_FILE)),
-        inputs.MODEL,
-    )
-    return with_positions(decode_shards(pairs))
+    return with_positions(read_embedding_shards(spark, inputs.shard_base(spark, sf_dir), inputs.MODEL))
 
 
 @register
@@ -687,6 +681,36 @@ def ingest_stream(spark, sf_dir):
     return current(spark, lake).rows(spark, "df")
 
 
+def _streamed(spark, sf_dir):
+    """Chunks and vectors of both batches through two streams, the vectors of the first one ahead."""
+
+    def build():
+        model, _ = inputs.cells(spark, sf_dir)
+        folder, lake_root = scratch_path(spark, "two-sources"), scratch_path(spark, "two-source-lake")
+        lake = LakeConfig(lake_root, chunk_buckets=2, term_buckets=2)
+        start_vector_stream(
+            spark, inputs.shard_base(spark, sf_dir), inputs.MODEL, lake, scratch_path(spark, "vector-state")
+        ).awaitTermination()
+        checkpoint = scratch_path(spark, "chunk-state")
+        inputs.chunks(spark, sf_dir).write.mode("append").json(folder)
+        start_ingest_stream(spark, folder, lake, checkpoint, cell_model=model).awaitTermination()
+        return current(spark, lake)
+
+    return inputs.once(spark, sf_dir, "streamed", build)
+
+
+@register
+def ingest_two_streams_wide(spark, sf_dir):
+    wide = _streamed(spark, sf_dir).rows(spark, "wide")
+    return wide.withColumn("norm", F.round(l2_norm("embedding"), 4)).drop("embedding")
+
+
+@register
+def ingest_two_streams_cells(spark, sf_dir):
+    cells = _streamed(spark, sf_dir).rows(spark, "cells")
+    return cells.select("chunk_id", F.round(l2_norm("embedding"), 4).alias("norm"))
+
+
 # Audits
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from seekloom.operators.terms import select_terms
 from seekloom.operators.upsert import latest_per_key, upsert
 from seekloom.plans.ingest import ingest, rebuild_keyword_index
 from seekloom.sources.snapshots import compact, current
-from seekloom.streaming.ingest_stream import start_ingest_stream
+from seekloom.streaming.ingest_stream import start_ingest_stream, start_vector_stream
 
 WORDS = ["flood", "river", "fema", "alpha", "beta", "42", "tx", "gamma"]
 EMB = "chunk_id string, embedding array<float>"
@@ -178,6 +180,38 @@ def test_stream_follows_a_directory(spark, make_chunks, tmp_path):
     assert index_rows(current(spark, lake).index(spark)) == expected
 
 
+def test_chunks_and_vectors_meet_in_either_order(spark, make_chunks, tmp_path):
+    lake = LakeConfig(str(tmp_path / "lake"), chunk_buckets=2, term_buckets=2)
+    chunk_files, shard_files = tmp_path / "chunks", tmp_path / "shards"
+
+    def chunks_arrive(texts):
+        make_chunks(texts).write.mode("append").json(str(chunk_files))
+        start_ingest_stream(spark, str(chunk_files), lake, str(tmp_path / "c")).awaitTermination()
+
+    def vectors_arrive(shard, ids):
+        folder = shard_files / "m" / shard
+        folder.mkdir(parents=True)
+        np.save(folder / "embeddings.npy", np.full((len(ids), 2), 3.0, dtype=np.float32))
+        (folder / "chunk_ids.json").write_text(json.dumps(ids))
+        start_vector_stream(spark, str(shard_files), "m", lake, str(tmp_path / "v")).awaitTermination()
+
+    def wide():
+        return sorted(row["chunk_id"] for row in current(spark, lake).rows(spark, "wide").collect())
+
+    chunks_arrive({"a": "flood map", "b": "river"})
+    assert wide() == []
+    vectors_arrive("s1", ["a", "late"])
+    assert wide() == ["a"]
+    chunks_arrive({"late": "flood", "c": "alpha"})
+    assert wide() == ["a", "late"]
+    vectors_arrive("s2", ["c", "nobody"])
+    assert wide() == ["a", "c", "late"]
+    expected = build_index(make_chunks({"a": "flood map", "b": "river", "late": "flood", "c": "alpha"}))
+    assert index_rows(current(spark, lake).index(spark)) == index_rows(expected)
+    vectors = {r["chunk_id"]: r["embedding"] for r in current(spark, lake).rows(spark, "wide").collect()}
+    assert vectors["late"] == pytest.approx([2**-0.5, 2**-0.5])
+
+
 def test_text_lookup_reads_the_buckets_of_its_hits(spark, make_chunks, tmp_path, plan_text):
     from seekloom.operators.keyword import attach_text
     from seekloom.plans.scratch import written

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 
 from seekloom.sources.chunks import list_lake, load_batch
+from seekloom.sources import shards
 from seekloom.sources.shards import read_embedding_shards
 
 MODEL = "Model-1.5"
@@ -68,3 +70,54 @@ def test_mismatched_shard_fails_or_truncates(spark, tmp_path):
 def test_list_lake_groups_files_by_directory(spark, lake):
     listing = {r.directory.split("/")[-1]: r.files for r in list_lake(spark, lake).collect()}
     assert listing["p1"] == 1 and listing["s1"] == 2
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_shards_are_read_in_row_ranges(spark, tmp_path, monkeypatch, order):
+    monkeypatch.setattr(shards, "RANGE_BYTES", 7 * 3 * 8)
+    monkeypatch.setattr(shards, "READ_BYTES", 11)
+    monkeypatch.setattr(shards, "EMIT_ROWS", 2)
+    base, rng = str(tmp_path), np.random.default_rng(1)
+    want = {}
+    for name, count in (("s1", 50), ("s2", 7), ("s3", 0), ("s4", 1)):
+        ids = [f'{name}, "é{i}]' if i % 2 else f"{name}{i}" for i in range(count)]
+        vectors = rng.normal(size=(count, 3))
+        write_shard(base, name, ids, np.asarray(vectors, order=order))
+        want |= {key: vectors[i].astype(np.float32).tolist() for i, key in enumerate(ids)}
+    found = read_embedding_shards(spark, os.path.join(base, "optimized_embeddings"), MODEL)
+    rows = found.collect()
+    assert len(rows) == 58 and {r.chunk_id: r.embedding for r in rows} == want
+    folder = f"file:{base}/optimized_embeddings/{MODEL}/s1"
+    assert [(start, len(ids)) for start, ids in shards._ranges(folder, "fail")] == [
+        (at, min(7, 50 - at)) for at in range(0, 50, 7)
+    ]
+
+
+def test_id_lists_are_read_piece_by_piece(monkeypatch):
+    entries = ["a", "b,c", 'q"]', "é日", "", 12, 345678, -1.5, None, True]
+    for size in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(shards, "READ_BYTES", size)
+        for text in (json.dumps(entries), json.dumps(entries, ensure_ascii=False, indent=2), " [ ] "):
+            want = [str(value) for value in json.loads(text)]
+            assert list(shards.listed_ids(io.BytesIO(text.encode()))) == want
+        for broken in ("[1, 2", "{}", ""):
+            with pytest.raises(ValueError):
+                list(shards.listed_ids(io.BytesIO(broken.encode())))
+
+
+def test_a_matrix_above_two_gigabytes_needs_its_range_only(tmp_path):
+    """A sparse file of 4 GB: only the rows asked for are read."""
+    path, width = tmp_path / "embeddings.npy", 1024
+    rows = 2**20 + 5
+    header = io.BytesIO()
+    np.lib.format.write_array_header_1_0(header, {"descr": "<f4", "fortran_order": False, "shape": (rows, width)})
+    with open(path, "wb") as file:
+        file.write(header.getvalue())
+        file.truncate(len(header.getvalue()) + 4 * rows * width)
+        file.seek(-4 * width, 2)
+        file.write(np.arange(width, dtype="<f4").tobytes())
+    with shards._opened(f"file:{path}") as file:
+        layout = shards.matrix_layout(file)
+        assert (layout.rows, layout.width) == (rows, width) and file.size() > 2**32
+        last = layout.read(file, rows - 2, rows)
+    assert not last[0].any() and last[1].tolist() == list(range(width))
