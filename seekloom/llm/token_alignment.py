@@ -29,9 +29,9 @@ from seekloom.llm.token_files import SPACE_CUT
 from seekloom.plans.scratch import written
 from seekloom.plans.sizing import hinted, keys_fit
 
-MEMO_WORDS = 200_000  # words whose tokens a worker remembers before it starts afresh
+MEMO_WORDS = 500_000  # words whose tokens a worker remembers before it starts afresh
 LONGEST_WORD = 48  # characters of a word beyond which it is not remembered
-SLICE_CHARS = 2_000_000  # text that is aligned at a time
+SLICE_CHARS = 2_500_000  # text that is aligned at a time
 PAIR_BASE = 1 << 24  # a pair of ids is kept as a * PAIR_BASE + b
 
 _SCHEMA = (
