@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from seekloom.plans.scratch import written
+from seekloom.plans.sizing import hinted, keys_fit
 
 MAX_DOCS = 10
-MAX_SHARE = 0.05
 MIN_WORDS = 50
 MAX_REPEATED = 50
 MAX_REMOVED = 50
@@ -24,22 +24,12 @@ _SYMBOLS = "#*$%&|<>"
 _DIGITS = bytes(range(48, 58))
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _AS_ZERO = bytes.maketrans(_DIGITS, b"0" * 10)
-_FIELDS = [
-    ("doc_id", pa.int64()),
-    ("host", pa.string()),
-    ("content", pa.int64()),
-    ("n_words", pa.int64()),
-    ("word_chars", pa.int64()),
-    ("n_symbols", pa.int64()),
-    ("n_dup_lines", pa.int64()),
-    ("n_repeat_words", pa.int64()),
-    ("line", pa.list_(pa.int64())),
-    ("line_words", pa.list_(pa.int64())),
-]
-_SCHEMA = (
-    "doc_id long, host string, content long, n_words long, word_chars long, n_symbols long, "
-    "n_dup_lines long, n_repeat_words long, line array<long>, line_words array<long>"
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words")
+_CLEANED = pa.schema(
+    [("doc_id", pa.int64())] + [(name, pa.int64()) for name in _COUNTS] + [("text", pa.string())]
 )
+_CLEANED_SCHEMA = "doc_id long, " + ", ".join(f"{name} long" for name in _COUNTS) + ", text string"
+_SLICE_BYTES = 8 * 1024 * 1024  # texts put together before a batch is handed on
 
 
 def _long(data: bytes) -> int:
@@ -68,83 +58,131 @@ def repeated_words(found: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def text_profile(text: str) -> tuple[list[int], dict[int, int]]:
-    """The base counts of a text, and its normalised lines with the words in each."""
+def base_counts(text: str) -> list[int]:
+    """The base counts of a text, in the order of the result's columns."""
     data = text.encode("utf-8", "surrogatepass")
     found = data.split()
-    seen: set[bytes] = set()
-    lines: dict[int, int] = {}
-    again = 0
-    for line in data.split(b"\n"):
-        held = len(line.split())
-        if not held:
-            continue
-        again += line in seen
-        seen.add(line)
-        key = _long(normal_line(line))
-        lines[key] = lines.get(key, 0) + held
+    lines = [line for line in data.split(b"\n") if line.strip()]
     chars = len(text) - sum(map(text.count, _SPACES))
     symbols = sum(map(text.count, _SYMBOLS))
-    return [len(found), chars, symbols, again, repeated_words(found)], lines
-
-
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts, keys, held, contents = [], [], [], []
-        for text in batch.column(2).to_pylist():
-            text = text or ""
-            base, lines = text_profile(text)
-            counts.append(base)
-            keys.append(list(lines.keys()))
-            held.append(list(lines.values()))
-            contents.append(_long(text.encode("utf-8", "surrogatepass")))
-        columns = list(zip(*counts, strict=True)) if counts else [[]] * 5
-        arrays = [batch.column(0), batch.column(1), pa.array(contents, pa.int64())]
-        arrays += [pa.array(column, pa.int64()) for column in columns]
-        arrays += [pa.array(keys, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(_FIELDS))
-
-
-def profile_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One stored row per document: base counts and hashed lines, under a row number ``row``."""
-    found = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col(host).alias("host"), "text"
-    ).mapInArrow(_profiles, _SCHEMA)
-    return written(found.withColumn("row", F.monotonically_increasing_id()), "profiles")
-
-
-def frequent_lines(
-    profiles: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE
-) -> DataFrame:
-    """``(host, line, n_docs)`` of the lines above both limits: documents, and share of the host's.
+    return [len(found), chars, symbols, len(lines) - len(set(lines)), repeated_words(found)]
+
+
+def line_keys(text: str) -> list[int]:
+    """The different normalised lines of a text, hashed; lines without a word have none."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    return list({_long(normal_line(line)) for line in set(lines) if line.strip()})
+
+
+def without_lines(text: str, gone: set[int]) -> tuple[str, int]:
+    """The text without the lines of these keys, and how many words went with them."""
+    kept, removed = [], 0
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        if line.strip() and _long(normal_line(line)) in gone:
+            removed += len(line.split())
+        else:
+            kept.append(line)
+    return (b"\n".join(kept).decode("utf-8", "surrogatepass"), removed) if removed else (text, 0)
+
+
+def _keyed(docs: DataFrame, host: str) -> DataFrame:
+    """Documents with their host and a key of their content; null text is an empty text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col(host).cast("string").alias("host"),
+        text.alias("text"),
+        F.xxhash64(text).alias("content"),
+    )
+
+
+def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
+    """Stored ``(host, content, line)``: each different line of each document, hashed."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pa.array([line_keys(text) for text in batch.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), lines], names=["host", "content", "line"]
+            )
 
-    Distinct documents are distinct contents: exact copies of one document count once, so
-    that a page which was fetched often is not taken for boilerplate. The distinct count
-    runs in two steps, by (host, line, content) and then as partial sums, so a line that
-    most documents have is counted by many tasks.
+    texts = _keyed(docs, host).select("host", "content", "text")
+    found = written(texts.mapInArrow(keys, "host string, content long, line array<long>"), "lines")
+    return found.select("host", "content", F.explode("line").alias("line"))
+
+
+def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float | None = None) -> DataFrame:
+    """``(host, line, n_docs)`` of the lines of more than ``max_docs`` different documents of their host.
+
+    With ``max_share`` a line of more than that share of its host's documents is frequent too,
+    if it is in two or more. Documents are distinct contents: exact copies count once, so that a
+    page which was fetched often is not taken for boilerplate. The limit does not grow with the
+    host. The distinct count runs in two steps, by (host, line, content) and then as partial
+    sums, so a line that most documents have is counted by many tasks.
     """
-    hosts = profiles.groupBy("host").agg(F.count_distinct("content").alias("_docs"))
-    hosts = hosts.withColumnRenamed("host", "_host")
-    lines = profiles.select("host", "content", F.explode("line").alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count_distinct("content").alias("n_docs"))
+    if max_share is None:
+        return counts.filter(F.col("n_docs") > max_docs)
+    hosts = lines.groupBy(F.col("host").alias("_host")).agg(F.count_distinct("content").alias("_docs"))
+    shared = (F.col("n_docs") > 1) & (F.col("n_docs") > F.lit(max_share) * F.col("_docs"))
     return (
-        counts.filter(F.col("n_docs") > max_docs)
-        .join(hosts, F.col("host").eqNullSafe(F.col("_host")))
-        .filter(F.col("n_docs") > F.lit(max_share) * F.col("_docs"))
+        counts.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
+        .filter((F.col("n_docs") > max_docs) | shared)
         .select("host", "line", "n_docs")
     )
 
 
+def cleaned_documents(
+    docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float | None = None
+) -> DataFrame:
+    """Each document's base counts, its ``text`` without the frequent lines of its host, and ``removed_words``.
+
+    The lines to remove are gathered per content, of which a document has no more than lines of
+    its own, and go to the texts by a join that moves no text if they were measured to fit.
+    """
+    lines = document_lines(docs, host)
+    frequent = frequent_lines(lines, max_docs, max_share).select(
+        F.col("host").alias("_host"), F.col("line").alias("_line")
+    )
+    on = (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))
+    gone = lines.join(frequent, on).groupBy("_host", F.col("content").alias("_content"))
+    gone = written(gone.agg(F.collect_set("line").alias("gone")), "frequent-lines")
+    heavy = gone.select("_content", F.concat_ws(",", F.col("gone").cast("array<string>")).alias("_gone"))
+    same = (F.col("content") == F.col("_content")) & F.col("host").eqNullSafe(F.col("_host"))
+    found = _keyed(docs, host).join(hinted(gone, keys_fit(heavy, "_content", "_gone")), same, "left")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = []
+        held = 0
+        for batch in batches:
+            for doc_id, text, keys in zip(*(batch.column(at) for at in range(3)), strict=True):
+                text, keys = text.as_py(), keys.as_py()
+                rest, removed = without_lines(text, set(keys)) if keys else (text, 0)
+                rows.append([doc_id.as_py(), *base_counts(text), removed, rest])
+                held += len(rest)
+                if held >= _SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays(_columns(rows), schema=_CLEANED)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays(_columns(rows), schema=_CLEANED)
+
+    return found.select("doc_id", "text", "gone").mapInArrow(clean, _CLEANED_SCHEMA)
+
+
+def _columns(rows: list[list]) -> list[pa.Array]:
+    return [pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), _CLEANED, strict=True)]
+
+
 def quality_rules(
     docs: DataFrame,
     host: str = "source",
     max_docs: int = MAX_DOCS,
-    max_share: float = MAX_SHARE,
+    max_share: float | None = None,
     min_words: int = MIN_WORDS,
     max_repeated: int = MAX_REPEATED,
     max_removed: int = MAX_REMOVED,
 ) -> DataFrame:
-    """Base counts, ``removed_words`` and the verdict of each document.
+    """Base counts, ``removed_words``, the verdict, and the ``text`` without frequent lines of each document.
 
     ``base_failed`` if the text has fewer than ``min_words`` words or more than
     ``max_repeated`` per cent of them in repeated windows. ``depleted`` if the lines that
@@ -152,27 +190,16 @@ def quality_rules(
     ``kept`` if neither. Null text is an empty text; null hosts are one host; repeated
     rows are judged each; extra columns are ignored; an empty table gives no rows.
     """
-    profiles = profile_documents(docs, host)
-    frequent = frequent_lines(profiles, max_docs, max_share).select(
-        F.col("host").alias("_host"), F.col("line").alias("_line")
-    )
-    lines = profiles.select(
-        "row", "host", F.explode(F.arrays_zip("line", "line_words")).alias("of")
-    ).select("row", "host", "of.line", F.col("of.line_words").alias("held"))
-    on = (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))
-    removed = lines.join(frequent, on).groupBy(F.col("row").alias("_row")).agg(F.sum("held").alias("_gone"))
-    gone = F.coalesce("_gone", F.lit(0).cast("long"))
     base_failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeated * F.col("n_words")
     )
     return (
-        profiles.join(removed, F.col("row") == F.col("_row"), "left")
-        .withColumn("removed_words", gone)
+        cleaned_documents(docs, host, max_docs, max_share)
         .withColumn("base_failed", base_failed)
         .withColumn("depleted", 100 * F.col("removed_words") > max_removed * F.col("n_words"))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            "base_failed", "removed_words", "depleted", "kept",
+            "base_failed", "removed_words", "depleted", "kept", "text",
         )
     )

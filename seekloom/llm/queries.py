@@ -41,7 +41,7 @@ def byte_bpe_path() -> str:
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and lines that many documents of a source share."""
-    return line_frequency.quality_rules(table(spark, sf_dir, "documents"))
+    return line_frequency.quality_rules(table(spark, sf_dir, "documents")).drop("text")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

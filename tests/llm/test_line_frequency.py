@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from seekloom.llm.line_frequency import normal_line, quality_rules
@@ -58,6 +59,65 @@ def test_limits_and_empty_table(make_docs):
     assert all(row["removed_words"] == 0 for row in few.values())
 
 
+def test_the_limit_does_not_grow_with_the_host(make_docs):
+    """Fourteen documents of mostly one notice are depleted on a host of 250 and on one of 300."""
+    notice = " ".join("n" + name(j) for j in range(70))
+    for size in (250, 300):
+        rows = [(i, f"{notice}\nown {name(i, 3)}", "h") for i in range(14)]
+        rows += [(100 + i, " ".join("d" + name(i % 26, i // 26, j) for j in range(55)), "h") for i in range(size - 14)]
+        found = rows_by_id(quality_rules(make_docs(rows)))
+        assert [found[i]["depleted"] for i in range(14)] == [True] * 14
+        assert all(found[100 + i]["kept"] for i in range(size - 14))
+    few = [(i, f"{notice}\nown {name(i, 3)}", "h") for i in range(3)]
+    assert all(row["depleted"] for row in quality_rules(make_docs(few), max_share=0.5).collect())
+    assert all(row["kept"] for row in quality_rules(make_docs(few)).collect())
+
+
+def brute_rules(rows, max_docs=10):
+    holders = {}
+    for _, text, host in rows:
+        for line in (text or "").encode().split(b"\n"):
+            if line.split():
+                holders.setdefault((host, normal_line(line)), set()).add(text)
+    result = []
+    for doc_id, text, host in rows:
+        kept, gone = [], 0
+        for line in (text or "").split("\n"):
+            data = line.encode()
+            if data.split() and len(holders[host, normal_line(data)]) > max_docs:
+                gone += len(data.split())
+            else:
+                kept.append(line)
+        counts = base(text)
+        verdict = not counts[5] and 100 * gone <= 50 * counts[0]
+        result.append((str(doc_id), *counts, gone, verdict, "\n".join(kept)))
+    return sorted(result)
+
+
+def test_whole_verdict_and_texts_against_brute_force(make_docs):
+    draw = random.Random(8)
+    shared = [" ".join(draw.choice("abcdefgh") + str(n) for _ in range(draw.randint(1, 40))) for n in range(30)]
+    shared += ["Call 12 NOW", "call, 34 now!", "***", "  "]
+    rows = [(None, None, "h"), (1, "", None), (2, "\n \n", "h"), (2, "\n \n", "h")]
+    for at in range(150):
+        lines = [draw.choice(shared[: draw.choice([4, 34])]) for _ in range(draw.randint(0, 9))]
+        lines.insert(draw.randint(0, len(lines)), " ".join(f"u{at}x{j}" for j in range(draw.choice([3, 60, 90]))))
+        rows.append((10 + at, "\n".join(lines), draw.choice(["h", "h", "i", None])))
+    rows += rows[20:30]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    names += ["removed_words", "kept", "text"]
+    found = [(str(r["doc_id"]), *(r[n] for n in names)) for r in quality_rules(make_docs(rows)).collect()]
+    want = brute_rules(rows)
+    assert sorted(found) == want
+    assert 20 < sum(row[7] > 0 for row in want) and 5 < sum(not row[6] and not row[8] for row in want)
+
+
+def test_very_long_text(make_docs):
+    text = "\n".join(f"line {at} of a very long text" for at in range(100_000))
+    row = quality_rules(make_docs([(1, text)])).first()
+    assert row["n_words"] == 700_000 and row["removed_words"] == 0 and row["text"] == text
+
+
 def test_normal_line():
     assert normal_line(b"  Call  12-34, NOW!") == b"call 0000 now"
     assert normal_line(b" *** ") == b"***"
