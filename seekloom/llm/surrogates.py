@@ -16,7 +16,7 @@ from seekloom.plans.scratch import written
 from seekloom.plans.sizing import hinted, keys_fit
 
 KEY = b"seekloom surrogates"
-MAX_ROUNDS = 64
+GROWTH = 4  # draws after which a surrogate gets longer, as its format may be full
 
 # Titles that tell a person's gender, and given names to choose from.
 TITLES = {
@@ -38,7 +38,8 @@ SYLLABLES = {
 }
 
 _TITLE = "|".join(re.escape(title) for titles in TITLES.values() for title in titles)
-_NAME = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+"
+_NAME = r"[^\W\d_a-zà-öø-ÿа-яё](?:['’][^\W\d_])?[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_NAME_WORD = re.compile(rf"(?<![\w'’-]){_NAME}(?![\w])")
 PATTERNS: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
     ("secret", re.compile(r"\bAKIA[0-9A-Z]{16}\b")),
@@ -49,7 +50,7 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
     ("card", re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("phone", re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")),
-    ("person", re.compile(rf"\b(?:{_TITLE})\.? +(?P<own>{_NAME}(?: {_NAME})?)")),
+    ("person", re.compile(rf"\b(?:{_TITLE})\.? +(?P<own>{_NAME}(?: {_NAME}){{0,3}})")),
 ]
 
 
@@ -75,7 +76,9 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, norm)`` of the entities of a text, in order, without overlaps.
 
     ``norm`` is what makes two mentions one entity: digits for numbers, lower case for
-    mail addresses and names. A person's kind carries the gender that the title tells.
+    mail addresses and names. A person's kind carries the gender that the title tells; where
+    a text gives the same name with a title of a gender and without one, it is that gender.
+    The names of persons with a title are found without it, too.
     """
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
@@ -102,9 +105,48 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                 norm = own.lower() if kind in ("email", "ip") else own
             taken[start:end] = b"\x01" * (end - start)
             found.append((start, end, label, norm))
+    persons = [(norm.split(" "), kind[-1]) for _, _, kind, norm in found if kind.startswith("person")]
+    if persons:
+        genders = {word: gender for words, gender in persons if gender != "n" for word in words[:-1]}
+        lasts = {gender: {words[-1] for words, own in persons if own == gender} for gender in "mfn"}
+        for start, end in _known_names(text, persons):
+            if 1 not in taken[start:end]:
+                words = text[start:end].lower().split(" ")
+                gender = next((g for g in "mfn" if words[-1] in lasts[g]), "n")
+                found.append((start, end, f"person-{gender}", " ".join(words)))
+        found = [
+            (start, end, f"person-{_gender(kind, norm, genders)}" if kind == "person-n" else kind, norm)
+            for start, end, kind, norm in found
+        ]
     return sorted(found)
 
 
+def _known_names(text: str, persons: list[tuple[list[str], str]]) -> Iterator[tuple[int, int]]:
+    """Where last names of these persons stand, with the first names before them."""
+    firsts = {word for words, _ in persons for word in words[:-1]}
+    lasts = {words[-1] for words, _ in persons}
+    begin, before = 0, -2
+    for match in _NAME_WORD.finditer(text):
+        word = match[0].lower()
+        if match.start() != before + 1 or text[before] != " ":
+            begin = match.start()
+        if word in lasts:
+            yield begin, match.end()
+        before = match.end() if word in firsts else -2
+
+
+def _gender(kind: str, norm: str, genders: dict[str, str]) -> str:
+    return next((genders[word] for word in norm.split(" ")[:-1] if word in genders), kind[-1])
+
+
+def name_parts(kind: str, norm: str) -> list[tuple[str, str]]:
+    """The entities of a mention: a person's first names, by gender, and last name; else itself."""
+    if not kind.startswith("person"):
+        return [(kind, norm)]
+    *firsts, last = norm.split(" ")
+    return [(f"given-{kind[-1]}", first) for first in firsts] + [("surname", last)]
+
+
 class _Stream:
     """Numbers that depend on the key, the entity and the attempt alone."""
 
@@ -140,45 +182,48 @@ def _same_classes(text: str, draw: Callable[[int], int], hexadecimal: bool = Fal
 def surrogate_norm(kind: str, norm: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The surrogate of an entity in normal form: same type, length, checks and script."""
     draw = _Stream(key, kind, norm, str(attempt)).below
+    more = attempt // GROWTH
     if kind == "email":
         local, _, domain = norm.partition("@")
         host, _, top = domain.rpartition(".")
         own = _Stream(key, "domain", domain).below  # mail addresses of one domain keep one domain
-        return f"{_same_classes(local, draw)}@{_same_classes(host, own)}.{top}"
+        longer = "".join(chr(97 + draw(26)) for _ in range(more))
+        return f"{_same_classes(local, draw)}{longer}@{_same_classes(host, own)}.{top}"
     if kind == "ip":
-        return ".".join(str(1 + draw(223 if at == 0 else 254)) for at in range(4))
+        # Four bytes in the longer notation once those of the shorter one are taken.
+        mapped = "".join(f"{draw(65536):x}:" for _ in range(min(more, 4)))
+        short = ".".join(str(1 + draw(223 if at == 0 else 254)) for at in range(4))
+        return f"{mapped}:ffff:{short}" if more else short
     if kind == "card":
-        body = norm[0] + "".join(str(draw(10)) for _ in norm[2:])
+        body = norm[0] + "".join(str(draw(10)) for _ in range(len(norm) - 2 + more))
         check = _luhn_digit(body)
         valid = _luhn_digit(norm[:-1]) == norm[-1]
         return body + (check if valid else str((int(check) + 1 + draw(9)) % 10))
     if kind == "iban":
-        rest = _same_classes(norm[4:], draw)
+        rest = _same_classes(norm[4:] + "0" * more, draw)
         return norm[:2] + _iban_check(norm[:2], rest) + rest
     if kind == "secret":
         if norm.startswith("AKIA"):
-            return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw(32)] for _ in norm[4:])
-        return _same_classes(norm, draw, all(c in "0123456789abcdef" for c in norm))
-    if kind.startswith("person"):
-        script, parts = _script(norm), norm.split(" ")
-        names = []
-        if len(parts) > 1:
-            pool = GIVEN[script, kind[-1]]
-            names.append(pool[draw(len(pool))])
-        size = 2 + attempt // 8  # longer names once the short ones are taken
-        names.append("".join(SYLLABLES[script][draw(16)] for _ in range(size)).capitalize())
-        return " ".join(names).lower()
-    return _same_classes(norm, draw)
+            signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+            return "AKIA" + "".join(signs[draw(32)] for _ in range(len(norm) - 4 + more))
+        return _same_classes(norm + "0" * more, draw, all(c in "0123456789abcdef" for c in norm))
+    if kind == "surname" or kind.startswith("given"):
+        script = _script(norm)
+        syllables = "".join(SYLLABLES[script][draw(16)] for _ in range(more + 2 * (kind == "surname")))
+        pool = GIVEN[script, kind[-1]] if kind != "surname" else [""]
+        return (pool[draw(len(pool))] + syllables).lower()
+    return _same_classes(norm + "0" * more, draw)
 
 
 def dressed(kind: str, original: str, norm: str, surrogate: str) -> str:
     """A surrogate written the way the mention was: separators, case, spaces."""
     if kind in ("card", "ssn", "phone"):
         digits = iter(surrogate)
-        return "".join(next(digits) if "0" <= char <= "9" else char for char in original)
+        shown = "".join(next(digits) if "0" <= char <= "9" else char for char in original)
+        return shown + "".join(digits)  # of a longer surrogate
     if kind == "iban":
         letters = iter(surrogate)
-        return "".join(char if char == " " else next(letters) for char in original)
+        return "".join(char if char == " " else next(letters) for char in original) + "".join(letters)
     if kind.startswith("person"):
         return surrogate.upper() if original.isupper() else surrogate.title()
     if kind == "email":
@@ -195,7 +240,7 @@ def entity_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = {(kind, norm) for _, _, kind, norm in find_entities(text)}
+                own = {part for _, _, kind, norm in find_entities(text) for part in name_parts(kind, norm)}
                 rows += [(doc_id, key, kind, norm) for kind, norm in sorted(own)]
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.record_batch(
@@ -211,12 +256,16 @@ def entity_table(docs: DataFrame) -> DataFrame:
 def later_attempts(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """``(kind, norm, attempt)`` of the entities whose first surrogate was not free.
 
-    A surrogate is taken if a smaller entity of its kind has it, or if it is an entity of
-    the corpus itself. All that find theirs taken draw again, until none does, so that
-    distinct entities stay distinct and no surrogate names another entity.
+    A surrogate is taken if another entity drew it earlier, if a smaller one draws it at the
+    same time, or if it is an entity of the corpus itself; all parts of names are checked
+    together. Those that find theirs taken draw again, and only those, until none does, so that
+    distinct entities stay distinct and no surrogate names another entity. Surrogates get
+    longer with every ``GROWTH`` draws, so there is always one left.
     """
-    own = written(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "attempts")
-    real = own.select("kind", F.col("norm").alias("surrogate")).distinct()
+    name = F.col("kind").startswith("given") | (F.col("kind") == "surname")
+    pool = F.when(name, F.lit("name")).otherwise(F.col("kind"))
+    waiting = written(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "waiting")
+    taken = waiting.select(pool.alias("pool"), F.col("norm").alias("surrogate")).distinct()
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,26 +273,27 @@ def later_attempts(entities: DataFrame, key: bytes = KEY) -> DataFrame:
             drawn = pa.array([surrogate_norm(*row, key) for row in rows], pa.string())
             yield pa.record_batch([*batch.columns, drawn], names=["kind", "norm", "attempt", "surrogate"])
 
-    for _ in range(MAX_ROUNDS):
-        drawn = written(own.mapInArrow(draw, "kind string, norm string, attempt int, surrogate string"), "drawn")
-        holder = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("holder"), F.count(F.lit(1)).alias("n"))
-        shared = holder.filter("n > 1").drop("n")
-        named = real.withColumn("named", F.lit(True))
-        judged = drawn.join(shared, ["kind", "surrogate"], "left").join(named, ["kind", "surrogate"], "left")
-        lost = F.coalesce(F.col("holder") != F.col("norm"), F.lit(False)) | F.coalesce("named", F.lit(False))
-        judged = judged.select("kind", "norm", F.when(lost, F.col("attempt") + 1).otherwise(F.col("attempt")).cast("int").alias("next"), lost.alias("lost"))
-        judged = written(judged, "judged")
-        own = judged.select("kind", "norm", F.col("next").alias("attempt"))
-        if judged.filter("lost").isEmpty():
-            return own.filter("attempt > 0")
-    raise RuntimeError("surrogates still collide; the formats leave too few of them")
+    later = waiting.filter("attempt > 0")
+    while not waiting.isEmpty():
+        drawn = waiting.mapInArrow(draw, "kind string, norm string, attempt int, surrogate string")
+        drawn = written(drawn.withColumn("pool", pool), "drawn")
+        who = F.concat_ws("/", "kind", "norm")
+        holder = drawn.groupBy("pool", "surrogate").agg(F.min(who).alias("holder"))
+        free = drawn.join(taken, ["pool", "surrogate"], "left_anti").join(holder, ["pool", "surrogate"])
+        won = written(free.filter(who == F.col("holder")).drop("holder"), "won")
+        later = later.unionByName(won.filter("attempt > 0").select("kind", "norm", "attempt"))
+        taken = taken.unionByName(won.select("pool", "surrogate"))
+        lost = drawn.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti")
+        waiting = written(lost.select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "waiting")
+    return later
 
 
 def replaced(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:
     """A text with its entities replaced, and how many there were."""
     parts, last, entities = [], 0, find_entities(text)
     for start, end, kind, norm in entities:
-        surrogate = surrogate_norm(kind, norm, attempts.get((kind, norm), 0), key)
+        own = [surrogate_norm(*part, attempts.get(part, 0), key) for part in name_parts(kind, norm)]
+        surrogate = " ".join(own)
         parts += [text[last:start], dressed(kind, text[start:end], norm, surrogate)]
         last = end
     return "".join([*parts, text[last:]]), len(entities)

@@ -75,9 +75,39 @@ def test_distinct_entities_stay_distinct(make_docs):
     assert found[9000]["text"] is None and found[9001]["text"] == "" and found[9002]["n_entities"] == 0
 
 
+def test_names_of_a_document_are_resolved_together(make_docs):
+    text = "Mr John Smith met Dr Smith and Smith. John Smith left. Mrs Smith-Jones saw Mr O'Brien, Mr John Paul Jones."
+    rows = [(1, text), (2, "Mr Smith called Mrs Anna Smith; Blacksmith stayed"), (3, "Smith alone stays")]
+    found = rows_by_id(surrogates.replace_personal_data(make_docs(rows)))
+    one = found[1]["text"]
+    match = re.fullmatch(
+        r"Mr (\w+) (\w+) met Dr (\w+) and (\w+)\. (\w+) (\w+) left\. Mrs (\w+) saw Mr (\w+), Mr (\w+) (\w+) (\w+)\.", one
+    )
+    first, last, *rest = match.groups()
+    assert rest[0] == rest[1] == rest[3] == last and rest[2] == first and rest[6] == first
+    assert len({last, *rest[4:6], rest[8]}) == 4
+    assert not re.search("john|smith|brien|jones|paul", one.lower())
+    two = re.fullmatch(r"Mr (\w+) called Mrs (\w+) (\w+); Blacksmith stayed", found[2]["text"]).groups()
+    assert two[0] == two[2] == last and two[1] != first
+    assert found[3]["text"] == "Smith alone stays"
+
+
+def test_full_formats_get_longer(make_docs):
+    """Ten addresses of one digit, of which the format has nine; many short names of every kind."""
+    rows = [(at, f"{at}@d.com") for at in range(10)]
+    names = [chr(97 + at // 26) + chr(97 + at % 26) for at in range(300)]
+    rows += [(100 + at, f"{title} X{name} Y{name}") for at, name in enumerate(names) for title in [("Mr", "Mrs", "Dr")[at % 3]]]
+    found = rows_by_id(surrogates.replace_personal_data(make_docs(rows)))
+    mails = {found[at]["text"] for at in range(10)}
+    assert len(mails) == 10 and not mails & {f"{at}@d.com" for at in range(10)}
+    words = [word for at in range(300) for word in found[100 + at]["text"].split()[1:]]
+    assert len(set(words)) == 600
+
+
 def test_empty_table_and_long_runs(make_docs):
     assert surrogates.replace_personal_data(make_docs([])).count() == 0
     start = time.time()
-    for text in ("1" * 200_000, "a" * 200_000, "1 " * 100_000, "a.b" * 60_000, "0a" * 100_000, "x@ " + "a" * 200_000, "1.2.3.4 " * 20_000, "AB12 " * 40_000, "1." * 100_000):
+    many = " ".join(f"Mr Adam Bo{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17_000))
+    for text in (many + " Boaaa" * 20_000, "Mr A" + " Aa" * 60_000, "1" * 200_000, "a" * 200_000, "1 " * 100_000, "a.b" * 60_000, "0a" * 100_000, "x@ " + "a" * 200_000, "1.2.3.4 " * 20_000, "AB12 " * 40_000, "1." * 100_000):
         find_entities(text)
     assert time.time() - start < 60
