@@ -32,6 +32,7 @@ HEADLINE = [
     "keyword_search",
     "vector_topk_all_pairs_of_ids",
     "vector_topk_approx",
+    "vector_topk_tree_all_cells",
     "hybrid_search",
     "rag_context",
     "upsert_wide",
@@ -64,8 +65,8 @@ def main() -> None:
         .appName("seekloom-bench")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", CPUS)
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="seekloom-bench-"))
-        .config("seekloom.scan.tasks", CPUS)
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="seekloom-bench-"))
+        .config("spark.seekloom.scan.tasks", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -55,7 +55,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one chunk; a hundred documents share a file."""
     documents = table(spark, sf_dir, "documents").drop("lang", "n_chars")
     # A small file has one split; a run may state in how many tasks its texts are analysed.
-    if tasks := spark.conf.get("seekloom.scan.tasks", None):
+    if tasks := spark.conf.get("spark.seekloom.scan.tasks", None):
         documents = documents.repartition(int(tasks))
     return documents.select(
         F.col("doc_id").cast("string").alias("chunk_id"),
