@@ -32,7 +32,6 @@ HEADLINE = [
     "keyword_search",
     "vector_topk_all_pairs_of_ids",
     "vector_topk_approx",
-    "vector_topk_tree_all_cells",
     "hybrid_search",
     "rag_context",
     "upsert_wide",
