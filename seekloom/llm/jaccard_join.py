@@ -10,7 +10,7 @@ with half as many, larger segments, each as its subset and all subsets with one
 deleted (two units each). Long lists are left out there too; the sets that run short again
 are those of large groups of near copies, whose lists are all long. These are compared
 with one set of each list, then with others while the list is not one component, and what
-is left is paired across components. A pair is found in the first index unless both sets ran short there, then in
+is left is paired across components, unless sketches of the sets rule a pair out. A pair is found in the first index unless both sets ran short there, then in
 the second unless both ran short again, so nothing is lost. Candidates must share as many
 units as similar sets do, and are then verified exactly.
 """
@@ -37,6 +37,9 @@ LEADS = 3  # sets of a split list that are compared with all of it before all pa
 LONG_LIST = 12  # sets that share a subset, beyond which it is no unit of the first index
 _OWN, _UPPER, _SIZE = 0, 1, 2
 _PAIR, _LONG, _MEASURE = 0, 1, 2
+SKETCH_WORDS = 8  # 64-bit words of a set's sketch
+_SKETCH = [f"s{at}" for at in range(SKETCH_WORDS)]
+_SET_BYTES = 8 * 1024 * 1024  # of sets that are handed on together
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _INDEX_SCHEMA = "sig long, doc_id long, code int, n int, spare int"
 _FOUND_SCHEMA = "kind int, a long, b long, code int, x int, y int"
@@ -338,6 +341,11 @@ def _shared_units(lists: DataFrame, percent: int) -> DataFrame:
     )
     if "part" in columns:
         pairs = pairs.filter(F.col("part_a") != F.col("part_b"))
+    if "s0" in columns:
+        # No more places differ than similar sets of these sizes have unlike elements.
+        apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SKETCH), F.lit(0))
+        most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+        pairs = pairs.filter(apart <= most)
     units = F.when(F.col("deleted_a") | F.col("deleted_b"), 1).otherwise(2)
     total = F.first("n_a") + F.first("n_b")
     differ = F.floor(total * (100 - percent) / (100 + percent))
@@ -351,27 +359,45 @@ def _like(n: str, m: str, percent: int) -> Column:
     return F.greatest(n, m) * percent <= F.least(n, m) * 100
 
 
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``(doc_id, held)``: the sorted hashes of each text's set, 8 bytes each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held, size = [], [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(doc_id.as_py())
+                held.append(shingle_set(text.as_py()).tobytes())
+                size += len(held[-1])
+                if size >= _SET_BYTES:
+                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "held"])
+                    ids, held, size = [], [], 0
+            if ids:
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "held"])
+
+    return texts.select("doc_id", "text").mapInArrow(sets, "doc_id long, held binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets meet the threshold, from the texts themselves."""
+    """The pairs ``(a, b)`` whose sets meet the threshold.
+
+    A text's set is made once and joined to its pairs; a pair is looked at where its two sets
+    lie in the batch, so that a task holds no copies of them.
+    """
     pairs = written(pairs.select("a", "b"), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    needed = only_ids(texts, written(ids.distinct(), "ids")).select("doc_id", "text")
-    second = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    first = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    joined = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
+    sets = shingle_sets(only_ids(texts, written(ids.distinct(), "ids")))
+    second = sets.select(F.col("doc_id").alias("b"), F.col("held").alias("held_b"))
+    first = sets.select(F.col("doc_id").alias("a"), F.col("held").alias("held_a"))
+    joined = pairs.join(second, "b").join(first, "a").select("a", "b", "held_a", "held_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
             keep = []
-            texts_a, texts_b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for text_a, text_b in zip(texts_a, texts_b, strict=True):
-                if text_a != last:
-                    last, held = text_a, shingle_set(text_a)
-                other = shingle_set(text_b)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                union = len(held) + len(other) - both
-                keep.append(both > 0 and 100 * both >= percent * union)
+            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (one, other))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch(
                 [batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"]
@@ -380,6 +406,26 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(joined.mapInArrow(check, "a long, b long"), "links")
 
 
+def parity_sketches(texts: DataFrame) -> DataFrame:
+    """``(doc_id, s0, s1, ...)``: which of ``64 * SKETCH_WORDS`` places an odd number of a set's hashes fall on.
+
+    Two sets' sketches differ in no more places than the sets differ in elements.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, SKETCH_WORDS), dtype=np.uint64)
+            for row, held in enumerate(batch.column(1)):
+                values = np.frombuffer(held.as_buffer(), np.uint64)
+                places = np.bincount((mix(values) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS)
+                found[row] = np.packbits((places & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+            columns = [pa.array(signed(np.ascontiguousarray(found[:, at]))) for at in range(SKETCH_WORDS)]
+            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", *_SKETCH])
+
+    schema = ", ".join(["doc_id long", *(f"{name} long" for name in _SKETCH)])
+    return shingle_sets(texts).mapInArrow(sketch, schema)
+
+
 def _first_pairs(found: DataFrame) -> DataFrame:
     """Candidates of the first index that share as many subsets as similar sets must.
 
@@ -489,7 +535,10 @@ def similar_links(
         if more.isEmpty():
             break
         links = links.unionByName(more)
-    across = _shared_units(_split_lists(hard, links), percent).filter(F.col("units") >= F.col("need"))
+    split = _split_lists(hard, links)
+    few = written(split.select("doc_id").distinct(), "split-ids")
+    sketches = written(parity_sketches(only_ids(texts, few)), "sketches")
+    across = _shared_units(split.join(sketches, "doc_id"), percent).filter(F.col("units") >= F.col("need"))
     across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     return links.unionByName(verified(across, texts, percent)), sizes
 

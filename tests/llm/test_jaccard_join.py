@@ -113,3 +113,24 @@ def test_components_of_chains_stars_and_rings(spark):
 def test_shingle_sizes_match_the_definition():
     for text in ("a b c d e f", "a a a a a a a", "A b\tc\x0bd e f g", "", "x"):
         assert len(jaccard_join.shingle_set(text)) == len(shingles(text))
+
+
+def test_sketches_differ_in_no_more_places_than_sets(make_docs):
+    draw = random.Random(12)
+    base = [f"w{draw.randint(0, 400)}" for _ in range(300)]
+    rows = []
+    for at in range(40):
+        words = list(base)
+        for _ in range(at):
+            words[draw.randrange(len(words))] = f"x{draw.randint(0, 10**6)}"
+        rows.append((at, " ".join(words)))
+    rows.append((99, "one two"))
+    found = {r["doc_id"]: [r[f"s{k}"] for k in range(jaccard_join.SKETCH_WORDS)] for r in jaccard_join.parity_sketches(make_docs(rows)).collect()}
+    sets = {doc_id: shingles(text) for doc_id, text in rows}
+    far = 0
+    for x, one in sets.items():
+        for y, other in sets.items():
+            apart = sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(found[x], found[y], strict=True))
+            assert apart <= len(one ^ other)
+            far += apart >= 0.6 * len(one ^ other) > 0
+    assert far > 200
