@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from seekloom.llm.hashing import mix
 from seekloom.plans.scratch import written
+from seekloom.plans.sizing import hinted, keys_fit
 
 MAX_LABELLED = 10000  # labelled documents that the classifiers are fitted on, at most
-MAX_POOL = 6000  # unlabelled documents that may get pseudo-labels, at most
 ROUNDS = 3
-CONFIDENT = 0.1  # share of the pool that a view labels for the other one in a round
+CONFIDENT = 0.1  # share of the unlabelled documents that a view is sure enough of in a round
+TAUGHT = 600  # pseudo-labels that are drawn from those for the other view, about
+BINS, MOST_BIN = 16, 480  # steps of log-odds that confidence is counted in, and the last one
 HELD_OUT = 0.25
 THRESHOLD = 0.5
 TEXT_BUCKETS, META_BUCKETS = 1 << 18, 1 << 12
@@ -162,134 +165,243 @@ def _dense_fit(columns: np.ndarray, good: np.ndarray, steps: int = 50) -> np.nda
     return weights
 
 
+def telling_columns(
+    features: list[tuple[list[np.ndarray], int]], good: np.ndarray, held: np.ndarray
+) -> list[np.ndarray]:
+    """The buckets of either view that the training labels show to tell the classes apart."""
+    train = np.flatnonzero(~held)
+    return [_telling(_Rows([rows[at] for at in train], buckets), good[train]) for rows, buckets in features]
+
+
+def confident_bins(counts: dict[int, int], share: float) -> list[tuple[int, float]]:
+    """For bad and for good rows the bin up to, or from, which a view is sure, and the share drawn.
+
+    ``counts`` has the unlabelled rows of each bin of log-odds. Of both classes together
+    CONFIDENT of all rows are taken, in the proportion of the labels; the bin in which a
+    class has enough counts whole, and no bin of the other sign does.
+    """
+    quota = max(2, int(CONFIDENT * sum(counts.values())))
+    n_bad = max(1, round(quota * (1 - share)))
+    found = []
+    for wanted, bins, part in (
+        (n_bad, sorted(at for at in counts if at < 0), 1 - share),
+        (max(1, quota - n_bad), sorted((at for at in counts if at >= 0), reverse=True), share),
+    ):
+        taken, cut = 0, None
+        for at in bins:
+            if taken < wanted:
+                taken, cut = taken + counts[at], at
+        found.append((cut, min(1.0, max(1.0, TAUGHT * part) / taken) if taken else 0.0))
+    return found
+
+
+def logit_bins(logits: np.ndarray) -> np.ndarray:
+    """The bins of log-odds that confidence is counted in."""
+    return np.clip(np.floor(logits * BINS), -MOST_BIN, MOST_BIN).astype(np.int64)
+
+
+def drawn(keys: np.ndarray, bins: np.ndarray, cuts: list[tuple[int, float]], turn: int) -> np.ndarray:
+    """1 or 0 for the rows that are drawn as good or bad ones, by a hash of their key, else -1."""
+    unit = (mix(keys.astype(np.uint64) + np.uint64(turn)) >> np.uint64(11)) / 2.0**53
+    label = np.full(len(keys), -1, dtype=np.int64)
+    for value, (cut, rate) in enumerate(cuts):
+        if cut is not None:
+            sure = bins >= cut if value else bins <= cut
+            label[sure & (unit < rate)] = value
+    return label
+
+
+Taught = tuple[int, int, float, tuple[np.ndarray, np.ndarray]]  # view, key, label, buckets of both views
+
+
 def co_train(
-    features: list[tuple[list[np.ndarray], int]], good: np.ndarray, held: np.ndarray, rounds: int = ROUNDS
+    features: list[tuple[list[np.ndarray], int]],
+    columns: list[np.ndarray],
+    good: np.ndarray,
+    held: np.ndarray,
+    draw: Callable[[list[View], float, int], list[Taught]],
+    rounds: int = ROUNDS,
 ) -> CoTrained:
     """Fit two views that label each other's training rows.
 
-    ``features`` has the bucket rows and the number of buckets of either view; ``good`` is
-    1, 0 or NaN for the pool without labels. In a round each view is fitted on the labels
-    and on what the other one labelled, and then labels the pool's rows that it is surest
-    of, as many of each class as the labels' shares say. Pseudo-labels count half. The
-    rows in ``held`` are never trained on; they calibrate each view and their mix.
+    ``features`` has the bucket rows and the number of buckets of either view, ``good``
+    their labels. In a round each view is fitted on the labels and on what the other one
+    labelled; ``draw`` then gives rows without a label that a view is sure of. Pseudo-labels
+    count half. The rows in ``held`` are never trained on; they calibrate each view and
+    their mix.
     """
-    known, pool = ~np.isnan(good), np.flatnonzero(np.isnan(good))
-    train = np.flatnonzero(known & ~held)
-    views = []
-    for rows, buckets in features:
-        seen = _Rows([rows[at] for at in train], buckets)
-        views.append(_Rows(rows, buckets, _telling(seen, good[train])))
+    train, test = np.flatnonzero(~held), np.flatnonzero(held)
     share = float(good[train].mean())
-    given: list[dict[int, float]] = [{}, {}]
-    fitted: list[tuple[np.ndarray, float]] = []
+    given: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]
+    fitted: list[View] = []
     for turn in range(rounds + 1):
         fitted = []
         for view, (rows, buckets) in enumerate(features):
-            own = np.concatenate([train, np.array(sorted(given[view]), dtype=np.int64)])
-            target = np.concatenate([good[train], [given[view][at] for at in sorted(given[view])]])
-            importance = np.concatenate([np.ones(len(train)), np.full(len(given[view]), 0.5)])
-            part = _Rows([rows[at] for at in own], buckets, views[view].columns)
-            fitted.append(_fit(part, target, importance))
-        if turn == rounds or not len(pool):
-            break
-        quota = max(2, int(CONFIDENT * len(pool)))
-        for view in range(2):
-            logits = views[view].logits(*fitted[view])[pool]
-            order = np.argsort(logits, kind="stable")
-            n_bad = max(1, round(quota * (1 - share)))
-            bad = [at for at in order[:n_bad] if logits[at] < 0]
-            fine = [at for at in order[::-1][: max(1, quota - n_bad)] if logits[at] > 0]
-            other = given[1 - view]
-            other.update({int(pool[at]): 0.0 for at in bad})
-            other.update({int(pool[at]): 1.0 for at in fine})
-    test = np.flatnonzero(known & held)
+            taught = [given[view][key] for key in sorted(given[view])]
+            own = [rows[at] for at in train] + [row for _, row in taught]
+            target = np.concatenate([good[train], [label for label, _ in taught]])
+            importance = np.concatenate([np.ones(len(train)), np.full(len(taught), 0.5)])
+            weights, bias = _fit(_Rows(own, buckets, columns[view]), target, importance)
+            full = np.zeros(buckets)
+            full[columns[view]] = weights
+            fitted.append(View(full, float(bias)))
+        if turn < rounds:
+            for view, key, label, found in draw(fitted, share, turn):
+                given[1 - view][key] = (label, found[1 - view])
     truth, calibrated, done = good[test], [], []
-    for view, (weights, bias) in enumerate(fitted):
-        logits = views[view].logits(weights, bias)[test]
+    for (rows, _), view in zip(features, fitted, strict=True):
+        logits = np.array([view.logit(rows[at]) for at in test])
         scale, shift = _dense_fit(logits[:, None], truth)
         calibrated.append(scale * logits + shift)
-        full = np.zeros(features[view][1])
-        full[views[view].columns] = weights
-        done.append(View(full, float(bias), float(scale), float(shift)))
+        done.append(View(view.weights, view.bias, float(scale), float(shift)))
     a, b, c = _dense_fit(np.column_stack(calibrated), truth)
     return CoTrained(done[0], done[1], (float(a), float(b), float(c)))
 
 
-def _featured(docs: DataFrame) -> DataFrame:
-    """``(doc_id, good, text_buckets, meta_buckets)`` of sample rows."""
+def _featured(docs: DataFrame, extra: str, columns: list[np.ndarray] | None = None) -> DataFrame:
+    """``doc_id``, the field ``extra`` (name and type, or none) and the buckets of both views.
+
+    Only buckets in ``columns`` are kept, if given.
+    """
+    names = ["doc_id", *extra.split()[:1], "text_buckets", "meta_buckets"]
+    masks = None
+    if columns is not None:
+        masks = [np.zeros(size, dtype=bool) for size in (TEXT_BUCKETS, META_BUCKETS)]
+        for mask, own in zip(masks, columns, strict=True):
+            mask[own] = True
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int32())
         for batch in batches:
-            texts = [text or "" for text in batch.column(2).to_pylist()]
-            rest = zip(texts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            arrays = [
-                batch.column(0),
-                batch.column(1),
-                pa.array([text_features(text) for text in texts], kind),
-                pa.array([meta_features(*row) for row in rest], kind),
-            ]
-            yield pa.record_batch(arrays, names=["doc_id", "good", "text_buckets", "meta_buckets"])
+            found: list[list[np.ndarray]] = [[], []]
+            for text, lang, source in zip(*(batch.column(at) for at in range(-3, 0)), strict=True):
+                text = text.as_py() or ""
+                pair = text_features(text), meta_features(text, lang.as_py(), source.as_py())
+                for view, row in enumerate(pair):
+                    found[view].append((row if masks is None else row[masks[view][row]]).astype(np.int32))
+            kept = [batch.column(at) for at in range(batch.num_columns - 3)]
+            yield pa.record_batch([*kept, *(pa.array(rows, kind) for rows in found)], names=names)
 
-    schema = "doc_id long, good double, text_buckets array<int>, meta_buckets array<int>"
-    return docs.select("doc_id", "good", "text", "lang", "source").mapInArrow(features, schema)
+    fields = ["doc_id long", *([extra] if extra else []), "text_buckets array<int>", "meta_buckets array<int>"]
+    return docs.select(*names[:-2], "text", "lang", "source").mapInArrow(features, ", ".join(fields))
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    max_labelled: int = MAX_LABELLED,
-    max_pool: int = MAX_POOL,
-    rounds: int = ROUNDS,
-) -> CoTrained | None:
-    """Co-train on a bounded sample: ``labels`` has doc_id and ``good`` (1 or 0).
+def _logits(rows: pa.ListArray, view: View) -> np.ndarray:
+    """Uncalibrated log-odds of rows of buckets."""
+    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
+    return view.bias + np.bincount(owner, weights=view.weights[flat], minlength=len(rows))
+
 
-    The sample is that of the smallest hashes of doc_id, the same in each run. None if the
-    labels do not hold both classes. A document with several labels is good if all are.
+def _draw_from(pool: DataFrame) -> Callable[[list[View], float, int], list[Taught]]:
+    """Draws from the stored table ``(key, text_buckets, meta_buckets)`` of all unlabelled documents.
+
+    All rows are scored and counted by their bins, at most 2 * MOST_BIN + 1 for a view; a
+    second pass keeps some of the sure rows, about TAUGHT for a view however large the pool.
     """
+
+    def draw(views: list[View], share: float, turn: int) -> list[Taught]:
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, 2 * MOST_BIN + 1), dtype=np.int64)
+            for batch in batches:
+                for at, view in enumerate(views):
+                    bins = logit_bins(_logits(batch.column(1 + at), view))
+                    total[at] += np.bincount(bins + MOST_BIN, minlength=total.shape[1])
+            view, bins = np.nonzero(total)
+            yield pa.record_batch(
+                [pa.array(view), pa.array(bins - MOST_BIN), pa.array(total[view, bins])], names=["view", "bin", "n"]
+            )
+
+        counts: list[dict[int, int]] = [{}, {}]
+        sums = pool.mapInArrow(counted, "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n"))
+        for row in sums.collect():
+            counts[row["view"]][row["bin"]] = row["n"]
+        cuts = [confident_bins(one, share) for one in counts]
+
+        def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                for at, view in enumerate(views):
+                    label = drawn(keys, logit_bins(_logits(batch.column(1 + at), view)), cuts[at], turn)
+                    kept = batch.filter(pa.array(label >= 0))
+                    head = [pa.array(np.full(kept.num_rows, at)), pa.array(label[label >= 0])]
+                    yield pa.record_batch([*head, *kept.columns], names=["view", "label", *batch.schema.names])
+
+        schema = "view long, label long, key long, text_buckets array<int>, meta_buckets array<int>"
+        rows = pool.mapInArrow(sure, schema).toArrow().sort_by([("view", "ascending"), ("key", "ascending")])
+        return [
+            (row["view"], row["key"], float(row["label"]), tuple(
+                np.array(row[name], dtype=np.int64) for name in ("text_buckets", "meta_buckets")
+            ))
+            for row in rows.to_pylist()
+        ]
+
+    return draw
+
+
+def _fitted(
+    docs: DataFrame, labels: DataFrame, max_labelled: int, rounds: int
+) -> tuple[CoTrained | None, DataFrame | None]:
+    """The model, and the stored buckets of every row of ``docs``."""
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("good").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("good").cast("double").alias("good"))
     known = written(known, "labels")
-    ids = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    labelled = ids.join(known, "doc_id").orderBy(order, "doc_id").limit(max_labelled)
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_pool)
-    chosen = written(labelled.unionByName(pool.withColumn("good", F.lit(None).cast("double"))), "sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    # The sample has at most max_labelled + max_pool rows, so it may be broadcast.
-    sample = _featured(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
-    rows = sample.orderBy("doc_id").toArrow()
-    good = np.array([np.nan if x is None else x for x in rows.column("good").to_pylist()])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+    ids = own.select("doc_id").join(hinted(known, keys_fit(known, "doc_id")), "doc_id").distinct()
+    chosen = written(ids.orderBy(order, "doc_id").limit(max_labelled), "sample")
+    sample = own.join(hinted(chosen, keys_fit(chosen, "doc_id")), "doc_id")
+    # Of several texts with one id that of the smallest hash counts.
+    text = F.struct(F.xxhash64("text", "lang", "source").alias("h"), "text", "lang", "source")
+    sample = sample.groupBy("doc_id", "good").agg(F.min(text).alias("row")).select("doc_id", "good", "row.*")
+    rows = _featured(sample, "good double").orderBy("doc_id").toArrow()
+    good = np.array(rows.column("good").to_pylist(), dtype=np.float64)
     held = np.array([xxh3_64_intdigest(b"%d" % at) % 1000 < 1000 * HELD_OUT for at in rows.column("doc_id").to_pylist()], bool)
     for part in (held, ~held):
-        found = good[part & ~np.isnan(good)] if len(good) else good
-        if not len(found) or found.min() == found.max():
-            return None
+        if not part.any() or good[part].min() == good[part].max():
+            return None, None
     features = []
     for name, buckets in (("text_buckets", TEXT_BUCKETS), ("meta_buckets", META_BUCKETS)):
         features.append(([np.array(row, dtype=np.int64) for row in rows.column(name).to_pylist()], buckets))
-    return co_train(features, good, held, rounds)
+    columns = telling_columns(features, good, held)
+    stored = written(_featured(own, "", columns), "buckets")
+    pool = stored.join(hinted(known.select("doc_id"), keys_fit(known, "doc_id")), "doc_id", "left_anti")
+    pool = pool.select("text_buckets", "meta_buckets").distinct()
+    pool = written(pool.select(F.xxhash64("text_buckets", "meta_buckets").alias("key"), "*"), "pool")
+    return co_train(features, columns, good, held, _draw_from(pool), rounds), stored
 
 
-def score(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, score, text_score, meta_score, kept)`` of every row."""
+def fit(
+    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS
+) -> CoTrained | None:
+    """Co-train on a bounded sample of labelled rows and on all rows without a label.
+
+    ``labels`` has doc_id and ``good`` (1 or 0). The labelled sample is that of the smallest
+    hashes of doc_id, the same in each run. In every round all other documents are scored,
+    of which alike ones count once, and each view's pseudo-labels are drawn from those it is
+    sure of. None if the labels do not hold both classes. A document with several labels is
+    good if all are; of several texts with one id that of the smallest hash is trained on.
+    """
+    return _fitted(docs, labels, max_labelled, rounds)[0]
+
+
+def score(stored: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, score, text_score, meta_score, kept)`` of stored rows of buckets."""
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "score", "text_score", "meta_score"]
+        a, b, c = model.mixing
         for batch in batches:
-            columns = [column.to_pylist() for column in batch.columns[1:]]
-            found = [
-                model.score(text_features(text or ""), meta_features(text or "", lang, source))
-                if model
-                else (1.0, 1.0, 1.0)
-                for text, lang, source in zip(*columns, strict=True)
-            ]
-            parts = [pa.array([row[at] for row in found], pa.float64()) for at in range(3)]
-            yield pa.record_batch([batch.column(0), *parts], names=names)
+            one, two = (
+                view.scale * _logits(batch.column(1 + at), view) + view.shift
+                for at, view in enumerate((model.text, model.meta))
+            )
+            parts = [_sigmoid(a * one + b * two + c), _sigmoid(one), _sigmoid(two)]
+            yield pa.record_batch([batch.column(0), *map(pa.array, parts)], names=names)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
     schema = "doc_id long, score double, text_score double, meta_score double"
-    return own.mapInArrow(scores, schema).withColumn("kept", F.col("score") >= threshold)
+    found = stored.select("doc_id", "text_buckets", "meta_buckets").mapInArrow(scores, schema)
+    return found.withColumn("kept", F.col("score") >= threshold)
 
 
 def kept_documents(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -317,7 +429,11 @@ def quality_scores(
     own; repeated rows get equal scores; extra columns are ignored. Without labels of both
     classes every document has score 1 and is kept; an empty table gives no rows.
     """
-    return score(docs, fit(docs, labels, max_labelled), threshold)
+    model, stored = _fitted(docs, labels, max_labelled, ROUNDS)
+    if model is not None:
+        return score(stored, model, threshold)
+    ones = [F.lit(1.0).alias(name) for name in ("score", "text_score", "meta_score")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *ones, F.lit(True).alias("kept"))
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
