@@ -28,6 +28,8 @@ from seekloom.plans.topk import top_k
 
 SAMPLE_PER_CELL = 64  # vectors that each fine centre is trained on, chosen by hash
 ROUNDS = 12
+RANKED_ROWS = 1_024  # vectors compared with the centres together
+RANKED_VALUES = 1 << 20  # (vector, cell) rows, or their components, that leave the comparison together
 _POINT = "id string, vector array<double>, cell int, distance double"
 
 
@@ -107,7 +109,12 @@ def _centers(vectors: np.ndarray, count: int, seed: int) -> np.ndarray:
     count = min(count, len(different))
     centers = different[np.random.default_rng(seed).choice(len(different), count, replace=False)]
     for _ in range(ROUNDS):
-        nearest = squared_distances(vectors, centers).argmin(axis=1)
+        nearest = np.concatenate(
+            [
+                squared_distances(vectors[at : at + RANKED_ROWS], centers).argmin(axis=1)
+                for at in range(0, len(vectors), RANKED_ROWS)
+            ]
+        )
         sums = np.zeros_like(centers)
         np.add.at(sums, nearest, vectors)
         held = np.bincount(nearest, minlength=count)
@@ -116,8 +123,11 @@ def _centers(vectors: np.ndarray, count: int, seed: int) -> np.ndarray:
     return centers
 
 
-def _near_fine(points: DataFrame, tree: CellTree, keep: int) -> DataFrame:
-    """``(id, vector, cell, distance)``: the ``keep`` nearest fine cells of each ``(id, vector, coarse)``."""
+def _near_fine(points: DataFrame, tree: CellTree, keep: int, with_vector: bool = True) -> DataFrame:
+    """``(id, vector, cell, distance)``: the ``keep`` nearest fine cells of each ``(id, vector, coarse)``.
+
+    Without ``with_vector`` the vector is null, so that it is not repeated for each of the cells.
+    """
     points = written(points, "coarse-points")
     counts = points.groupBy("coarse").agg(F.count(F.lit(1)).alias("rows"))
     target, tasks = target_rows(counts)
@@ -148,23 +158,31 @@ def _near_fine(points: DataFrame, tree: CellTree, keep: int) -> DataFrame:
                     else:
                         centers, cells = np.vstack([centers, vectors]), np.append(cells, numbers)
                 elif group == now:
-                    yield from _ranked(part, vectors, centers, cells, keep)
+                    yield from _ranked(part, vectors, centers, cells, keep, with_vector)
 
     return dealt.mapInArrow(nearest, _POINT)
 
 
 def _ranked(
-    part: pa.RecordBatch, vectors: np.ndarray, centers: np.ndarray, cells: np.ndarray, keep: int
+    part: pa.RecordBatch,
+    vectors: np.ndarray,
+    centers: np.ndarray,
+    cells: np.ndarray,
+    keep: int,
+    with_vector: bool,
 ) -> Iterator[pa.RecordBatch]:
-    for start in range(0, len(vectors), 1024):
-        some = vectors[start : start + 1024]
+    each = max(1, min(keep, len(cells))) * (vectors.shape[1] if with_vector else 1)
+    step = max(1, min(RANKED_ROWS, RANKED_VALUES // each))
+    for start in range(0, len(vectors), step):
+        some = vectors[start : start + step]
         distance = squared_distances(some, centers)
         order = np.argsort(distance, axis=1, kind="stable")[:, :keep]
         rows = pa.array(np.repeat(np.arange(start, start + len(some)), order.shape[1]))
+        column = part.column("vector")
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("id").take(rows),
-                part.column("vector").take(rows),
+                column.take(rows) if with_vector else pa.nulls(len(rows), column.type),
                 pa.array(cells[order].ravel(), pa.int32()),
                 pa.array(np.take_along_axis(distance, order, axis=1).ravel()),
             ],
@@ -189,7 +207,7 @@ def probed_cells(queries: DataFrame, tree: CellTree, n_probe: int, n_coarse: int
     points = queries.select(
         F.col("query_id").cast("string").alias("id"), F.col("query_vector").cast("array<double>").alias("vector")
     )
-    near = _near_fine(_near_coarse(points, tree.coarse, n_coarse), tree, n_probe)
+    near = _near_fine(_near_coarse(points, tree.coarse, n_coarse), tree, n_probe, with_vector=False)
     near = near.select(F.col("id").alias("_id"), "cell", "distance")
     best = top_k(near, ["_id"], [F.col("distance").asc(), F.col("cell").asc()], n_probe, "cell", "_rank")
     cells = best.groupBy("_id").agg(F.collect_list("cell").alias("cells"))
