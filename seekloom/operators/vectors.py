@@ -165,10 +165,13 @@ def _scan_with_broadcast(
     return corpus.mapInArrow(search, schema)
 
 
-def _block_rows(size: QuerySize, budget: Budget) -> int:
-    """How many queries one broadcast may hold; never less than a block that surely fits."""
+def _block_rows(size: QuerySize, budget: Budget, k: int) -> int:
+    """How many queries one broadcast may hold; never less than a block that surely fits.
+
+    A task holds the best ``k`` of each, which are to fill half of its pool at most.
+    """
     each = max(1, (size.vector_values * 8 + size.text_bytes) // max(1, size.rows) + ROW_OVERHEAD)
-    return max(QUERY_BLOCK, min(budget.max_rows, budget.max_bytes // each))
+    return max(QUERY_BLOCK, min(budget.max_rows, budget.max_bytes // each, POOL_ROWS // (2 * max(1, k))))
 
 
 def _scan_blocks(
@@ -219,10 +222,11 @@ def vector_topk(
     queries = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull())
     corpus = corpus.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
     size = size or measure_queries(queries)
-    if size.vectors_fit(budget):
+    held = _block_rows(size, budget, k)
+    if size.vectors_fit(budget) and size.rows <= held:
         local = _scan_with_broadcast(queries.toArrow(), corpus, k, _hits_schema(queries))
     else:
-        count = -(-size.rows // _block_rows(size, budget))
+        count = -(-size.rows // held)
         block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, count))).cast("int")
         local = _scan_blocks(queries.withColumn("_block", block), count, corpus, k, _hits_schema(queries))
     return top_k(local, ["query_id"], by_score("search_score"), k, spread_by="chunk_id")
@@ -313,7 +317,8 @@ def search_cells(
     several if more queries than a block holds probe it.
     """
     size = measure_queries(probed)
-    if size.vectors_fit(budget):
+    held = _block_rows(size, budget, k)
+    if size.vectors_fit(budget) and size.rows <= held:
         rows = probed.toArrow()
         local = _scan_with_broadcast(rows, _reached(rows, index), k, _hits_schema(probed))
         return top_k(local, ["query_id"], by_score("search_score"), k, spread_by="chunk_id")
@@ -322,7 +327,6 @@ def search_cells(
     counts = pairs.groupBy(F.col("cell").alias("_cell")).agg(F.count(F.lit(1)).alias("_asking"))
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_asking").over(before), F.lit(0)))
-    held = _block_rows(size, budget)
     place = F.col("_before") + F.pmod(F.xxhash64("query_id"), F.col("_asking"))
     blocked = (
         pairs.join(counts, F.col("cell") == F.col("_cell"))

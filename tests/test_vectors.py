@@ -223,3 +223,33 @@ def test_hashed_embedding_is_normalised(spark):
     rows = {r.query_id: r.query_vector for r in embed_hashed(frame, 32).collect()}
     assert np.linalg.norm(rows[1]) == pytest.approx(1.0, rel=1e-6)
     assert len(rows[2]) == 32 and not any(rows[2])
+
+
+def test_queries_whose_hits_fill_the_pool_go_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    schema = "chunk_id string, embedding array<float>"
+    corpus = spark.createDataFrame([(f"v{i}", rng.normal(size=4).tolist()) for i in range(30)], schema)
+    asked = corpus.selectExpr("chunk_id AS query_id", "embedding AS query_vector")
+    whole = sorted(map(tuple, vectors.vector_topk(asked, corpus, 3).collect()))
+    monkeypatch.setattr(vectors, "POOL_ROWS", 60)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    sent, scan = [], vectors._scan_with_broadcast
+    monkeypatch.setattr(vectors, "_scan_with_broadcast", lambda rows, *rest: sent.append(rows.num_rows) or scan(rows, *rest))
+    assert sorted(map(tuple, vectors.vector_topk(asked, corpus, 3).collect())) == whole
+    assert len(sent) == 3 and sum(sent) == 30
+
+
+def test_ranking_cells_is_bounded_by_values(monkeypatch):
+    import pyarrow as pa
+
+    from seekloom.operators import cell_tree
+
+    rng = np.random.default_rng(6)
+    points, centers = rng.normal(size=(40, 4)), rng.normal(size=(20, 4))
+    part = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(40)], "vector": points.tolist()})
+    monkeypatch.setattr(cell_tree, "RANKED_VALUES", 100)
+    found = list(cell_tree._ranked(part, points, centers, np.arange(20, dtype=np.int32), 15, False))
+    assert max(batch.num_rows for batch in found) <= 100 and sum(batch.num_rows for batch in found) == 600
+    assert all(batch.column("vector").null_count == batch.num_rows for batch in found)
+    nearest = ((points[:, None, :] - centers[None]) ** 2).sum(axis=2).argsort(axis=1)[:, :15]
+    assert np.concatenate([batch.column("cell").to_numpy() for batch in found]).tolist() == nearest.ravel().tolist()
