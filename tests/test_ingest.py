@@ -348,3 +348,60 @@ def test_cells_follow_their_model(spark, make_chunks, tmp_path):
     snapshot = current(spark, lake)
     assert len(stored_cell_model(spark, snapshot).clusterCenters()) == 4
     assert snapshot.rows(spark, "cells").count() == 40
+
+
+def test_a_batch_names_the_ids_it_replaces_and_rewrites_no_other_rows(spark, make_chunks, tmp_path):
+    lake = LakeConfig(str(tmp_path / "lake"), chunk_buckets=2, term_buckets=2)
+    merged = {**texts(1, range(40)), "gone": "flood river"}
+    ingest(spark, lake, make_chunks(merged), vectors(spark, ["c0", "c1"], 1.0))
+    batch = {**texts(2, range(3)), "gone": "12"}
+    for version in (2, 3):
+        ingest(spark, lake, make_chunks(batch), vectors(spark, ["c1", "new"], 5.0))
+        merged |= batch
+        now = current(spark, lake)
+        new = spark.read.parquet(f"{lake.root}/postings/gen={version}").select("chunk_id").distinct()
+        assert {("c0",)} <= set(rows(new)) <= {("c0",), ("c1",), ("c2",)}
+        assert rows(now.rows(spark, "chunks").select("chunk_id", "text")) == sorted(merged.items())
+        assert index_rows(now.index(spark)) == index_rows(build_index(make_chunks(merged)))
+        assert rows(now.rows(spark, "wide").select("chunk_id")) == [("c0",), ("c1",)]
+    assert now.replacing("postings") == {(2, -2), (3, -2)}
+    from seekloom.sources.snapshots import remove_superseded
+
+    after = compact(spark, lake)
+    assert not any(after.replacing(name) for name in ("chunks", "postings", "doc_stats", "wide"))
+    assert index_rows(after.index(spark)) == index_rows(build_index(make_chunks(merged)))
+    remove_superseded(spark, lake)
+    assert not (tmp_path / "lake" / "postings_replaced" / "gen=2").exists()
+    assert index_rows(current(spark, lake).index(spark)) == index_rows(build_index(make_chunks(merged)))
+
+
+def test_many_replaced_ids_rewrite_partitions(spark, make_chunks, tmp_path, monkeypatch):
+    from seekloom.sources import snapshots
+
+    monkeypatch.setattr(snapshots, "keys_fit", lambda *_: False)
+    lake = LakeConfig(str(tmp_path / "lake"), chunk_buckets=2, term_buckets=2)
+    merged = texts(1, range(12))
+    ingest(spark, lake, make_chunks(merged))
+    batch = texts(2, range(3))
+    ingest(spark, lake, make_chunks(batch))
+    merged |= batch
+    now = current(spark, lake)
+    assert not now.replacing("postings") and not now.replacing("chunks")
+    assert rows(now.rows(spark, "chunks").select("chunk_id", "text")) == sorted(merged.items())
+    assert index_rows(now.index(spark)) == index_rows(build_index(make_chunks(merged)))
+
+
+def test_postings_are_made_from_dealt_texts(spark, make_chunks, plan_text):
+    from seekloom.operators.bm25_index import arrange_postings, deal_chunks, postings
+
+    held = make_chunks(texts(3, range(60)))
+    for task_bytes, tasks in ((10**9, 1), (500, None)):
+        dealt = deal_chunks(held, 2, task_bytes)
+        arranged = arrange_postings(postings(dealt), 2, 3)
+        assert "rebalance" not in plan_text(arranged).lower()
+        assert tasks is None or dealt.rdd.getNumPartitions() == tasks
+        placed = dealt.select("chunk_id", F.spark_partition_id().alias("at"))
+        bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(2))
+        mixed = placed.groupBy("at").agg(F.count_distinct(bucket).alias("buckets")).agg(F.max("buckets")).first()[0]
+        assert mixed <= (2 if tasks else 1)
+        assert rows(arranged.select("term", "chunk_id", "tf")) == rows(postings(held).select("term", "chunk_id", "tf"))
