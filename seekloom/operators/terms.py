@@ -10,7 +10,7 @@ from seekloom.functions.analyzer import query_tokens
 from seekloom.functions.scoring import idf
 from seekloom.operators.bm25_index import KeywordIndex
 from seekloom.operators.lexicon import DEFAULT_WEIGHT, Lexicon, boost, fired_factors
-from seekloom.plans.joins import join_query_side
+from seekloom.plans.joins import join_by_known_rows
 from seekloom.plans.sizing import QuerySize, hinted, measure_queries
 
 
@@ -53,11 +53,12 @@ def known_terms(
     weighted, keys = index.with_term_bucket(weighted_terms(queries, lexicon), index.df)
     frequencies = index.frequencies_of(query_terms(queries), size.terms_fit())
     n_chunks = index.meta.select(F.col("N").cast("double")).scalar()
-    # A term has one df row but may be in every query, so the queries are spread.
     if size.terms_fit():
-        known = join_query_side(frequencies, weighted, keys, "term", True)
+        known = frequencies.join(F.broadcast(weighted), keys)
     else:
-        known = join_query_side(weighted, frequencies, keys, "query_id", False)
+        # A term has one df row but may be in every query, so the queries of such a term are spread.
+        asked = query_terms(queries).groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
+        known = join_by_known_rows(weighted, frequencies, keys, asked, "term", "query_id", False, merge=True)
     return known.drop("term_bucket").withColumns(
         {"df_ratio": F.col("df") / n_chunks, "idf": idf(n_chunks, F.col("df"))}
     )

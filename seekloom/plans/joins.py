@@ -6,29 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekloom.config import DEFAULT_BUDGET
-from seekloom.plans.sizing import lane, lanes_for, target_rows
-
-
-def join_query_side(
-    large: DataFrame, small: DataFrame, on: list[str], spread_by: str, fits: bool
-) -> DataFrame:
-    """Inner join of ``large`` with a query-side table.
-
-    When the query side fits it is broadcast and ``large`` does not move. Beyond that
-    the join shuffles, and since one key may hold a large part of ``large`` (a term
-    present in every chunk), each key is spread over lanes by ``spread_by`` with the
-    query side repeated once per lane.
-    """
-    if fits:
-        return large.join(F.broadcast(small), on, "inner")
-    lanes = lanes_for(large)
-    if lanes == 1:
-        return large.join(small, on, "inner")
-    spread = large.withColumn("_lane", lane(spread_by, lanes))
-    repeated = small.withColumn(
-        "_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
-    )
-    return spread.join(repeated, [*on, "_lane"], "inner").drop("_lane")
+from seekloom.plans.sizing import target_rows
 
 
 def in_lanes(large: DataFrame, small: DataFrame, rows: DataFrame, key: str, spread_by: str, target: int):
@@ -51,13 +29,15 @@ def in_lanes(large: DataFrame, small: DataFrame, rows: DataFrame, key: str, spre
 
 
 def join_by_known_rows(
-    large: DataFrame, small: DataFrame, on: list[str], rows: DataFrame, key: str, spread_by: str, fits: bool
+    large: DataFrame, small: DataFrame, on: list[str], rows: DataFrame, key: str, spread_by: str, fits: bool,
+    merge: bool = False,
 ) -> DataFrame:
     """Inner join of ``large`` with a query-side table when the rows of each key are known.
 
     When the query side fits it is broadcast and ``large`` does not move. Beyond that only
     heavy keys are spread, each over as many lanes as its rows fill, so a task gets about a
-    task's share of rows whatever the key, and light keys are not repeated.
+    task's share of rows whatever the key, and light keys are not repeated. With ``merge`` Spark
+    may not choose a broadcast either: the stored size of a compressed table says little of its rows.
     """
     if fits:
         return large.join(F.broadcast(small), on, "inner")
@@ -65,4 +45,6 @@ def join_by_known_rows(
     if tasks > DEFAULT_BUDGET.max_rows:
         raise ValueError("spark.sql.shuffle.partitions exceeds the rows that may be broadcast")
     spread, repeated = in_lanes(large, small, rows, key, spread_by, target)
+    if merge:
+        repeated = repeated.hint("merge")
     return spread.join(repeated, [*on, "_lane"], "inner").drop("_lane")

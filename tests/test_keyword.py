@@ -13,7 +13,7 @@ from seekloom.config import Budget, KeywordConfig
 from seekloom.operators import keyword
 from seekloom.operators.bm25_index import build_index, write_index
 from seekloom.operators.lexicon import BOOST_RULES, TERM_WEIGHTS, Lexicon
-from seekloom.operators.terms import select_terms, weighted_terms
+from seekloom.operators.terms import known_terms, select_terms, weighted_terms
 from seekloom.plans.joins import in_lanes
 from seekloom.plans.sizing import QuerySize, measure_queries, target_rows
 from seekloom.sources.chunks import stored_chunks
@@ -250,3 +250,18 @@ def test_only_heavy_terms_are_dealt_over_lanes(spark, make_chunks):
     joined = spread.join(repeated, ["term", "_lane"])
     assert joined.count() == 6000 == index.postings.count()
     assert target_rows(known, 1) == (1500, 4) and target_rows(known)[0] == 100_000
+
+
+def test_frequencies_are_not_broadcast_to_a_large_query_table(spark, make_chunks, plan_text):
+    texts = {str(n): " ".join(f"word{n * 40 + i}" for i in range(40)) + " common" for n in range(50)}
+    index = write_index(make_chunks(texts), chunk_buckets=2, term_buckets=2)
+    asked = [f"common word{n * 7}" for n in range(30)]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query_text string")
+    lexicon = Lexicon.from_terms(spark)
+    known = known_terms(queries, index, lexicon, QuerySize(10**9, 10**9, 10**12, 0))
+    lines = plan_text(known).splitlines()
+    broadcast = [lines[at + 1] for at, line in enumerate(lines) if line.startswith("(") and "BroadcastExchange" in line]
+    assert broadcast and not [line for line in broadcast if "df#" in line]
+    few = known_terms(queries, index, lexicon, measure_queries(queries))
+    wanted = sorted(few.select("query_id", "term", "df").collect())
+    assert sorted(known.select("query_id", "term", "df").collect()) == wanted and len(wanted) == 60
