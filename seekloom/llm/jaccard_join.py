@@ -9,7 +9,7 @@ long lists and are not used; a set that is left with D units or fewer is indexed
 with half as many, larger segments, each as its subset and all subsets with one element
 deleted (two units each). Long lists are left out there too; the sets that run short again
 are those of large groups of near copies, whose lists are all long. These are compared
-with one set of each list, then with others while the list is not one component, and what
+with one set of each list, then with others if the list is not one component, and what
 is left is paired across components, unless sketches of the sets rule a pair out. A pair is found in the first index unless both sets ran short there, then in
 the second unless both ran short again, so nothing is lost. Candidates must share as many
 units as similar sets do, and are then verified exactly.
@@ -38,7 +38,8 @@ LONG_LIST = 12  # sets that share a subset, beyond which it is no unit of the fi
 _OWN, _UPPER, _SIZE = 0, 1, 2
 _PAIR, _LONG, _MEASURE = 0, 1, 2
 SKETCH_WORDS = 8  # 64-bit words of a set's sketch
-_SKETCH = [f"s{at}" for at in range(SKETCH_WORDS)]
+LONG_SKETCH = 32  # words of the sketches by which the pairs are looked at again
+EARLIER = 8  # whole subsets before a list's own segment in which a pair may have been made already
 _SET_BYTES = 8 * 1024 * 1024  # of sets that are handed on together
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _INDEX_SCHEMA = "sig long, doc_id long, code int, n int, spare int"
@@ -339,13 +340,6 @@ def _shared_units(lists: DataFrame, percent: int) -> DataFrame:
         & ~(F.col("deleted_a") & F.col("deleted_b"))
         & _like("n_a", "n_b", percent)
     )
-    if "part" in columns:
-        pairs = pairs.filter(F.col("part_a") != F.col("part_b"))
-    if "s0" in columns:
-        # No more places differ than similar sets of these sizes have unlike elements.
-        apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SKETCH), F.lit(0))
-        most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
-        pairs = pairs.filter(apart <= most)
     units = F.when(F.col("deleted_a") | F.col("deleted_b"), 1).otherwise(2)
     total = F.first("n_a") + F.first("n_b")
     differ = F.floor(total * (100 - percent) / (100 + percent))
@@ -406,24 +400,67 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(joined.mapInArrow(check, "a long, b long"), "links")
 
 
-def parity_sketches(texts: DataFrame) -> DataFrame:
-    """``(doc_id, s0, s1, ...)``: which of ``64 * SKETCH_WORDS`` places an odd number of a set's hashes fall on.
+def parity_sketches(texts: DataFrame, words: int = SKETCH_WORDS) -> DataFrame:
+    """``(doc_id, s0, s1, ...)``: which of ``64 * words`` places an odd number of a set's hashes fall on.
 
     Two sets' sketches differ in no more places than the sets differ in elements.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((batch.num_rows, SKETCH_WORDS), dtype=np.uint64)
+            found = np.zeros((batch.num_rows, words), dtype=np.uint64)
             for row, held in enumerate(batch.column(1)):
                 values = np.frombuffer(held.as_buffer(), np.uint64)
-                places = np.bincount((mix(values) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS)
+                places = np.bincount((mix(values) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
                 found[row] = np.packbits((places & 1).astype(np.uint8), bitorder="little").view(np.uint64)
-            columns = [pa.array(signed(np.ascontiguousarray(found[:, at]))) for at in range(SKETCH_WORDS)]
-            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", *_SKETCH])
+            columns = [pa.array(signed(np.ascontiguousarray(found[:, at]))) for at in range(words)]
+            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", *names])
 
-    schema = ", ".join(["doc_id long", *(f"{name} long" for name in _SKETCH)])
-    return shingle_sets(texts).mapInArrow(sketch, schema)
+    names = [f"s{at}" for at in range(words)]
+    return shingle_sets(texts).mapInArrow(sketch, ", ".join(["doc_id long", *(f"{name} long" for name in names)]))
+
+
+def _may_be_similar(words: int, percent: int) -> Column:
+    """Whether no more places of two sketches differ than similar sets of their sizes have unlike elements."""
+    differ = (F.bit_count(F.col(f"s{at}_a").bitwiseXOR(F.col(f"s{at}_b"))) for at in range(words))
+    return sum(differ, F.lit(0)) <= F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+
+
+def _sided(frame: DataFrame, side: str) -> DataFrame:
+    """The frame with a side's name on all columns but ``sig``."""
+    return frame.select(*(F.col(name).alias(name if name == "sig" else f"{name}_{side}") for name in frame.columns))
+
+
+def pairs_across(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of sets that share a list of ``lists``, lie in different parts and may be similar.
+
+    Sets that share one list mostly share many. A list leaves a pair out if the two also share the
+    one of the last ``EARLIER`` whole subsets before its own segment: that list has made the pair, or
+    in turn leaves it to an earlier one, so none is lost. Sketches, short ones in the join and then
+    long ones, leave out pairs whose sets differ too much.
+    """
+    # Rows of one id with different sizes are of different texts.
+    own = ("doc_id", "n", "band")
+    latest = Window.partitionBy(*own, "deleted").orderBy("segment").rowsBetween(1 - EARLIER, 0)
+    before = Window.partitionBy(*own).orderBy("segment").rangeBetween(Window.unboundedPreceding, -1)
+    wholes = lists.withColumn("wholes", F.when(~F.col("deleted"), F.collect_list("sig").over(latest)))
+    earlier = F.coalesce(F.last("wholes", ignorenulls=True).over(before), F.array().cast("array<long>"))
+    held = wholes.select("sig", "doc_id", "n", "deleted", "part", earlier.alias("earlier"))
+    held = written(held, "held").join(written(parity_sketches(texts), "sketches"), "doc_id")
+    pairs = _sided(held, "a").join(_sided(held, "b"), "sig").filter(
+        (F.col("doc_id_a") < F.col("doc_id_b"))
+        & (F.col("part_a") != F.col("part_b"))
+        & ~(F.col("deleted_a") & F.col("deleted_b"))
+        & _like("n_a", "n_b", percent)
+        & _may_be_similar(SKETCH_WORDS, percent)
+        & ~F.arrays_overlap("earlier_a", "earlier_b")
+    )
+    pairs = pairs.select("doc_id_a", "doc_id_b", "n_a", "n_b").distinct()
+    long = written(parity_sketches(texts, LONG_SKETCH), "long-sketches")
+    for side in ("a", "b"):
+        pairs = pairs.join(_sided(long, side), f"doc_id_{side}")
+    pairs = pairs.filter(_may_be_similar(LONG_SKETCH, percent))
+    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
 def _first_pairs(found: DataFrame) -> DataFrame:
@@ -518,13 +555,12 @@ def similar_links(
     stars = stars.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     tried = written(_first_pairs(found).unionByName(pairs).unionByName(stars).distinct(), "tried")
     links = verified(tried, texts, percent)
-    for turn in range(1, LEADS + 1):
-        placed = _split_lists(hard, links)
-        if placed.isEmpty():
-            break
-        # Another lead, the same one in all lists that it is in.
-        order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n", "part")
-        lead = placed.groupBy("sig").agg(F.min(order).alias("lead"))
+    placed = _split_lists(hard, links)
+    if not placed.isEmpty():
+        # More leads, the same ones in all lists that they are in.
+        order = ("doc_id", "n", "part")
+        leads = [F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), *order)) for turn in range(1, LEADS + 1)]
+        lead = placed.groupBy("sig").agg(F.array(*leads).alias("leads")).select("sig", F.explode("leads").alias("lead"))
         other = (F.col("lead.part") != F.col("part")) & _like("n", "lead.n", percent)
         pairs = placed.join(lead, "sig").filter(other).select(
             F.least("lead.doc_id", "doc_id").alias("a"), F.greatest("lead.doc_id", "doc_id").alias("b")
@@ -532,14 +568,11 @@ def similar_links(
         pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "led")
         tried = tried.unionByName(pairs)
         more = verified(pairs, texts, percent)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-    split = _split_lists(hard, links)
-    few = written(split.select("doc_id").distinct(), "split-ids")
-    sketches = written(parity_sketches(only_ids(texts, few)), "sketches")
-    across = _shared_units(split.join(sketches, "doc_id"), percent).filter(F.col("units") >= F.col("need"))
-    across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            placed = _split_lists(hard, links)
+    few = written(placed.select("doc_id").distinct(), "split-ids")
+    across = pairs_across(placed, only_ids(texts, few), percent).join(tried, ["a", "b"], "left_anti")
     return links.unionByName(verified(across, texts, percent)), sizes
 
 

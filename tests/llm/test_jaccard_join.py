@@ -134,3 +134,25 @@ def test_sketches_differ_in_no_more_places_than_sets(make_docs):
             assert apart <= len(one ^ other)
             far += apart >= 0.6 * len(one ^ other) > 0
     assert far > 200
+
+
+def test_pairs_across_parts_are_those_of_all_lists(spark, make_docs, monkeypatch):
+    """Sets that share runs of lists: a pair is left out only where an earlier list has made it."""
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(60)]
+    rows = [(doc, " ".join(words[:50] + rng.sample(words, 10))) for doc in range(12)]
+    sizes = {doc: len(jaccard_join.shingle_set(text)) for doc, text in rows}
+    lists = [
+        (segment * 10 + rng.randrange(3) * (1 + deleted), doc, 1, segment, deleted, sizes[doc], doc % 5)
+        for doc in range(12) for segment in range(8) for deleted in (False, True) if rng.random() < 0.7
+    ]
+    frame = spark.createDataFrame(
+        lists, "sig long, doc_id long, band int, segment int, deleted boolean, n int, part long"
+    )
+    monkeypatch.setattr(jaccard_join, "EARLIER", 2)
+    found = jaccard_join.pairs_across(frame, make_docs(rows), 1).select("a", "b").collect()
+    wanted = {
+        (x[1], y[1]) for x in lists for y in lists
+        if x[0] == y[0] and x[1] < y[1] and x[6] != y[6] and not (x[4] and y[4])
+    }
+    assert len(found) == len(wanted) and {tuple(row) for row in found} == wanted
