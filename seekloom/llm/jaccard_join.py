@@ -41,6 +41,8 @@ SKETCH_WORDS = 8  # 64-bit words of a set's sketch
 LONG_SKETCH = 32  # words of the sketches by which the pairs are looked at again
 EARLIER = 8  # whole subsets before a list's own segment in which a pair may have been made already
 _SET_BYTES = 8 * 1024 * 1024  # of sets that are handed on together
+_TEXTS = 256  # texts that a worker holds as strings at once
+_INDEX_ROWS = 100_000  # rows of the first index that are handed on together, about
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _INDEX_SCHEMA = "sig long, doc_id long, code int, n int, spare int"
 _FOUND_SCHEMA = "kind int, a long, b long, code int, x int, y int"
@@ -159,8 +161,8 @@ def subset_index(texts: DataFrame, percent: int) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["sig", "doc_id", "code", "n", "spare"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        for batch in batches:
+        kinds = [np.int64, np.int32, np.int32, np.int32]
+        for batch in (batch.slice(at, _TEXTS) for batch in batches for at in range(0, batch.num_rows, _TEXTS)):
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             parts: list[tuple] = []
             held = 0
@@ -169,24 +171,21 @@ def subset_index(texts: DataFrame, percent: int) -> DataFrame:
                 size, short = len(found), 0
                 rows = subset_rows(found, percent) if size else []
                 for sigs, code, spare in rows:
-                    parts.append((signed(sigs), ids[at], code, size, spare))
+                    # 48 bits tell subsets apart; two that meet by chance only lengthen a list.
+                    parts.append((signed(sigs >> np.uint64(16)), ids[at], code, size, spare))
                     held += len(sigs)
                     short |= (spare < 0) << (code % 4)
                 band = band_of(size, percent) if size else 0
                 parts.append((np.array([keys[at]], np.int64), ids[at], band * 4 + _SIZE, size, short))
                 held += 1
-                if held >= 500_000 or at + 1 == len(ids):
+                if held >= _INDEX_ROWS or at + 1 == len(ids):
                     counts = [len(part[0]) for part in parts]
                     sigs = np.concatenate([part[0] for part in parts])
                     rest = [
-                        np.repeat(np.array([part[c] for part in parts], np.int64), counts)
-                        for c in range(1, 5)
-                    ]
-                    arrays = [
-                        pa.array(column, kind)
-                        for column, kind in zip([sigs, *rest], kinds, strict=True)
+                        np.repeat(np.array([part[c] for part in parts], kind), counts)
+                        for c, kind in enumerate(kinds, 1)
                     ]
-                    yield pa.record_batch(arrays, names=names)
+                    yield pa.record_batch([pa.array(column) for column in (sigs, *rest)], names=names)
                     parts, held = [], 0
 
     return texts.select("doc_id", "text_key", "text").mapInArrow(index, _INDEX_SCHEMA)
@@ -376,11 +375,16 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets meet the threshold.
 
     A text's set is made once and joined to its pairs; a pair is looked at where its two sets
-    lie in the batch, so that a task holds no copies of them.
+    lie in the batch, so that a task holds no copies of them. Sets are carried to their pairs
+    only where sketches do not show yet that they differ too much.
     """
     pairs = written(pairs.select("a", "b"), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = shingle_sets(only_ids(texts, written(ids.distinct(), "ids")))
+    sets = written(shingle_sets(only_ids(texts, written(ids.distinct(), "ids"))), "sets")
+    pairs = written(likely_pairs(pairs, sets, percent), "likely")
+    # Sets that are left in no pair are not carried at all.
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = only_ids(sets, written(ids.distinct(), "likely-ids"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("held").alias("held_b"))
     first = sets.select(F.col("doc_id").alias("a"), F.col("held").alias("held_a"))
     joined = pairs.join(second, "b").join(first, "a").select("a", "b", "held_a", "held_b")
@@ -401,23 +405,31 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def parity_sketches(texts: DataFrame, words: int = SKETCH_WORDS) -> DataFrame:
-    """``(doc_id, s0, s1, ...)``: which of ``64 * words`` places an odd number of a set's hashes fall on.
+    """``(doc_id, s0, s1, ...)``: the sketches of the texts' sets."""
+    return set_sketches(shingle_sets(texts), words).drop("n")
 
+
+def set_sketches(sets: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, n, s0, s1, ...)``: which of ``64 * words`` places an odd number of a set's hashes fall on.
+
+    ``n`` is the size of the set.
     Two sets' sketches differ in no more places than the sets differ in elements.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((batch.num_rows, words), dtype=np.uint64)
+            found, sizes = np.zeros((batch.num_rows, words), dtype=np.uint64), np.zeros(batch.num_rows, np.int32)
             for row, held in enumerate(batch.column(1)):
                 values = np.frombuffer(held.as_buffer(), np.uint64)
+                sizes[row] = len(values)
                 places = np.bincount((mix(values) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
                 found[row] = np.packbits((places & 1).astype(np.uint8), bitorder="little").view(np.uint64)
             columns = [pa.array(signed(np.ascontiguousarray(found[:, at]))) for at in range(words)]
-            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", *names])
+            yield pa.record_batch([batch.column(0), pa.array(sizes), *columns], names=["doc_id", "n", *names])
 
     names = [f"s{at}" for at in range(words)]
-    return shingle_sets(texts).mapInArrow(sketch, ", ".join(["doc_id long", *(f"{name} long" for name in names)]))
+    schema = ", ".join(["doc_id long", "n int", *(f"{name} long" for name in names)])
+    return sets.select("doc_id", "held").mapInArrow(sketch, schema)
 
 
 def _may_be_similar(words: int, percent: int) -> Column:
@@ -426,6 +438,16 @@ def _may_be_similar(words: int, percent: int) -> Column:
     return sum(differ, F.lit(0)) <= F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
 
 
+def likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that long sketches of their sets do not rule out."""
+    sketches = written(set_sketches(sets, LONG_SKETCH), "pair-sketches")
+    for side in ("b", "a"):
+        own = _sided(sketches, side).withColumnRenamed(f"doc_id_{side}", side)
+        pairs = pairs.join(own, side)
+    likely = _like("n_a", "n_b", percent) & _may_be_similar(LONG_SKETCH, percent)
+    return pairs.filter(likely).select("a", "b").distinct()
+
+
 def _sided(frame: DataFrame, side: str) -> DataFrame:
     """The frame with a side's name on all columns but ``sig``."""
     return frame.select(*(F.col(name).alias(name if name == "sig" else f"{name}_{side}") for name in frame.columns))

@@ -156,3 +156,23 @@ def test_pairs_across_parts_are_those_of_all_lists(spark, make_docs, monkeypatch
         if x[0] == y[0] and x[1] < y[1] and x[6] != y[6] and not (x[4] and y[4])
     }
     assert len(found) == len(wanted) and {tuple(row) for row in found} == wanted
+
+
+def test_sets_of_unlike_pairs_are_not_carried(make_docs):
+    rng = random.Random(17)
+    base = [rng.choice(VOCABULARY) for _ in range(400)]
+    near = [*base[:390], *(rng.choice(VOCABULARY) for _ in range(10))]
+    half = [*base[:200], *(rng.choice(VOCABULARY) for _ in range(200))]
+    texts = make_docs([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(half)), (4, "one"), (4, " ".join(base))])
+    pairs = texts.sparkSession.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (1, 4)], "a long, b long")
+    likely = jaccard_join.likely_pairs(pairs, jaccard_join.shingle_sets(texts), 75)
+    # The second text of 4 is like that of 1.
+    assert sorted(map(tuple, likely.collect())) == [(1, 2), (1, 4)]
+    assert sorted(map(tuple, jaccard_join.verified(pairs, texts, 75).distinct().collect())) == [(1, 2), (1, 4)]
+
+
+def test_index_rows_leave_in_small_batches(make_docs):
+    texts = make_docs([(at, f"w{at} a b c d {at}") for at in range(600)]).selectExpr("doc_id", "doc_id AS text_key", "text")
+    assert jaccard_join.subset_index(texts, 75).filter("code % 4 = 2").select("sig").distinct().count() == 600
+    sigs = jaccard_join.subset_index(texts, 75).filter("code % 4 <> 2").selectExpr("min(sig) AS low", "max(sig) AS high").first()
+    assert 0 <= sigs["low"] and sigs["high"] < 1 << 48
