@@ -19,6 +19,8 @@ PAGE_ROWS = 256
 PIECE_CACHE = 500_000  # pieces a worker remembers before it starts afresh
 LONGEST_PIECE = 24  # characters of a piece beyond which it is not remembered
 SLICE_CHARS = 1_000_000  # text encoded at a time
+SLICE_ROWS = 256  # texts that a worker holds as strings at once
+MARKS = ",.!;:?"
 # A single space between two other characters, whatever a library takes for white space.
 SPACE_CUT = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 
@@ -41,6 +43,44 @@ def _byte_alphabet() -> dict[int, int]:
     return {byte: 256 + at for at, byte in enumerate(rest)}
 
 
+_PACKERS = [struct.Struct(f"<{count}I").pack for count in range(16)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    return _PACKERS[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Pieces(dict):
+    """Ids of pieces after ``lead``, encoded when they are first asked for; long ones are not kept."""
+
+    def __init__(self, tokenizer, lead: str) -> None:
+        super().__init__()
+        self._tokenizer, self._model, self._lead = tokenizer, tokenizer.model, lead
+        self._alphabet = _byte_alphabet()
+        self._shown = lead.translate(self._alphabet)
+        self._marks: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return _packed(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self._alphabet)
+            ids = [token.id for token in self._model.tokenize(self._shown + shown)]
+            found = _packed(ids)
+        elif piece[-1:] in MARKS and piece[-2:-1].isalpha():
+            mark = piece[-1]
+            if mark not in self._marks:
+                self._marks[mark] = self._encode(mark)
+            found = self[piece[:-1]] + self._marks[mark]
+        else:
+            found = self._encode(self._lead + piece)
+        if len(piece) <= LONGEST_PIECE:
+            self[piece] = found
+        return found
+
+
 class PieceEncoder:
     """Encode whole texts with a byte-level BPE tokenizer, remembering pieces.
 
@@ -58,47 +98,19 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._model, self._alphabet = self._tokenizer.model, _byte_alphabet()
-        self._head: dict[str, bytes] = {}
-        self._tail: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [struct.pack(f"<{len(one)}I", *one.ids) for one in found]
-
-    def _letters(self, lead: str, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = piece.encode("utf-8").decode("latin-1").translate(self._alphabet)
-        ids = [token.id for token in self._model.tokenize(lead + piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, known: dict[str, bytes], missing: set[str], lead: str) -> list[str]:
-        """Encode the missing pieces; gives those that are too long to be remembered."""
-        marks = {p: p[:-1] for p in missing if p[-1:] in ",.!;:?" and p[-2:-1].isalpha()}
-        plain = {p for p in missing if p not in marks}
-        plain |= set(marks.values()).difference(known)
-        shown = lead.translate(self._alphabet)
-        for piece in plain:
-            if piece.isalpha():
-                known[piece] = self._letters(shown, piece)
-        rest = sorted(piece for piece in plain if piece not in known)
-        for at in range(0, len(rest), 2000):
-            some = rest[at : at + 2000]
-            known.update(zip(some, self._encode([lead + p for p in some]), strict=True))
-        for piece, base in marks.items():
-            mark = piece[-1]
-            if mark not in self._head:
-                self._head[mark] = self._encode([mark])[0]
-            known[piece] = known[base] + self._head[mark]
-        return [piece for piece in (*plain, *marks) if len(piece) > LONGEST_PIECE]
+        self._forget()
+
+    def _forget(self) -> None:
+        self._head, self._tail = (_Pieces(self._tokenizer, lead) for lead in ("", " "))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self._head) + len(self._tail) > PIECE_CACHE:
-            self._head, self._tail = {}, {}
-        plans: list[list[list[str]]] = []
+            self._forget()
+        head, tail = self._head.__getitem__, self._tail.__getitem__
+        found = []
         for text in texts:
-            lines: list[list[str]] = []
+            ids: list[bytes] = []
             glued = ""
             parts = text.split("\n")
             for at, line in enumerate(parts):
@@ -111,29 +123,13 @@ class PieceEncoder:
                 glued = ""
                 if line:
                     pieces = line.split(" ")
-                    lines.append(pieces if line.split() == pieces else SPACE_CUT.split(line))
+                    if line.split() != pieces:
+                        pieces = SPACE_CUT.split(line)
+                    ids.append(head(pieces[0]))
+                    ids.extend(map(tail, pieces[1:]))
                 if after is not None:
-                    lines.append(["\n"])
-            plans.append(lines)
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for plan in plans:
-            for line in plan:
-                heads.add(line[0])
-                tails.update(line[1:])
-        long_heads = self._learn(self._head, heads.difference(self._head), "")
-        long_tails = self._learn(self._tail, tails.difference(self._tail), " ")
-        head, tail = self._head, self._tail
-        found = []
-        for plan in plans:
-            parts = []
-            for line in plan:
-                parts.append(head[line[0]])
-                parts.extend(map(tail.__getitem__, line[1:]))
-            found.append(b"".join(parts))
-        for known, long in ((head, long_heads), (tail, long_tails)):
-            for piece in long:
-                known.pop(piece, None)
+                    ids.append(head("\n"))
+            found.append(b"".join(ids))
         return found
 
 
@@ -164,7 +160,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
         encoder, place = _encoder(tokenizer_path), 0
         part = TaskContext.get().partitionId()
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):
             ids, texts = batch.column(0), [text or "" for text in batch.column(1).to_pylist()]
             for begin, stop in _slices(texts):
                 found = [one + end for one in encoder.encode(texts[begin:stop])]

@@ -101,3 +101,23 @@ def test_encodings_and_page_index(make_docs, tmp_path):
     encodings = {name: text for name, text in found}
     assert any("DICTIONARY" in text for name, text in encodings.items() if "tokens" in name)
     assert "DELTA_BINARY_PACKED" in encodings["n_tokens"]
+
+
+def test_a_piece_is_encoded_once_and_long_ones_are_not_kept():
+    encoder = token_files.PieceEncoder(byte_bpe_path())
+    asked = []
+
+    class Counting:
+        def __init__(self, model):
+            self._model = model
+
+        def tokenize(self, piece):
+            asked.append(piece)
+            return self._model.tokenize(piece)
+
+    for pieces in (encoder._head, encoder._tail):
+        pieces._model = Counting(pieces._model)
+    long = "x" * 40
+    encoder.encode([f"some words, some words. {long} words"] * 3)
+    assert sorted(asked) == sorted(["some", "\u0120some", "\u0120words", *["\u0120" + long] * 3])
+    assert long not in encoder._tail
