@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -409,12 +408,12 @@ def kept_documents(docs: DataFrame, model: CoTrained | None, threshold: float =
     if model is None:
         return docs
 
-    @F.pandas_udf("double")
-    def own(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
-        rows = zip(text, lang, source, strict=True)
-        return pd.Series(
-            [model.score(text_features(t or ""), meta_features(t or "", l, s))[0] for t, l, s in rows],
-            dtype="float64",
+    # Texts become strings one at a time: a worker holds no batch of them.
+    @F.arrow_udf("double")
+    def own(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+        rows = ((t.as_py() or "", l.as_py(), s.as_py()) for t, l, s in zip(text, lang, source, strict=True))
+        return pa.array(
+            [model.score(text_features(t), meta_features(t, l, s))[0] for t, l, s in rows], pa.float64()
         )
 
     return docs.filter(own("text", "lang", "source") >= threshold)
