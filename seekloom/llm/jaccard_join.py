@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ _PAIR, _LONG, _MEASURE = 0, 1, 2
 SKETCH_WORDS = 8  # 64-bit words of a set's sketch
 LONG_SKETCH = 32  # words of the sketches by which the pairs are looked at again
 EARLIER = 8  # whole subsets before a list's own segment in which a pair may have been made already
-_SET_BYTES = 8 * 1024 * 1024  # of sets that are handed on together
+_SET_BYTES = 2 * 1024 * 1024  # of sets that are handed on together
 _TEXTS = 256  # texts that a worker holds as strings at once
 _INDEX_ROWS = 100_000  # rows of the first index that are handed on together, about
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -406,13 +406,18 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def parity_sketches(texts: DataFrame, words: int = SKETCH_WORDS) -> DataFrame:
     """``(doc_id, s0, s1, ...)``: the sketches of the texts' sets."""
-    return set_sketches(shingle_sets(texts), words).drop("n")
+    # In one step with the sets: two steps would take two workers a task.
+    return _sketched(texts.select("doc_id", "text"), words, lambda text: shingle_set(text.as_py())).drop("n")
 
 
 def set_sketches(sets: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n, s0, s1, ...)``: which of ``64 * words`` places an odd number of a set's hashes fall on.
+    """``(doc_id, n, s0, s1, ...)``: the sketches of stored sets, and their sizes."""
+    return _sketched(sets.select("doc_id", "held"), words, lambda held: np.frombuffer(held.as_buffer(), np.uint64))
+
+
+def _sketched(rows: DataFrame, words: int, values_of: Callable[[pa.Scalar], np.ndarray]) -> DataFrame:
+    """Which of ``64 * words`` places an odd number of the hashes of each row's set fall on.
 
-    ``n`` is the size of the set.
     Two sets' sketches differ in no more places than the sets differ in elements.
     """
 
@@ -420,7 +425,7 @@ def set_sketches(sets: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             found, sizes = np.zeros((batch.num_rows, words), dtype=np.uint64), np.zeros(batch.num_rows, np.int32)
             for row, held in enumerate(batch.column(1)):
-                values = np.frombuffer(held.as_buffer(), np.uint64)
+                values = values_of(held)
                 sizes[row] = len(values)
                 places = np.bincount((mix(values) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
                 found[row] = np.packbits((places & 1).astype(np.uint8), bitorder="little").view(np.uint64)
@@ -429,7 +434,7 @@ def set_sketches(sets: DataFrame, words: int) -> DataFrame:
 
     names = [f"s{at}" for at in range(words)]
     schema = ", ".join(["doc_id long", "n int", *(f"{name} long" for name in names)])
-    return sets.select("doc_id", "held").mapInArrow(sketch, schema)
+    return rows.mapInArrow(sketch, schema)
 
 
 def _may_be_similar(words: int, percent: int) -> Column:

@@ -5,6 +5,7 @@ import struct
 import zlib
 from hashlib import md5
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -90,3 +91,26 @@ def test_dedup_keeps_one_of_repeated_rows(spark, make_docs):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (8, "other words of one more document")]
     kept = corpus_pipeline.dedup(spark, make_docs(rows), SF_DIR).collect()
     assert sorted(row["doc_id"] for row in kept) == [7, 8]
+
+
+def test_stages_hand_texts_on_in_bounded_batches(spark, make_docs):
+    name, most = corpus_pipeline._BATCH_BYTES, corpus_pipeline.BATCH_BYTES
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.column(1).nbytes])], names=["doc_id"])
+
+    try:
+        for held, bound in (("64m", most), ("1024", 1024), ("2mb", 2 << 20), ("67108864b", most)):
+            spark.conf.set(name, held)
+            corpus_pipeline.bounded_batches(spark)
+            kept = spark.conf.get(name)
+            assert kept in (held, f"{most}b", str(most)) and (held == kept) == (bound != most), (held, kept)
+        spark.conf.set(name, "64m")
+        docs = make_docs([(at, f"w{at} " * 20_000) for at in range(100)]).select("doc_id", "text").coalesce(1)
+        corpus_pipeline.dedup(spark, make_docs([(1, "a b c"), (2, "a b c")]), "unused").count()
+        found = [row["doc_id"] for row in docs.mapInArrow(sizes, "doc_id long").collect()]
+        assert sum(found) > most and max(found) <= 2 * most
+    finally:
+        spark.conf.set(name, before)
