@@ -18,7 +18,7 @@ ROW_GROUP_BYTES = 16 * 1024 * 1024
 PAGE_ROWS = 256
 PIECE_CACHE = 500_000  # pieces a worker remembers before it starts afresh
 LONGEST_PIECE = 24  # characters of a piece beyond which it is not remembered
-SLICE_CHARS = 1_000_000  # text encoded at a time
+SLICE_CHARS = 250_000  # text encoded at a time
 SLICE_ROWS = 256  # texts that a worker holds as strings at once
 MARKS = ",.!;:?"
 # A single space between two other characters, whatever a library takes for white space.
@@ -157,6 +157,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker that ran other stages gives back what Arrow keeps for it.
+        pa.default_memory_pool().release_unused()
         encoder, place = _encoder(tokenizer_path), 0
         part = TaskContext.get().partitionId()
         end = np.asarray([end_id], dtype="<u4").tobytes()

@@ -102,7 +102,7 @@ def test_stages_hand_texts_on_in_bounded_batches(spark, make_docs):
             yield pa.record_batch([pa.array([batch.column(1).nbytes])], names=["doc_id"])
 
     try:
-        for held, bound in (("64m", most), ("1024", 1024), ("2mb", 2 << 20), ("67108864b", most)):
+        for held, bound in (("64m", most), ("1024", 1024), ("512kb", 512 << 10), ("67108864b", most)):
             spark.conf.set(name, held)
             corpus_pipeline.bounded_batches(spark)
             kept = spark.conf.get(name)
