@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 END_ID = 0
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 PAGE_ROWS = 256
-PIECE_CACHE = 500_000  # pieces a worker remembers before it starts afresh
+PIECE_CACHE = 800_000  # pieces a worker remembers; the half that was not asked for lately goes first
 LONGEST_PIECE = 24  # characters of a piece beyond which it is not remembered
 SLICE_CHARS = 1_000_000  # text encoded at a time
 SLICE_ROWS = 256  # texts that a worker holds as strings at once
@@ -52,10 +52,14 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Pieces(dict):
-    """Ids of pieces after ``lead``, encoded when they are first asked for; long ones are not kept."""
+    """Ids of pieces after ``lead``, encoded when they are first asked for; long ones are not kept.
 
-    def __init__(self, tokenizer, lead: str) -> None:
+    What is asked for again is taken over from ``older``, the pieces of the time before.
+    """
+
+    def __init__(self, tokenizer, lead: str, older: dict[str, bytes]) -> None:
         super().__init__()
+        self._older = older
         self._tokenizer, self._model, self._lead = tokenizer, tokenizer.model, lead
         self._alphabet = _byte_alphabet()
         self._shown = lead.translate(self._alphabet)
@@ -64,7 +68,16 @@ class _Pieces(dict):
     def _encode(self, text: str) -> bytes:
         return _packed(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
+    def alone(self) -> _Pieces:
+        """The same pieces without the older ones."""
+        self._older = {}
+        return self
+
     def __missing__(self, piece: str) -> bytes:
+        found = self._older.pop(piece, None)
+        if found is not None:
+            self[piece] = found
+            return found
         if piece.isalpha():
             shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self._alphabet)
             ids = [token.id for token in self._model.tokenize(self._shown + shown)]
@@ -94,18 +107,20 @@ class PieceEncoder:
     is bounded in bytes.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pieces: int | None = None) -> None:
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        self._tokenizer, self._most = Tokenizer.from_file(path), pieces or PIECE_CACHE
+        self._head, self._tail = (_Pieces(self._tokenizer, lead, {}) for lead in ("", " "))
 
     def _forget(self) -> None:
-        self._head, self._tail = (_Pieces(self._tokenizer, lead) for lead in ("", " "))
+        self._head, self._tail = (
+            _Pieces(self._tokenizer, lead, held.alone()) for lead, held in (("", self._head), (" ", self._tail))
+        )
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self._head) + len(self._tail) > PIECE_CACHE:
+        if len(self._head) + len(self._tail) > self._most // 2:
             self._forget()
         head, tail = self._head.__getitem__, self._tail.__getitem__
         found = []
@@ -123,7 +138,9 @@ class PieceEncoder:
                 glued = ""
                 if line:
                     pieces = line.split(" ")
-                    if line.split() != pieces:
+                    # Printable characters have no other white space than the space.
+                    single = "" not in pieces if line.isprintable() else line.split() == pieces
+                    if not single:
                         pieces = SPACE_CUT.split(line)
                     ids.append(head(pieces[0]))
                     ids.extend(map(tail, pieces[1:]))
@@ -134,8 +151,8 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def _encoder(path: str, pieces: int | None = None) -> PieceEncoder:
+    return PieceEncoder(path, pieces)
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -149,17 +166,20 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, pieces: int | None = None
+) -> DataFrame:
     """``(doc_id, part, place, n_tokens, tokens)`` in ascending doc_id order.
 
     ``place`` counts the ids of earlier documents of the same partition ``part``.
-    Null text is encoded as an empty text; each document ends with ``end_id``.
+    Null text is encoded as an empty text; each document ends with ``end_id``. A worker
+    remembers the ids of ``pieces`` pieces (PIECE_CACHE if none is given), about 200 bytes each.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A worker that ran other stages gives back what Arrow keeps for it.
         pa.default_memory_pool().release_unused()
-        encoder, place = _encoder(tokenizer_path), 0
+        encoder, place = _encoder(tokenizer_path, pieces), 0
         part = TaskContext.get().partitionId()
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):

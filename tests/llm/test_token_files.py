@@ -121,3 +121,22 @@ def test_a_piece_is_encoded_once_and_long_ones_are_not_kept():
     encoder.encode([f"some words, some words. {long} words"] * 3)
     assert sorted(asked) == sorted(["some", "\u0120some", "\u0120words", *["\u0120" + long] * 3])
     assert long not in encoder._tail
+
+
+def test_pieces_asked_for_again_outlive_the_others(monkeypatch):
+    monkeypatch.setattr(token_files, "PIECE_CACHE", 80)
+    encoder = token_files.PieceEncoder(byte_bpe_path())
+    asked = []
+    encode = token_files._Pieces._encode
+    monkeypatch.setattr(token_files._Pieces, "_encode", lambda self, text: asked.append(text) or encode(self, text))
+    for at in range(60):
+        text = f"start often4 {' '.join(f'rare{at}x{n}' for n in range(10))}"
+        assert split_ids(encoder, text) == whole(encoder._tokenizer, text)
+        assert len(encoder._tail) + len(encoder._tail._older) <= 80 + 22
+    assert asked.count(" often4") == 1 and len(asked) == 601
+
+
+def test_a_line_with_other_white_space_is_cut_as_the_tokenizer_does(tokenizer):
+    encoder = token_files.PieceEncoder(byte_bpe_path(), pieces=10)
+    for text in ("a  b", " a b", "a b ", "a\u00a0b c", "a\tb c", "a\u2028b c\u180e d", "plain words here", "é è 漢 字"):
+        assert split_ids(encoder, text) == whole(tokenizer, text), repr(text)
