@@ -22,7 +22,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ _OWN, _UPPER, _SIZE = 0, 1, 2
 _PAIR, _LONG, _MEASURE = 0, 1, 2
 SKETCH_WORDS = 8  # 64-bit words of a set's sketch
 LONG_SKETCH = 32  # words of the sketches by which the pairs are looked at again
-EARLIER = 8  # whole subsets before a list's own segment in which a pair may have been made already
+EARLIER = 24  # whole subsets before a list's own segment in which a pair may have been made already
 _SET_BYTES = 2 * 1024 * 1024  # of sets that are handed on together
 _TEXTS = 256  # texts that a worker holds as strings at once
 _INDEX_ROWS = 100_000  # rows of the first index that are handed on together, about
@@ -219,7 +218,12 @@ def subset_candidates(index: DataFrame, percent: int, long_list: int = LONG_LIST
     run leave as they come, so memory does not depend on the length of a list.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema(
+        [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]
+        + [(name, pa.int32()) for name in ("code", "x", "y")]
+    )
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: dict[str, np.ndarray] | None = None
         long_sig = None
 
@@ -228,12 +232,15 @@ def subset_candidates(index: DataFrame, percent: int, long_list: int = LONG_LIST
             most = np.where(code % 4 == _OWN, n * 100 // percent, below[np.minimum(code // 4, 59)])
             return (n + most) * (100 - percent) // (100 + percent)
 
-        def table(kind: int, a, b, code, x, y) -> pd.DataFrame:
-            frame = pd.DataFrame({"a": a, "b": b, "code": code, "x": x, "y": y})
-            frame.insert(0, "kind", kind)
-            return frame
+        def table(kind: int, a, b, code, x, y) -> pa.RecordBatch:
+            columns = np.broadcast_arrays(kind, a, b, code, x, y)
+            arrays = [
+                pa.array(np.ascontiguousarray(column, dtype=field.type.to_pandas_dtype()))
+                for column, field in zip(columns, schema, strict=True)
+            ]
+            return pa.record_batch(arrays, schema=schema)
 
-        def flush(rows: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        def flush(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             change = rows["sig"][1:] != rows["sig"][:-1]
             starts = np.flatnonzero(np.concatenate([[True], change]))
             sizes = np.diff(np.concatenate([starts, [len(rows["sig"])]]))
@@ -245,7 +252,7 @@ def subset_candidates(index: DataFrame, percent: int, long_list: int = LONG_LIST
             if heavy.any():
                 yield long_rows({name: column[heavy] for name, column in rows.items()})
 
-        def long_rows(rows: dict[str, np.ndarray]) -> pd.DataFrame:
+        def long_rows(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
             return table(_LONG, rows["doc_id"], 0, rows["code"], rows["spare"], 0)
 
         for batch in batches:
@@ -282,15 +289,6 @@ def subset_candidates(index: DataFrame, percent: int, long_list: int = LONG_LIST
         if carry is not None:
             yield from flush(carry)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]
-            + [(name, pa.int32()) for name in ("code", "x", "y")]
-        )
-        for frame in scan(batches):
-            if len(frame):
-                yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
-
     return index.repartition("sig").sortWithinPartitions("sig").mapInArrow(found, _FOUND_SCHEMA)
 
 
@@ -458,13 +456,12 @@ def _sided(frame: DataFrame, side: str) -> DataFrame:
     return frame.select(*(F.col(name).alias(name if name == "sig" else f"{name}_{side}") for name in frame.columns))
 
 
-def pairs_across(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of sets that share a list of ``lists``, lie in different parts and may be similar.
+def list_pairs(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``(doc_id_a, doc_id_b, n_a, n_b)`` of sets that share a list, lie in different parts and may be similar.
 
     Sets that share one list mostly share many. A list leaves a pair out if the two also share the
     one of the last ``EARLIER`` whole subsets before its own segment: that list has made the pair, or
-    in turn leaves it to an earlier one, so none is lost. Sketches, short ones in the join and then
-    long ones, leave out pairs whose sets differ too much.
+    in turn leaves it to an earlier one, so none is lost. A pair can still come more than once.
     """
     # Rows of one id with different sizes are of different texts.
     own = ("doc_id", "n", "band")
@@ -482,7 +479,15 @@ def pairs_across(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         & _may_be_similar(SKETCH_WORDS, percent)
         & ~F.arrays_overlap("earlier_a", "earlier_b")
     )
-    pairs = pairs.select("doc_id_a", "doc_id_b", "n_a", "n_b").distinct()
+    return pairs.select("doc_id_a", "doc_id_b", "n_a", "n_b")
+
+
+def pairs_across(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of sets that share a list of ``lists``, lie in different parts and may be similar.
+
+    Sketches, short ones in the join and then long ones, leave out pairs whose sets differ too much.
+    """
+    pairs = list_pairs(lists, texts, percent).distinct()
     long = written(parity_sketches(texts, LONG_SKETCH), "long-sketches")
     for side in ("a", "b"):
         pairs = pairs.join(_sided(long, side), f"doc_id_{side}")

@@ -176,3 +176,16 @@ def test_index_rows_leave_in_small_batches(make_docs):
     assert jaccard_join.subset_index(texts, 75).filter("code % 4 = 2").select("sig").distinct().count() == 600
     sigs = jaccard_join.subset_index(texts, 75).filter("code % 4 <> 2").selectExpr("min(sig) AS low", "max(sig) AS high").first()
     assert 0 <= sigs["low"] and sigs["high"] < 1 << 48
+
+
+def test_a_pair_that_shares_many_lists_is_made_once(spark):
+    """Two sets share the first whole subset and, from 15 others on, subsets with one element less."""
+    rows = []
+    for doc_id in (1, 2):
+        rows += [(segment if segment == 0 else 1000 * doc_id + segment, doc_id, 0, segment, False) for segment in range(20)]
+        rows += [(5000 + segment, doc_id, 0, segment, doc_id == 1) for segment in range(15, 20)]
+    lists = spark.createDataFrame(rows, "sig long, doc_id long, band int, segment int, deleted boolean")
+    lists = lists.selectExpr("*", "20 AS n", "20 AS m", "9 AS differ", "doc_id AS part")
+    texts = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string")
+    assert jaccard_join.list_pairs(lists, texts, 75).count() == 1
+    assert [tuple(row) for row in jaccard_join.pairs_across(lists, texts, 75).collect()] == [(1, 2)]
