@@ -405,3 +405,65 @@ def test_postings_are_made_from_dealt_texts(spark, make_chunks, plan_text):
         mixed = placed.groupBy("at").agg(F.count_distinct(bucket).alias("buckets")).agg(F.max("buckets")).first()[0]
         assert mixed <= (2 if tasks else 1)
         assert rows(arranged.select("term", "chunk_id", "tf")) == rows(postings(held).select("term", "chunk_id", "tf"))
+
+
+def stored_tables(spark):
+    from pathlib import Path
+
+    from seekloom.plans.scratch import scratch_root
+
+    return {path.name for path in Path(scratch_root(spark).removeprefix("file:")).iterdir()}
+
+
+def test_an_ingest_leaves_no_scratch_tables(spark, make_chunks, tmp_path):
+    lake = LakeConfig(str(tmp_path / "lake"), chunk_buckets=2, term_buckets=2)
+    before = stored_tables(spark)
+    for version in (1, 2):
+        report = ingest(spark, lake, make_chunks(texts(version, range(4))))
+    assert stored_tables(spark) <= before
+    assert report.first()["affected_chunks"] == 4
+    expected = index_rows(build_index(make_chunks(texts(2, range(4)))))
+    assert index_rows(current(spark, lake).index(spark)) == expected
+
+
+def test_a_written_frame_leaves_no_shuffle_files(spark):
+    import time
+
+    from seekloom.plans.scratch import written
+
+    def shuffle_files():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if "shuffle_" in files.apply(i).getName()}
+
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("part")).agg(F.sum("id").alias("total"))
+    before = shuffle_files()
+    stored = written(frame, "shuffled")
+    for _ in range(100):
+        if not (left := shuffle_files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert rows(stored) == rows(frame)
+
+
+def test_compaction_shuffles_a_group_of_buckets_at_a_time(spark, make_chunks, tmp_path, monkeypatch):
+    from seekloom.sources import snapshots
+
+    lake = LakeConfig(str(tmp_path / "lake"), chunk_buckets=3, term_buckets=2)
+    merged = {}
+    for version in (1, 2):
+        batch = texts(version, range(version * 3, version * 3 + 9))
+        merged |= batch
+        ingest(spark, lake, make_chunks(batch))
+    held, replace_rows = [], snapshots.replace_rows
+
+    def watched(spark, snapshot, table, ids, new_rows, *rest, **named):
+        held.append(new_rows.select(F.pmod(F.xxhash64("chunk_id"), F.lit(3))).distinct().count())
+        return replace_rows(spark, snapshot, table, ids, new_rows, *rest, **named)
+
+    monkeypatch.setattr(snapshots, "replace_rows", watched)
+    after = compact(spark, lake)
+    assert max(held) == 1
+    assert len({gen for gen, _ in after.partitions("postings")}) == 1
+    assert rows(after.rows(spark, "chunks").select("chunk_id", "text")) == sorted(merged.items())
+    assert index_rows(after.index(spark)) == index_rows(build_index(make_chunks(merged)))
